@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from clarispan.llm import exact_topk
+from clarispan.llm.bpe import op4_bpe
+from clarispan.llm.exact_topk import op1_exact_topk
+from clarispan.llm.kd_sharding import op9_kd_sharding
 from clarispan.llm.simhash_neardup import op2_simhash_neardup
 
-QUERIES = {f.__name__: f for f in (op2_simhash_neardup,)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_simhash_neardup, op4_bpe, op9_kd_sharding)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_exact_topk": exact_topk.SQL}
