@@ -7,10 +7,16 @@ from clarispan.llm.bpe import op4_bpe
 from clarispan.llm.exact_topk import op1_exact_topk
 from clarispan.llm.kd_sharding import op9_kd_sharding
 from clarispan.llm.language_id import op7_language_id
+from clarispan.llm.line_dedup import op3_line_dedup
 from clarispan.llm.lz_fingerprint import op5_lz_fingerprint
+from clarispan.llm.packing import op8_packing
+from clarispan.llm.quality import op6_quality
 from clarispan.llm.simhash_neardup import op2_simhash_neardup
 from clarispan.llm.token_counts import op10_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_simhash_neardup, op4_bpe, op5_lz_fingerprint, op7_language_id, op9_kd_sharding, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (
+    op1_exact_topk, op2_simhash_neardup, op3_line_dedup, op4_bpe, op5_lz_fingerprint, op6_quality, op7_language_id,
+    op8_packing, op9_kd_sharding, op10_token_counts,
+)}
 
 SQL: dict[str, str] = {"op1_exact_topk": exact_topk.SQL}
