@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from clarispan.plans import costs, coverage, formularies, network, registers  # noqa: F401  registers their queries
+from clarispan.plans.base import QUERIES, SQL  # noqa: F401
+
+FLAGSHIP = "reconcile_verdicts"
