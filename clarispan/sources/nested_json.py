@@ -71,7 +71,8 @@ class Scanner:
         while True:
             try:
                 v, end = self.decoder.raw_decode(self.text, self.at)
-                if end == len(self.text) and not isinstance(v, (dict, list)) and self.more():
+                tail = self.text[end : end + 32]
+                if len(tail) < 32 and not tail.strip("0123456789+-.eE") and not isinstance(v, (dict, list)) and self.more():
                     continue  # a number may go on
                 self.at = end
                 return v
