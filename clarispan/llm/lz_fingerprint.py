@@ -29,7 +29,8 @@ from clarispan.llm.common import table
 
 SIZE = 64
 DICTIONARY = 1 << 18
-BUCKETS = 128
+#: Documents of a bucket, and a bound of the buckets: what is known of each on the driver is two numbers.
+BUCKET_ROWS, MOST_BUCKETS = 400, 1 << 14
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -109,23 +110,51 @@ def _pairs(batches):
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
 
-def fingerprint_with_next(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def _places(k: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    return np.searchsorted(cuts, k, "left")
+
+
+def fingerprint_with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The columns of RESULT for every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("k", F.coalesce("doc_id", F.lit(-(1 << 63))))
     ids = rows.select("k")
-    cuts = sorted(set(ids.approxQuantile("k", [i / buckets for i in range(1, buckets)], 0.2 / buckets)))
-    if not cuts:
+    buckets = min(MOST_BUCKETS, max(2, -(-ids.count() // bucket_rows)))
+    cuts = np.array(sorted(set(ids.approxQuantile("k", [i / buckets for i in range(1, buckets)], 0.2 / buckets))), np.int64)
+    if not len(cuts):
         return rows.mapInArrow(_pairs_of_none, RESULT)
-    cut_list = F.array(*[F.lit(int(c)) for c in cuts])
-    bucket = F.size(F.filter(cut_list, lambda c: c < F.col("k")))
-    heads = sorted((r["b"], r["k"]) for r in ids.groupBy(bucket.alias("b")).agg(F.max("k").alias("k")).collect())
+
+    def highest(batches):
+        """The highest id of each bucket, of a task's rows."""
+        top: dict[int, int] = {}
+        for b in batches:
+            k = b.column(0).to_numpy()
+            order = np.argsort(k, kind="stable")
+            at = _places(k[order], cuts)
+            last = np.flatnonzero(np.append(at[1:] != at[:-1], True)) if len(at) else []
+            for i in last:
+                top[int(at[i])] = max(top.get(int(at[i]), -(1 << 63)), int(k[order[i]]))
+        yield pa.RecordBatch.from_arrays([pa.array(top.keys(), pa.int32()), pa.array(top.values(), pa.int64())], ["b", "k"])
+
+    # A row for each bucket, MOST_BUCKETS at most.
+    heads = sorted((r["b"], r["k"]) for r in ids.mapInArrow(highest, "b int, k long").groupBy("b").agg(F.max("k").alias("k")).collect())
     # The document after bucket b's last is the first of the next bucket below; after all, the first of all.
-    after = {heads[i - 1][1]: heads[i][0] for i in range(len(heads))}
-    goes_to = F.element_at(F.create_map(*[F.lit(x) for k, b in after.items() for x in (k, b)]), F.col("k"))
-    own = F.struct(bucket.alias("bucket"), F.lit(False).alias("follows"))
-    sent = F.array_compact(F.array(own, F.when(goes_to.isNotNull(), F.struct(goes_to.alias("bucket"), F.lit(True).alias("follows")))))
-    dealt = rows.withColumn("to", F.explode(sent)).select("to.bucket", "to.follows", "doc_id", "text", "k", F.xxhash64("text").alias("h"))
+    head = np.array([heads[i - 1][1] for i in range(len(heads))], np.int64)
+    of = np.array([b for b, _ in heads], np.int32)
+    order = np.argsort(head, kind="stable")
+    head, of = head[order], of[order]
+
+    def deal(batches):
+        """Each document to its bucket; the first one of a bucket also to the bucket that it follows."""
+        for b in batches:
+            k = b.column(2).to_numpy()
+            at = np.minimum(np.searchsorted(head, k), len(head) - 1)
+            sent = np.flatnonzero(head[at] == k)
+            both = b.take(pa.array(np.concatenate([np.arange(len(k)), sent])))
+            bucket = np.concatenate([_places(k, cuts).astype(np.int32), of[at[sent]]])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.arange(len(bucket)) >= len(k)), *both.columns], ["bucket", "follows", *both.schema.names])
+
+    dealt = rows.withColumn("h", F.xxhash64("text")).mapInArrow(deal, "bucket int, follows boolean, doc_id long, text string, k long, h long")
     parts = dealt.repartition("bucket").sortWithinPartitions("bucket", "follows", F.desc("k"), "h")
     return parts.select("bucket", "follows", "doc_id", "text").mapInArrow(_pairs, RESULT)
 
