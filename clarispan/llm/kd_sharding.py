@@ -81,7 +81,7 @@ def kd_leaves(atoms: DataFrame, shards: int) -> DataFrame:
         for _ in range(2):  # to a 4096th, then to a 16 millionth of the range
             bins = _histogram(atoms, value, low, high, inside)
             picked = {n: _pick(bins[n], goal[n] - left[n]) for n in goal}
-            step = {n: (high[n] - low[n]) / BINS for n in goal}
+            step = {n: ((high[n] - low[n]) or 1.0) / BINS for n in goal}  # as the histogram has it
             left = {n: left[n] + picked[n][1] for n in goal}
             cut_high = {n: low[n] + step[n] * (picked[n][0] + 1) if picked[n][0] < BINS - 1 else cut_high[n] for n in goal}
             low = {n: low[n] + step[n] * picked[n][0] for n in goal}
