@@ -31,9 +31,9 @@ SELECT rendered, count(*) AS n FROM (
   SELECT subject_key || CASE WHEN value = 'unknown' THEN ': coverage unknown; no verified answer available from ' WHEN value = 'yes' THEN ': shown in-network per ' ELSE ': shown NOT covered per ' END
     || source || ', source updated ' || strftime(source_last_updated, '%Y-%m-%d') || ' (' || CAST(CAST(floor(confidence * 100 + 0.5) AS BIGINT) AS VARCHAR) || '% confidence).'
     || CASE WHEN value = 'unknown' OR confidence < 0.8 THEN ' - confirm before enrolling.' ELSE '' END AS rendered
-  FROM answers WHERE kind = 'DRUG') GROUP BY rendered""")
+  FROM answers) GROUP BY rendered""")
 def render_answers(spark, sf_dir):
-    return provenance.render(answers(spark, sf_dir).where("kind = 'DRUG'")).groupBy("rendered").agg(F.count("*").alias("n"))
+    return provenance.render(answers(spark, sf_dir)).groupBy("rendered").agg(F.count("*").alias("n"))
 
 
 @query("WITH" + ANSWERS + reconciled_sql("answers", "rec") + f"\nSELECT {', '.join(VERDICT_COLUMNS)} FROM rec")

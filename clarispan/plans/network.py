@@ -29,14 +29,14 @@ def links(spark, sf_dir):
 
 def _plan():
     k = F.col("c_custkey")
-    return [F.col("c_name").alias("plan_name"), F.when(k % 2 == 0, "ein").otherwise("hios").alias("plan_id_type"), (k % 500).cast("string").alias("plan_id"), F.col("c_mktsegment").alias("plan_market_type")]
+    return [F.col("c_name").alias("plan_name"), F.when(k % 2 == 0, "ein").otherwise("hios").alias("plan_id_type"), F.expr("CAST(c_custkey DIV 2 AS STRING)").alias("plan_id"), F.col("c_mktsegment").alias("plan_market_type")]
 
 
 def shared_sets(spark, sf_dir):
-    """(file_id, set_id) and the entries of sets: every third file has its nation's plans."""
+    """(file_id, set_id) of files without links of their own, and the entries of sets: five customers' plans."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    sets = o.where("o_orderkey % 3 = 0").join(c, o.o_custkey == c.c_custkey).select(F.col("o_orderkey").alias("file_id"), F.col("c_nationkey").alias("set_id"))
-    return sets, c.where("c_custkey % 10 = 0").select(F.col("c_nationkey").alias("set_id"), *_plan())
+    sets = o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("file_id"), F.expr("o_custkey DIV 5").alias("set_id"))
+    return sets, c.select(F.expr("c_custkey DIV 5").alias("set_id"), *_plan())
 
 
 def memberships(spark, sf_dir):
@@ -60,12 +60,12 @@ files AS (
     'https://files.example/' || n_name || '/' || strftime(o_orderdate, '%Y-%m-%d') || '/' || CAST(o_orderkey AS VARCHAR) || '.json.gz?Signature=s&v=' || CAST(o_orderkey % 3 AS VARCHAR) AS url,
     CAST(floor(o_totalprice) AS BIGINT) * 10000 AS bytes FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 )"""
-_PLAN = "c_name AS plan_name, CASE WHEN c_custkey % 2 = 0 THEN 'ein' ELSE 'hios' END AS plan_id_type, CAST(c_custkey % 500 AS VARCHAR) AS plan_id, c_mktsegment AS plan_market_type"
+_PLAN = "c_name AS plan_name, CASE WHEN c_custkey % 2 = 0 THEN 'ein' ELSE 'hios' END AS plan_id_type, CAST(c_custkey // 2 AS VARCHAR) AS plan_id, c_mktsegment AS plan_market_type"
 LINKS = f"""
 links AS (SELECT o_orderkey AS file_id, {_PLAN} FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 3 > 0)"""
 SETS = f"""
-sets AS (SELECT o_orderkey AS file_id, c_nationkey AS set_id FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 3 = 0),
-entries AS (SELECT c_nationkey AS set_id, {_PLAN} FROM customer WHERE c_custkey % 10 = 0)"""
+sets AS (SELECT o_orderkey AS file_id, o_custkey // 5 AS set_id FROM orders WHERE o_orderkey % 3 = 0),
+entries AS (SELECT c_custkey // 5 AS set_id, {_PLAN} FROM customer)"""
 MEMBERS = """
 memberships AS (SELECT DISTINCT l_orderkey AS file_id, CAST(l_suppkey + 1000000000 AS VARCHAR) AS npi, CAST(l_partkey AS VARCHAR) AS tin_value FROM lineitem)"""
 GROUPS = """
@@ -140,7 +140,7 @@ def tiering_b(spark, sf_dir):
 
 
 PLAN_FILES = "WITH" + FILES + "," + LINKS + "," + SETS + "," + MEMBERS + """,
-wanted AS (SELECT DISTINCT CASE WHEN c_custkey % 2 = 0 THEN 'ein' ELSE 'hios' END AS plan_id_type, CAST(c_custkey % 500 AS VARCHAR) AS plan_id FROM customer WHERE c_custkey % 7 = 0),
+wanted AS (SELECT DISTINCT CASE WHEN c_custkey % 2 = 0 THEN 'ein' ELSE 'hios' END AS plan_id_type, CAST(c_custkey // 2 AS VARCHAR) AS plan_id FROM customer),
 plan_files AS (
   SELECT file_id, plan_id_type, plan_id, active, source_last_updated FROM (
     SELECT plan_id_type, plan_id, file_id FROM links JOIN wanted USING (plan_id_type, plan_id) UNION SELECT plan_id_type, plan_id, file_id FROM entries JOIN wanted USING (plan_id_type, plan_id) JOIN sets USING (set_id))
@@ -149,7 +149,7 @@ plan_files AS (
 
 
 def _plan_files(spark, sf_dir):
-    wanted = table(spark, sf_dir, "customer").where("c_custkey % 7 = 0").select(*_plan()[1:3])
+    wanted = table(spark, sf_dir, "customer").select(*_plan()[1:3])
     sets, entries = shared_sets(spark, sf_dir)
     return nf.plan_files(files(spark, sf_dir), links(spark, sf_dir), sets, entries, wanted)
 
@@ -160,7 +160,7 @@ def plan_files(spark, sf_dir):
 
 
 @query(PLAN_FILES + f""",
-requests AS (SELECT c_custkey AS request_id, CASE WHEN c_custkey % 2 = 0 THEN 'ein' ELSE 'hios' END AS plan_id_type, CAST(c_custkey % 500 AS VARCHAR) AS plan_id, CAST(1000000000 + c_custkey % 100 AS VARCHAR) AS npi FROM customer),
+requests AS (SELECT c_custkey AS request_id, CASE WHEN c_custkey % 2 = 0 THEN 'ein' ELSE 'hios' END AS plan_id_type, CAST(c_custkey // 2 AS VARCHAR) AS plan_id, CAST(1000000000 + c_custkey % 100 AS VARCHAR) AS npi FROM customer),
 r AS (
   SELECT q.*, f.file_id, f.source_last_updated AS d, m.file_id IS NOT NULL AS present, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(f.source_last_updated)) / 86400000000.0::DOUBLE AS age
   FROM requests q LEFT JOIN plan_files f USING (plan_id_type, plan_id) LEFT JOIN (SELECT DISTINCT file_id, npi FROM memberships) m ON m.file_id = f.file_id AND m.npi = q.npi
