@@ -17,6 +17,9 @@ out); an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import uuid
+
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from clarispan.llm.bpe import slices
 from clarispan.llm.common import held_out, table
-from clarispan.llm.pieces import longest, pieces, pretokens
+from clarispan.llm.pieces import pieces, pretokens
 
 #: Bounds of the sample that the probabilities are fitted on: rows, characters of a row, words of a language.
 FIT_ROWS, FIT_CHARS, FIT_WORDS = 4000, 20_000, 12_000
@@ -39,24 +42,41 @@ LETTER = regex.compile(r"\p{L}")
 UND = "und"
 
 
+_FINDERS: dict[int, tuple] = {}
+
+
+def _finder(table: dict[str, int]):
+    """An automaton that finds all pieces of a vocabulary in a text, and the pieces' lengths; one for each
+    process and vocabulary."""
+    if id(table) not in _FINDERS:
+        finder = ahocorasick.Automaton()
+        for p, i in table.items():
+            finder.add_word(p, i)
+        finder.make_automaton()
+        _FINDERS[id(table)] = finder, np.array([*map(len, table), 1]), table
+    return _FINDERS[id(table)][:2]
+
+
 class Hits:
     """All pieces that fit somewhere in some words: word, start, end and piece number, by end."""
 
-    def __init__(self, words: list[str], table: dict[str, int], most: int):
-        get, unknown, found = table.get, len(table), []
-        note = found.append
-        for i, w in enumerate(words):
-            n = len(w)
-            for s in range(n):
-                one = get(w[s])
-                note((i, s, s + 1, unknown if one is None else one))
-                for e in range(s + 2, min(n, s + most) + 1):
-                    p = get(w[s:e])
-                    if p is not None:
-                        note((i, s, e, p))
-        at = np.array(found, np.int64).reshape(-1, 4)
+    def __init__(self, words: list[str], table: dict[str, int]):
+        finder, size = _finder(table)
         self.words, self.length = len(words), np.fromiter(map(len, words), np.int64, len(words))
-        self.at = at[np.lexsort((at[:, 1], at[:, 0], at[:, 2]))]
+        start = np.cumsum(self.length + 1) - self.length - 1
+        text = "\n".join(words)  # no piece holds a line's end
+        found = np.array([*finder.iter(text)], np.int64).reshape(-1, 2)
+        end, piece = found[:, 0] + 1, found[:, 1]
+        bare = np.ones(len(text), bool)  # characters without a piece of their own
+        bare[end[size[piece] == 1] - 1] = False
+        bare[start[1:] - 1] = False
+        bare = np.flatnonzero(bare)
+        end, piece = np.concatenate([end, bare + 1]), np.concatenate([piece, np.full(len(bare), len(table))])
+        word = np.searchsorted(start, end - 1, "right") - 1
+        end -= start[word]
+        begin = end - size[piece]
+        order = np.lexsort((begin, word, end))
+        self.at = np.stack([word, begin, end, piece], axis=1)[order]
 
     def sums(self, prob: np.ndarray, backward: bool = False) -> np.ndarray:
         """[word, position, language]: sums over all segmentations before (after) each position."""
@@ -88,11 +108,11 @@ def scaled(prob: np.ndarray, table: dict[str, int]) -> np.ndarray:
     return np.vstack([prob, np.full((1, prob.shape[1]), UNKNOWN)]) / SCALE ** length[:, None]
 
 
-def fit_language(counts: dict[str, int], table: dict[str, int], most: int, rounds: int = ROUNDS) -> np.ndarray:
+def fit_language(counts: dict[str, int], table: dict[str, int], rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities of one language from its word counts."""
     words = [*counts]
     n = np.array([counts[w] for w in words], float)
-    hits = Hits(words, table, most)
+    hits = Hits(words, table)
     w, s, e, p = hits.at.T
     prob = np.full(len(table), 1 / len(table))
     for _ in range(rounds):
@@ -114,7 +134,7 @@ def fit(docs: DataFrame, path: str | None = None) -> tuple[list[str], np.ndarray
     word = F.explode(F.split(F.trim(F.lower("text")), r"\s+")).alias("word")
     counts = sample.select("lang", word).where("word <> ''").groupBy("lang", "word").count().toPandas()
     table = pieces(path)
-    most, langs, probs = longest(table), [], []
+    langs, probs = [], []
     for lang, part in counts.groupby("lang", sort=True):
         part = part.sort_values(["count", "word"], ascending=[False, True]).head(FIT_WORDS)
         seen: dict[str, int] = {}
@@ -122,14 +142,14 @@ def fit(docs: DataFrame, path: str | None = None) -> tuple[list[str], np.ndarray
             for w in pretokens(text, LONGEST):
                 seen[w] = seen.get(w, 0) + int(c)
         langs.append(str(lang))
-        probs.append(fit_language(seen, table, most))
+        probs.append(fit_language(seen, table))
     return langs, np.array(probs).T if probs else np.empty((len(table), 0))
 
 
 class Scorer:
     def __init__(self, langs: list[str], prob: np.ndarray, path: str | None = None):
         self.table = pieces(path)
-        self.langs, self.prob, self.most = langs, scaled(prob, self.table), longest(self.table)
+        self.langs, self.prob = langs, scaled(prob, self.table)
         self.known: dict[str, int] = {}
         self.likelihood = np.empty((0, len(langs)))
 
@@ -144,7 +164,7 @@ class Scorer:
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             known.update(zip(part, range(len(known), len(known) + len(part))))
-            self.likelihood = np.concatenate([self.likelihood, Hits(part, self.table, self.most).likelihood(self.prob)])
+            self.likelihood = np.concatenate([self.likelihood, Hits(part, self.table).likelihood(self.prob)])
         out = []
         for row in rows:
             if row is None:
@@ -157,22 +177,27 @@ class Scorer:
         return out
 
 
+_SCORERS: dict[str, Scorer] = {}
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str | None = None) -> DataFrame:
     """Adds lang_pred and score to documents; the model is a broadcast table of pieces x languages."""
     langs, prob = model
     sent = docs.sparkSession.sparkContext.broadcast((langs, prob.astype(np.float32)))
+    name = uuid.uuid4().hex  # a process keeps the scorer of one model between its tasks
     schema = pa.schema([("lang_pred", pa.string()), ("score", pa.float64())])
     at = docs.columns.index("text")
 
     def run(batches):
-        scorer = None
+        if name not in _SCORERS:
+            names, p = sent.value
+            _SCORERS.clear()
+            _SCORERS[name] = Scorer(names, p.astype(float), path)
+        scorer = _SCORERS[name]
         for b in batches:
-            if scorer is None:
-                names, p = sent.value
-                scorer = Scorer(names, p.astype(float), path)
-            for start, _ in slices(b, at):
-                part = b.slice(start, len(_))
-                found = scorer.score(part.column(at).to_pylist())
+            for start, texts in slices(b, at):  # a null text is an empty one there, `und` both
+                part = b.slice(start, len(texts))
+                found = scorer.score(texts)
                 cols = [pa.array(c, f.type) for c, f in zip(zip(*found), schema)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *cols], [*part.schema.names, *schema.names])
 
