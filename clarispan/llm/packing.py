@@ -15,8 +15,10 @@ null doc_ids are kept; an empty table gives an empty result; extra columns are i
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -35,36 +37,73 @@ WINDOW, END = 2048, 1
 SHARD_DOCS = 2048
 K1, B = 1.2, 0.75
 NEIGHBOURS = 32
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 600_000
 _ODD = re.compile("[\x1c-\x1f]")
 _SPACES = re.compile(f"[{SPACE}]+")
+PLAIN_END = 0x180
+#: Other characters, the one below PLAIN_END that lower case makes two, and the start of special tokens.
+_OTHER = re.compile(f"[^\0-{chr(PLAIN_END - 1)}]|\u0130|<\\|")
+_LETTERS, _NUMBERS = ("".join(c for c in map(chr, range(PLAIN_END)) if unicodedata.category(c)[0] == kind) for kind in "LN")
+_PRETOKEN = re.compile(f"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[^{SPACE}{_LETTERS}{_NUMBERS}]+")
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class WordEncoder:
-    """Encodes by the tokenizers library, once for each distinct run between white space: no token of
-    this vocabulary crosses white space, nor does its normalisation."""
+    """Encodes by the tokenizers library, once for each distinct part of a text. For characters below
+    PLAIN_END lower case, composed forms and character classes are the same everywhere, so texts of them
+    are lowered and cut into the vocabulary's pre-tokens here, and the library only merges: many
+    pre-tokens in one call, told apart by the word end that closes each. Runs between white space with
+    other characters or a special token go through the whole library; no token crosses white space."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.merger = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (self.tokenizer, self.merger):
+            t.no_truncation()
+            t.no_padding()
+        self.merger.normalizer = None
+        self.merger.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.closes[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
+    def parts(self, text: str) -> list[str]:
+        """Pre-tokens in lower case, and runs between white space that the whole library must encode."""
+        if text.isascii() and "<|" not in text or not _OTHER.search(text):
+            return _PRETOKEN.findall(text.lower())
+        out: list[str] = []
+        for w in _SPACES.split(text) if _ODD.search(text) else text.split():
+            if _OTHER.search(w):
+                out.append(w)
+            else:
+                out += _PRETOKEN.findall(w.lower())
+        return out
+
+    def learn(self, new: list[str]) -> None:
+        """Puts the ids of new parts into the table."""
+        other = [w for w in new if _OTHER.search(w)] if _OTHER.search(" ".join(new)) else []
+        odd = set(other)
+        plain = [w for w in new if w not in odd]
+        if plain:
+            lines = ["\n".join(plain[at : at + 1000]) for at in range(0, len(plain), 1000)]
+            ids = np.array([i for e in self.merger.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], "<u4")
+            ends, raw = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist(), ids.tobytes()
+            self.known.update((w, raw[a:z]) for w, a, z in zip(plain, [0, *ends[:-1]], ends, strict=True))
+        if other:
+            found = self.tokenizer.encode_batch_fast(other, add_special_tokens=False)
+            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(other, found))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, without an end id."""
         if len(self.known) > KNOWN_WORDS:
             self.known.clear()
-        words = [_SPACES.split(t) if _ODD.search(t) else t.split() for t in texts]
-        known = self.known
-        new = list({w for row in words for w in row if w not in known})
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
-        return [np.frombuffer(b"".join(map(known.__getitem__, row)), "<u4") for row in words]
+        rows, known = [self.parts(t) for t in texts], self.known
+        new = list(set(itertools.chain.from_iterable(rows)).difference(known))
+        for at in range(0, len(new), 50_000):
+            self.learn(new[at : at + 50_000])
+        return [np.frombuffer(b"".join(map(known.__getitem__, row)), "<u4") for row in rows]
 
 
 _LOADED: dict[str, WordEncoder] = {}

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,3 +203,12 @@ def test_hot_groups_are_split_between_shards(spark):
     got = kd_sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), 8).groupBy("shard").agg(F.sum("size").alias("w")).collect()
     load = [r["w"] for r in got]
     assert len(load) == 8 and max(load) < 1.05 * min(load)
+
+
+def test_word_encoder_equals_the_library_on_any_characters():
+    encoder = packing.WordEncoder(public_tokenizers.path(packing.VOCABULARY))
+    pick = random.Random(3)
+    letters = [chr(c) for c in range(0x250)] + list("\u03a3\u03c3\u01c5\ufb01\u2019\u2014\u2026\u4e2d\u0627\u0327\u0301\u2028\u3000\U0001f600") + ["<|endoftext|>", "<|startoftext|>", "<|", "'S", "'RE "]
+    texts = ["", " ", "\x1c a", "it's <|endoftext|>x", *("".join(pick.choices(letters, k=pick.randint(0, 14))) for _ in range(4000))]
+    want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in encoder.encode(texts)] == want
