@@ -2,12 +2,16 @@
 
 Documents are encoded and closed by an end id. Whole windows of a long document are sequences of their
 own; what is left of each document goes to a shard of about SHARD_DOCS documents. A shard has an
-inverted BM25 index over token ids. A window starts with a seed document, which asks the index for its
+inverted BM25 index over the token ids of its whole documents, with the document frequencies and the
+mean length of all rows. A window starts with a seed document, which asks the index for its
 best unused neighbours, and they fill the window in that order; the one that does not fit is cut and
 its rest seeds the next window, so windows are full. What remains at a shard's end is cut into
 sequences of power-of-two lengths, which need no padding.
 
-Documents are dealt to shards by a hash, so every shard has its share, whatever the ids or texts are.
+Documents are placed by content: three weighted MinHash values over their token ids (a term is drawn by
+the square of its idf over all rows) order the table, ties by row, and ranges of that order are the
+shards. Two documents meet more often the more rare terms they share, and a large group of copies is cut
+at the bounds of its ranges. A seed sees its own shard and no other: neighbours placed elsewhere are missed.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are documents of their own;
 null doc_ids are kept; an empty table gives an empty result; extra columns are ignored.
@@ -30,12 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clarispan.llm.bpe import SPACE, slices
-from clarispan.llm.common import table, whole_groups
+from clarispan.llm.common import materialise, table
 
 VOCABULARY = "word_bpe_49k.json"
 WINDOW, END = 2048, 1
 SHARD_DOCS = 2048
 K1, B = 1.2, 0.75
+HASHES = 3
 NEIGHBOURS = 32
 KNOWN_WORDS = 600_000
 _ODD = re.compile("[\x1c-\x1f]")
@@ -46,6 +51,8 @@ _OTHER = re.compile(f"[^\0-{chr(PLAIN_END - 1)}]|\u0130|<\\|")
 _LETTERS, _NUMBERS = ("".join(c for c in map(chr, range(PLAIN_END)) if unicodedata.category(c)[0] == kind) for kind in "LN")
 _PRETOKEN = re.compile(f"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[^{SPACE}{_LETTERS}{_NUMBERS}]+")
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: Pieces that are whole windows have no row; else ids are the document's last ones, and counts the whole document's (term, tf, ...) where it has more.
+ENCODED = PIECE + ", row long, ids binary, counts binary"
 
 
 class WordEncoder:
@@ -109,20 +116,51 @@ class WordEncoder:
 _LOADED: dict[str, WordEncoder] = {}
 
 
+class Corpus:
+    """Document frequencies by token id, rows and mean length of all documents."""
+
+    def __init__(self, n: int, tokens: int, df: np.ndarray):
+        self.n, self.mean, self.df = n, max(tokens / max(n, 1), 1.0), df
+        self.idf = np.log((n - df + 0.5) / (df + 0.5))
+
+    def orders(self) -> np.ndarray:
+        """By hash and token id, the rank of the term's draw; the last rank if it can link no documents."""
+        useful = (self.idf > 0) & (self.df > 1)
+        draws = -np.log1p(-np.random.default_rng(8).random((HASHES, len(self.df))))
+        draws = np.where(useful, draws / np.where(useful, self.idf, 1.0) ** 2, np.inf)
+        ranks = np.empty((HASHES, len(self.df)), np.int64)
+        for r, d in zip(ranks, draws):
+            r[np.argsort(d, kind="stable")] = np.arange(len(d))
+        return np.where(useful, ranks, len(self.df))
+
+
+def bags(ids: list[np.ndarray], counts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted (document, term) as document << 32 | term, and tf: of the counts (term, tf, ...) where a
+    document has them, else of its ids."""
+    long = [d for d, c in enumerate(counts) if c is not None]
+    size = np.fromiter((0 if c is not None else len(x) for x, c in zip(ids, counts)), np.int64, len(ids))
+    short = [x for x, c in zip(ids, counts) if c is None]
+    key, tf = np.unique((np.repeat(np.arange(len(ids)), size) << 32) | np.concatenate([*short, np.empty(0, np.uint32)]).astype(np.int64), return_counts=True)
+    if long:
+        own = [np.frombuffer(counts[d], "<u4").astype(np.int64).reshape(-1, 2) for d in long]
+        key = np.concatenate([key, *((d << 32) | x[:, 0] for d, x in zip(long, own))])
+        tf = np.concatenate([tf, *(x[:, 1] for x in own)])
+        order = np.argsort(key, kind="stable")
+        key, tf = key[order], tf[order]
+    return key >> 32, key & 0xFFFFFFFF, tf
+
+
 class ShardIndex:
-    """An inverted BM25 index over the token ids of a shard's documents."""
+    """An inverted BM25 index over the token ids of a shard's documents, with the corpus's statistics."""
 
-    def __init__(self, docs: list[np.ndarray]):
-        self.n = len(docs)
-        size = np.fromiter(map(len, docs), np.int64, self.n)
-        key, tf = np.unique((np.repeat(np.arange(self.n), size) << 32) | np.concatenate([*docs, np.empty(0, np.uint32)]).astype(np.int64), return_counts=True)
-        doc, term = key >> 32, key & 0xFFFFFFFF
+    def __init__(self, ids: list[np.ndarray], counts: list[bytes | None], size: np.ndarray, corpus: Corpus):
+        self.n = len(ids)
+        doc, term, tf = bags(ids, counts)
+        idf = corpus.idf[term]
         terms, term = np.unique(term, return_inverse=True)
-        df = np.bincount(term, minlength=len(terms))
-        idf = np.log((self.n - df + 0.5) / (df + 0.5))
-        useful = (idf[term] > 0) & (df[term] > 1)  # the others add nothing to any neighbour
-        doc, term, tf = doc[useful], term[useful], tf[useful]
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / max(size.mean(), 1)))
+        useful = (idf > 0) & (np.bincount(term, minlength=len(terms))[term] > 1)  # the others add nothing to any neighbour
+        doc, term, tf, idf = doc[useful], term[useful], tf[useful], idf[useful]
+        weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / corpus.mean))
         self.terms, self.edge = term, np.searchsorted(doc, np.arange(self.n + 1))  # by document
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]  # by term
@@ -139,10 +177,10 @@ class ShardIndex:
         return best[score[best] > 0]
 
 
-def pack(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
-    """Sequences of pieces (document, from, to); all are full but the last ones, which have
+def pack(docs: list[np.ndarray], index: ShardIndex, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+    """Sequences of pieces (document, from, to) of the documents' last ids; all are full but the last ones, which have
     power-of-two lengths."""
-    index, unused = ShardIndex(docs), np.ones(len(docs), bool)
+    unused = np.ones(len(docs), bool)
     sequences, now, free, at = [], [], window, 0
 
     def add(d: int, a: int) -> None:
@@ -200,53 +238,109 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def statistics(docs: DataFrame) -> Corpus:
+    """Of encoded documents (ids, counts, doc_tokens). A term is one of a vocabulary, so the sums are small."""
+    def run(batches):
+        n = tokens = 0
+        df = np.zeros(0, np.int64)
+        for b in batches:
+            for at in range(0, b.num_rows, SHARD_DOCS):
+                part = b.slice(at, SHARD_DOCS)
+                _, term, _ = bags([np.frombuffer(x, "<u4") for x in part.column(0).to_pylist()], part.column(1).to_pylist())
+                found = np.bincount(term, minlength=len(df))
+                found[: len(df)] += df
+                df, n, tokens = found, n + part.num_rows, tokens + int(part.column(2).to_numpy().sum())
+        has = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(has, [-1, -2])), pa.array(np.append(df[has], [n, tokens]))], ["term", "n"])
+
+    sums = {r["term"]: r["n"] for r in docs.select("ids", "counts", "doc_tokens").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    n, tokens = sums.pop(-1, 0), sums.pop(-2, 0)
+    df = np.zeros(max(sums, default=0) + 1, np.int64)
+    df[list(sums)] = list(sums.values())
+    return Corpus(n, tokens, df)
+
+
+def placed(docs: DataFrame, corpus: Corpus) -> DataFrame:
+    """Encoded documents with their place in the order of contents."""
+    orders = corpus.orders()
+
+    def run(batches):
+        for b in batches:
+            ids, counts = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("ids", "counts"))
+            terms = [np.frombuffer(x, "<u4") if c is None else np.frombuffer(c, "<u4")[::2] for x, c in zip(ids, counts)]
+            size = np.fromiter(map(len, terms), np.int64, len(terms))
+            place = np.zeros(len(terms), np.int64)
+            if size.sum():
+                every = np.concatenate(terms)
+                for order in orders:
+                    low = np.full(len(terms), len(order), np.int64)
+                    low[size > 0] = np.minimum.reduceat(order[every], (np.cumsum(size) - size)[size > 0])
+                    place = (place << 21) | low
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(place)], [*b.schema.names, "place"])
+
+    return docs.mapInArrow(run, f"{ENCODED}, place long")
+
+
 def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """The columns of PIECE for every piece of every document."""
     path = path or public_tokenizers.path(VOCABULARY)
-    shards = max(1, -(-docs.count() // shard_docs))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(shards)).alias("shard"))
-    schema = [*(x.split()[0] for x in PIECE.split(", ")), "shard", "ids"]
-    types = [pa.int64()] * 8 + [pa.binary()]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    names = [x.split()[0] for x in ENCODED.split(", ")]
+    types = [pa.int64()] * 8 + [pa.binary()] * 2
 
     def tokens(batches):
         if path not in _LOADED:
             _LOADED[path] = WordEncoder(path)
-        own = TaskContext.get().partitionId() << 33
+        own = row = TaskContext.get().partitionId() << 33
         for b in batches:
             for start, texts in slices(b, 1):
                 out: list[tuple] = []
                 for i, ids in enumerate(_LOADED[path].encode(texts)):
-                    ids = np.append(ids, np.uint32(END))
-                    doc, shard, n = b.column(0)[start + i].as_py(), b.column(2)[start + i].as_py(), len(ids)
+                    ids = np.append(ids, np.uint32(END)).astype("<u4")
+                    doc, n = b.column(0)[start + i].as_py(), len(ids)
                     for a in range(0, n - window + 1, window):
-                        out.append((doc, a, window, _crc(ids[a : a + window]), n, own << 1, 0, shard, None))
+                        out.append((doc, a, window, _crc(ids[a : a + window]), n, own << 1, 0, None, None, None))
                         own += 1
-                    if n % window:
-                        out.append((doc, n - n % window, n % window, 0, n, -1, 0, shard, ids[n - n % window :].astype("<u4").tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], schema)
+                    counts = np.stack(np.unique(ids, return_counts=True), axis=1).astype("<u4").tobytes() if n >= window else None
+                    out.append((doc, n - n % window, n % window, 0, n, -1, 0, row, ids[n - n % window :].tobytes(), counts))
+                    row += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+
+    def shards(batches):
+        """Tables of about shard_docs rows each, none of them a small rest but a partition's only one."""
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            while sum(x.num_rows for x in held) > 2 * shard_docs:
+                t = pa.Table.from_batches(held)
+                yield t.slice(0, shard_docs)
+                held = t.slice(shard_docs).to_batches()
+        n = sum(x.num_rows for x in held)
+        if n:
+            t, k = pa.Table.from_batches(held), 1 + (2 * n > 3 * shard_docs)
+            for j in range(k):
+                yield t.slice(n * j // k, n * (j + 1) // k - n * j // k)
 
     def windows(batches):
         own = TaskContext.get().partitionId() << 33
-        for t in whole_groups(batches, ["shard"]):
-            whole = t.filter(pa.compute.less_equal(pa.compute.fill_null(pa.compute.binary_length(t["ids"]), 0), 0))
-            yield from whole.select(schema[:7]).to_batches()
-            tails = t.filter(pa.compute.is_valid(t["ids"]))
-            doc, base, n, shard = (tails[c].to_numpy(zero_copy_only=False) if c != "doc_id" else tails[c].to_pylist() for c in ("doc_id", "start", "doc_tokens", "shard"))
-            ids = [np.frombuffer(x, "<u4") for x in tails["ids"].to_pylist()]
-            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(ids)]
-            for a, z in zip(cuts, cuts[1:]):
-                out: list[tuple] = []
-                for pieces in pack(ids[a:z], window) if z > a else []:
-                    at = 0
-                    for d, x, y in pieces:
-                        out.append((doc[a + d], int(base[a + d]) + x, y - x, _crc(ids[a + d][x:y]), int(n[a + d]), (own << 1) | 1, at))
-                        at += y - x
-                    own += 1
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema[:7])
-
-    made = rows.mapInArrow(tokens, PIECE + ", shard long, ids binary")
-    return made.repartition("shard").sortWithinPartitions("shard", "doc_id", "doc_tokens").mapInArrow(windows, PIECE)
+        for t in shards(batches):
+            base, n = t["start"].to_numpy(), t["doc_tokens"].to_numpy()
+            doc, ids = t["doc_id"].to_pylist(), [np.frombuffer(x, "<u4") for x in t["ids"].to_pylist()]
+            out: list[tuple] = []
+            for pieces in pack(ids, ShardIndex(ids, t["counts"].to_pylist(), n, corpus), window):
+                at = 0
+                for d, x, y in pieces:
+                    out.append((doc[d], int(base[d]) + x, y - x, _crc(ids[d][x:y]), int(n[d]), (own << 1) | 1, at))
+                    at += y - x
+                own += 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names[:7])
+
+    made = materialise(rows.mapInArrow(tokens, ENCODED), "packing")
+    encoded = made.where("row is not null")
+    corpus = statistics(encoded)
+    parts = placed(encoded.where("length > 0"), corpus).repartitionByRange(max(1, -(-corpus.n // shard_docs)), "place", "row")
+    whole = made.where("row is null").select(names[:7])
+    return whole.unionAll(parts.sortWithinPartitions("place", "row").mapInArrow(windows, PIECE))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -212,3 +212,29 @@ def test_word_encoder_equals_the_library_on_any_characters():
     texts = ["", " ", "\x1c a", "it's <|endoftext|>x", *("".join(pick.choices(letters, k=pick.randint(0, 14))) for _ in range(4000))]
     want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert [x.tolist() for x in encoder.encode(texts)] == want
+
+
+def test_related_documents_meet_across_shards(spark):
+    pick = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = ["".join(pick.choices(letters, k=7)) for _ in range(3000)]
+    topics = [pick.sample(names, 30) for _ in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(pick.choices(topics[i % 40], k=40))) for i in range(800)], "doc_id long, text string").repartition(3)
+    shards = {}
+    for r in packing.pack_documents(docs, shard_docs=40).collect():
+        shards.setdefault(r["sequence_id"] >> 34, set()).add(r["doc_id"])
+    same = [sum(o % 40 == d % 40 for o in s) - 1 for s in shards.values() for d in s]
+    assert np.mean(same) > 5  # of 19; dealt by a hash it is about one
+
+
+def test_packing_statistics_cover_whole_documents(spark):
+    docs = spark.createDataFrame([(i, "red " * 3000 + "blue" if i == 0 else "green") for i in range(9)], "doc_id long, text string")
+    seen = []
+    at, packing.statistics = packing.statistics, lambda rows: seen.append(at(rows)) or seen[0]
+    try:
+        got = packing.pack_documents(docs, shard_docs=2).collect()
+    finally:
+        packing.statistics = at
+    word = packing.WordEncoder(public_tokenizers.path(packing.VOCABULARY)).encode(["red", "blue", "green"])
+    assert seen[0].n == 9 and [int(seen[0].df[w[0]]) for w in word] == [1, 1, 8] and seen[0].mean == (3002 + 16) / 9
+    assert sum(r["length"] for r in got) == 3002 + 16
