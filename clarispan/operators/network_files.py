@@ -114,15 +114,26 @@ def eligible_files(files: DataFrame, memberships: DataFrame, index: DataFrame, a
     return indexed.union(plain).distinct()
 
 
-def search_plans(eligible: DataFrame, links: DataFrame, query: str, limit: int = 12, per_file: int = 24) -> DataFrame:
+def search_plans(
+    eligible: DataFrame, links: DataFrame, query: str, limit: int = 12, per_file: int = 24, sets: DataFrame | None = None, set_entries: DataFrame | None = None
+) -> DataFrame:
     """Plans whose name holds the query: issuers take turns by file, at most per_file rows of a file,
-    one row for each plan. Every limit has a full order."""
+    one row for each plan. Every limit has a full order.
+
+    With sets (file_id, set_id) and set_entries (set_id, plan fields), files that have a set are searched
+    through its entries, all of them, and a set's issuer is that of its smallest eligible file.
+    """
+    fields = ["plan_id_type", "plan_id", "plan_name", "plan_market_type", "reporting_entity"]
     turn = Window.partitionBy("reporting_entity").orderBy("file_id")
-    files = eligible.select("file_id", "reporting_entity").withColumn("turn", F.row_number().over(turn))
+    single = eligible if sets is None else eligible.join(sets, "file_id", "left_anti")
+    files = single.select("file_id", "reporting_entity").withColumn("turn", F.row_number().over(turn))
     hits = links.where(contains_text(F.col("plan_name"), query)).join(files, "file_id")
     first = Window.partitionBy("file_id").orderBy("plan_name", "plan_id_type", "plan_id")
     hits = hits.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_file)
-    found = hits.orderBy("turn", "reporting_entity", "file_id", "n").limit(per_file * limit)
+    found = hits.orderBy("turn", "reporting_entity", "file_id", "n").limit(per_file * limit).select(*fields)
+    if sets is not None:
+        issuers = eligible.join(sets, "file_id").groupBy("set_id").agg(F.min_by("reporting_entity", "file_id").alias("reporting_entity"))
+        found = found.unionByName(set_entries.where(contains_text(F.col("plan_name"), query)).join(issuers, "set_id").select(*fields))
     plans = found.groupBy("plan_id_type", "plan_id", "plan_name").agg(F.min("plan_market_type").alias("market"), F.min("reporting_entity").alias("issuer"))
     return plans.orderBy("plan_name", "plan_id_type", "plan_id").limit(limit)
 

@@ -213,6 +213,22 @@ def plan_search(spark, sf_dir):
     return nf.search_plans(_eligible(spark, sf_dir), links(spark, sf_dir), " #00000 ")
 
 
+@query(ELIGIBLE + "," + SETS + """,
+turns AS (SELECT file_id, reporting_entity, row_number() OVER (PARTITION BY reporting_entity ORDER BY file_id) AS turn FROM eligible WHERE file_id NOT IN (SELECT file_id FROM sets)),
+hits AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY plan_name, plan_id_type, plan_id) AS n FROM links JOIN turns USING (file_id) WHERE contains(lower(plan_name), '#00000') QUALIFY n <= 24),
+found AS (SELECT * FROM hits ORDER BY turn, reporting_entity, file_id, n LIMIT 288),
+issuers AS (SELECT set_id, arg_min(reporting_entity, file_id) AS reporting_entity FROM eligible JOIN sets USING (file_id) GROUP BY set_id),
+candidates AS (
+  SELECT plan_id_type, plan_id, plan_name, plan_market_type, reporting_entity FROM found
+  UNION ALL SELECT plan_id_type, plan_id, plan_name, plan_market_type, reporting_entity FROM entries JOIN issuers USING (set_id) WHERE contains(lower(plan_name), '#00000')
+)
+SELECT plan_id_type, plan_id, plan_name, min(plan_market_type) AS market, min(reporting_entity) AS issuer FROM candidates GROUP BY ALL ORDER BY plan_name, plan_id_type, plan_id LIMIT 12""")
+def plan_search_shared(spark, sf_dir):
+    """As plan_search, and the plans of files with a shared set."""
+    sets, entries = shared_sets(spark, sf_dir)
+    return nf.search_plans(_eligible(spark, sf_dir), links(spark, sf_dir), " #00000 ", sets=sets, set_entries=entries)
+
+
 @query("WITH" + MEMBERS + """
 SELECT file_id, prefix, count(*) AS n, sha256(string_agg(suffix, chr(10) ORDER BY suffix) || chr(10)) AS raw_sha256 FROM (SELECT DISTINCT file_id, npi[1:4] AS prefix, npi[5:10] AS suffix FROM memberships) GROUP BY ALL""")
 def compact_buckets(spark, sf_dir):

@@ -135,3 +135,13 @@ def test_publisher(spark, tmp_path):
         p.publish(spark.range(7), "k", day)
     p.withdraw("k")
     assert p.read("k").count() == 5
+
+
+def test_plan_search_finds_plans_of_shared_sets(spark):
+    eligible = spark.createDataFrame([(1, "A"), (2, "C"), (3, "B")], "file_id long, reporting_entity string")
+    plan = "plan_name string, plan_id_type string, plan_id string, plan_market_type string"
+    links = spark.createDataFrame([(1, "Gold one", "ein", "1", "group"), (2, "Gold stale link", "ein", "9", "group")], f"file_id long, {plan}")
+    sets = spark.createDataFrame([(2, 7), (3, 7), (5, 8)], "file_id long, set_id long")
+    entries = spark.createDataFrame([(7, "Gold two", "ein", "2", "group"), (7, "Silver", "ein", "3", "group"), (8, "Gold closed", "ein", "4", "group")], f"set_id long, {plan}")
+    got = network_files.search_plans(eligible, links, "gold", sets=sets, set_entries=entries).collect()
+    assert [(r["plan_name"], r["issuer"]) for r in got] == [("Gold one", "A"), ("Gold two", "C")]
