@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clarispan import policy
 from clarispan.functions.scalars import half_up
+from clarispan.operators.ranking import ranked
 from clarispan.operators.reconcile import CLAIM, latest, two_way
 
 API, MRF = "MARKETPLACE_API", "ISSUER_MRF"
@@ -61,10 +62,10 @@ def roll_up(matched: DataFrame) -> DataFrame:
 
 def rank_matches(rolled: DataFrame, limit: int | None = None) -> DataFrame:
     """Best plans first: score, confidence, then the plan's id. A limit makes it a top-k, without one
-    the ranks come from range partitions."""
+    all plans are ranked, over range partitions."""
     order = [F.desc("match_score"), F.desc("network_confidence"), F.asc("plan_id")]
     if limit is None:
-        return rolled.orderBy(*order)
+        return ranked(rolled, order)
     top = rolled.orderBy(*order).limit(limit)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 

@@ -117,6 +117,11 @@ def match_rank(spark, sf_dir):
     return matching.rank_matches(matching.roll_up(matched(spark, sf_dir)), 25).select("plan_id", "match_score", "network_confidence", "rank")
 
 
+@query("WITH" + ROLLED + "\nSELECT plan_id, match_score, network_confidence, row_number() OVER (ORDER BY match_score DESC, network_confidence DESC, plan_id) AS rank FROM rolled")
+def match_rank_all(spark, sf_dir):
+    return matching.rank_matches(matching.roll_up(matched(spark, sf_dir))).select("plan_id", "match_score", "network_confidence", "rank")
+
+
 @query("WITH" + MATCHED + """
 SELECT kind, subject_key, plan_id, CASE WHEN verdict = 'CONFLICT' THEN 'conflict' WHEN status = 'unknown' THEN 'unknown' WHEN status LIKE '%\\_unverified' ESCAPE '\\' THEN 'unverified' ELSE 'low_confidence' END AS reason
 FROM matched WHERE confirm""")

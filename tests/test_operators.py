@@ -145,3 +145,10 @@ def test_plan_search_finds_plans_of_shared_sets(spark):
     entries = spark.createDataFrame([(7, "Gold two", "ein", "2", "group"), (7, "Silver", "ein", "3", "group"), (8, "Gold closed", "ein", "4", "group")], f"set_id long, {plan}")
     got = network_files.search_plans(eligible, links, "gold", sets=sets, set_entries=entries).collect()
     assert [(r["plan_name"], r["issuer"]) for r in got] == [("Gold one", "A"), ("Gold two", "C")]
+
+
+def test_ranks_without_a_limit_cover_all_plans(spark):
+    rows = spark.range(0, 500, 1, 7).select(F.col("id").cast("string").alias("plan_id"), (F.col("id") * 37 % 11).cast("double").alias("match_score"), (F.col("id") % 3).cast("double").alias("network_confidence"))
+    got = matching.rank_matches(rows).collect()
+    want = sorted(got, key=lambda r: (-r["match_score"], -r["network_confidence"], r["plan_id"]))
+    assert len(got) == 500 and [r["rank"] for r in want] == list(range(1, 501))
