@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clarispan.llm.common import table
+from clarispan.llm.common import resident, small_batches, table, texts_by_slice
 
 VOCABULARY = "byte_bpe_50k.json"
 KNOWN_PIECES = 200_000
@@ -124,40 +124,22 @@ class ByteBPE:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", errors="replace")
 
 
-_LOADED: dict[str, ByteBPE] = {}
-
-
 def vocabulary(path: str) -> ByteBPE:
     """One for each process and file."""
-    if path not in _LOADED:
-        _LOADED[path] = ByteBPE(path)
-    return _LOADED[path]
-
-
-def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20):
-    """(first row, texts) of runs of a batch's rows with about `most` characters."""
-    texts, start, held = [], 0, 0
-    for i, t in enumerate(batch.column(column)):
-        t = t.as_py() or ""
-        texts.append(t)
-        held += len(t)
-        if held >= most:
-            yield start, texts
-            texts, start, held = [], i + 1, 0
-    if texts:
-        yield start, texts
+    return resident(("bpe", path), lambda: ByteBPE(path))
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Rows (doc_id, ids, decoded): ids as little-endian unsigned 32-bit integers."""
     path = path or public_tokenizers.path(VOCABULARY)
+    small_batches(docs.sparkSession)
 
     def run(batches):
         bpe = vocabulary(path)
         for b in batches:
-            for start, texts in slices(b, 1):
+            for part, texts in texts_by_slice(b, 1):
                 ids = bpe.encode(texts)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())], ["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())], ["doc_id", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary, decoded string")
 
@@ -165,14 +147,15 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
     path = path or public_tokenizers.path(VOCABULARY)
+    small_batches(docs.sparkSession)
 
     def run(batches):
         bpe, sha = vocabulary(path), lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
-            for start, texts in slices(b, 1):
+            for part, texts in texts_by_slice(b, 1):
                 ids = bpe.encode(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(start, len(texts)), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array([sha(bpe.decode(x).encode()) for x in ids], pa.string())],
+                    [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array([sha(bpe.decode(x).encode()) for x in ids], pa.string())],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,22 +13,83 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a batch that goes to a Python worker; a longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
+_LOCAL: dict[str, str] = {}
+_WRITTEN: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share. Where none is set, a temporary one serves a session that has no
+    other machine (tests); on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="clarispan-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = _LOCAL.setdefault(master, _LOCAL.get(master) or "file://" + tempfile.mkdtemp(prefix="clarispan-"))
     return folder.rstrip("/")
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: cuts lineage, survives lost executors."""
+def materialise(df: DataFrame, tag: str, replaces: DataFrame | None = None) -> DataFrame:
+    """Writes a table to the shared folder and reads it back: cuts lineage, survives lost executors. The table of
+    `replaces`, an earlier one that nothing else reads, goes."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    if replaces is not None and replaces in _WRITTEN:
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop(replaces))
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+    return out
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of BATCH_BYTES to Python workers from now on, unless the session has smaller ones: a task then holds
+    few megabytes of text whatever its rows' lengths."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or int(now.rstrip("b") if now.rstrip("b").isdigit() else 1 << 62) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+_RESIDENT: dict = {}
+
+
+def resident(key, make: Callable):
+    """What a Python worker keeps between tasks of one operator: one thing in a process, so that an operator's
+    tables and known words go when the next one's tasks begin."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
+def texts_by_slice(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Runs of a batch's rows with about `most` characters, and their texts; a null text is an empty one."""
+    texts, start, held = [], 0, 0
+    for i, t in enumerate(batch.column(column)):
+        t = t.as_py() or ""
+        texts.append(t)
+        held += len(t)
+        if held >= most:
+            yield batch.slice(start, len(texts)), texts
+            texts, start, held = [], i + 1, 0
+    if texts:
+        yield batch.slice(start, len(texts)), texts
+
+
+def without(docs: DataFrame, names) -> DataFrame:
+    """The columns that no name of a result (in any case) replaces."""
+    names = {n.lower() for n in names}
+    return docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in names])
+
+
+def position(docs: DataFrame, column: str) -> int:
+    return [c.lower() for c in docs.columns].index(column.lower())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,7 +128,7 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     current = materialise(edges, tag)
     before = state(current)
     while True:
-        current = materialise(star(star(current, True), False), tag)
+        current = materialise(star(star(current, True), False), tag, replaces=current)
         after = state(current)
         if after == before:
             return current.select(F.col("src").alias("node"), F.col("dst").alias("root"))
@@ -131,9 +194,23 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         label = again
 
 
-def text_rows(ids: pa.Array, texts: pa.Array) -> Iterator[tuple[int | None, str]]:
-    for i, t in zip(ids.to_pylist(), texts.to_pylist()):
-        yield i, t if t is not None else ""
-
-
-Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+def spanning(n: int, left: np.ndarray, right: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which of the links form a spanning forest of least weight; the earlier of two equal ones is taken."""
+    order = np.argsort(weight, kind="stable")
+    a, b = left[order], right[order]
+    label, taken, number = np.arange(n), [], np.arange(len(order))
+    while len(a):
+        x, y = label[a], label[b]
+        apart = x != y
+        a, b, number, x, y = a[apart], b[apart], number[apart], x[apart], y[apart]
+        if not len(a):
+            break
+        best = np.full(n, len(order))
+        np.minimum.at(best, x, number)
+        np.minimum.at(best, y, number)
+        picked = np.unique(best[best < len(order)])
+        taken.append(picked)
+        at = np.searchsorted(number, picked)
+        roots = forest(n, x[at], y[at])
+        label = roots[label]
+    return order[np.concatenate(taken)] if taken else np.empty(0, np.int64)

@@ -12,7 +12,8 @@ rows are scored, over their whole texts.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; so is every text if there
 is nothing to learn from; repeated rows give repeated results; null doc_ids are kept (and not held
-out); an empty table gives an empty result; extra columns are ignored.
+out); an empty table gives an empty result; extra columns stay, but those named like a result (lang_pred,
+score) are replaced by it.
 """
 
 from __future__ import annotations
@@ -26,8 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clarispan.llm.bpe import slices
-from clarispan.llm.common import held_out, table
+from clarispan.llm.common import held_out, position, resident, small_batches, table, texts_by_slice, without
 from clarispan.llm.pieces import pieces, pretokens
 
 #: Bounds of the sample that the probabilities are fitted on: rows, characters of a row, words of a language.
@@ -177,37 +177,41 @@ class Scorer:
         return out
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str | None = None) -> DataFrame:
-    """Adds lang_pred and score to documents; the model is a broadcast table of pieces x languages."""
+def _scored(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str | None, emit, schema) -> DataFrame:
+    """What emit(rows, predictions) makes of runs of rows; the model is a broadcast table of pieces x languages."""
+    small_batches(docs.sparkSession)
     langs, prob = model
     sent = docs.sparkSession.sparkContext.broadcast((langs, prob.astype(np.float32)))
     name = uuid.uuid4().hex  # a process keeps the scorer of one model between its tasks
-    schema = pa.schema([("lang_pred", pa.string()), ("score", pa.float64())])
-    at = docs.columns.index("text")
+    at = position(docs, "text")
 
     def run(batches):
-        if name not in _SCORERS:
-            names, p = sent.value
-            _SCORERS.clear()
-            _SCORERS[name] = Scorer(names, p.astype(float), path)
-        scorer = _SCORERS[name]
+        scorer = resident(("language", name), lambda: Scorer(sent.value[0], sent.value[1].astype(float), path))
         for b in batches:
-            for start, texts in slices(b, at):  # a null text is an empty one there, `und` both
-                part = b.slice(start, len(texts))
-                found = scorer.score(texts)
-                cols = [pa.array(c, f.type) for c, f in zip(zip(*found), schema)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *cols], [*part.schema.names, *schema.names])
+            for part, texts in texts_by_slice(b, at):  # a null text is an empty one there, `und` both
+                yield emit(part, scorer.score(texts))
 
-    return docs.mapInArrow(run, docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema)
+    return docs.mapInArrow(run, schema)
+
+
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str | None = None) -> DataFrame:
+    """Adds lang_pred and score to documents."""
+    docs = without(docs, ["lang_pred", "score"])
+
+    def emit(part, found):
+        langs, scores = zip(*found)
+        return pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names, "lang_pred", "score"])
+
+    return _scored(docs, model, path, emit, docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema)
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Documents whose language is found: `und` and scores below `least` go."""
-    inner = docs.select("text", F.struct(*docs.columns).alias("row"))
-    return predict(inner, fit(docs)).where((F.col("lang_pred") != UND) & (F.col("score") >= least)).select("row.*")
+    """Documents whose language is found, with their columns: `und` and scores below `least` go. A row goes to
+    Python once, and comes back only if it is kept."""
+    def emit(part, found):
+        return part.filter(pa.array([lang != UND and score >= least for lang, score in found]))
+
+    return _scored(docs, fit(docs), None, emit, docs.schema)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clarispan.llm.common import components, forest, materialise, pair_slabs, table, whole_groups
+from clarispan.llm.common import components, forest, materialise, pair_slabs, resident, small_batches, table, whole_groups
 
 THRESHOLD = 2
 MIN_CHARS = 24
@@ -61,6 +61,7 @@ def probes(n: int, threshold: int = THRESHOLD) -> tuple[list[tuple[int, int, int
 
 def _keys(batches):
     """Rows (key, h1, own) of lines (h1, line), each line once for some time."""
+    resident("lines", dict)
     digest, plans, recent = xxhash.xxh64_intdigest, {}, set()
     for b in batches:
         key, line, own = [], [], []
@@ -197,6 +198,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 def near_line_links(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Links (src, dst) between nodes of different lines that connect all lines within THRESHOLD."""
     spark = docs.sparkSession
+    small_batches(spark)
     long = lines_of(docs).where(F.length("line") >= MIN_CHARS)
     keyed = long.select("h1", "line").mapInArrow(_keys, "key long, h1 long, own boolean")
     live = keyed.repartition("key").sortWithinPartitions("key", "h1", "own").mapInArrow(_live, "key long, h1 long, own boolean")

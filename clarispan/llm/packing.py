@@ -33,8 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clarispan.llm.bpe import SPACE, slices
-from clarispan.llm.common import materialise, table
+from clarispan.llm.bpe import SPACE
+from clarispan.llm.common import materialise, resident, small_batches, table, texts_by_slice
 
 VOCABULARY = "word_bpe_49k.json"
 WINDOW, END = 2048, 1
@@ -113,9 +113,6 @@ class WordEncoder:
         return [np.frombuffer(b"".join(map(known.__getitem__, row)), "<u4") for row in rows]
 
 
-_LOADED: dict[str, WordEncoder] = {}
-
-
 class Corpus:
     """Document frequencies by token id, rows and mean length of all documents."""
 
@@ -284,20 +281,20 @@ def placed(docs: DataFrame, corpus: Corpus) -> DataFrame:
 def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """The columns of PIECE for every piece of every document."""
     path = path or public_tokenizers.path(VOCABULARY)
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     names = [x.split()[0] for x in ENCODED.split(", ")]
     types = [pa.int64()] * 8 + [pa.binary()] * 2
 
     def tokens(batches):
-        if path not in _LOADED:
-            _LOADED[path] = WordEncoder(path)
+        encoder = resident(("words", path), lambda: WordEncoder(path))
         own = row = TaskContext.get().partitionId() << 33
         for b in batches:
-            for start, texts in slices(b, 1):
+            for part, texts in texts_by_slice(b, 1):
                 out: list[tuple] = []
-                for i, ids in enumerate(_LOADED[path].encode(texts)):
+                for i, ids in enumerate(encoder.encode(texts)):
                     ids = np.append(ids, np.uint32(END)).astype("<u4")
-                    doc, n = b.column(0)[start + i].as_py(), len(ids)
+                    doc, n = part.column(0)[i].as_py(), len(ids)
                     for a in range(0, n - window + 1, window):
                         out.append((doc, a, window, _crc(ids[a : a + window]), n, own << 1, 0, None, None, None))
                         own += 1
@@ -322,6 +319,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDO
                 yield t.slice(n * j // k, n * (j + 1) // k - n * j // k)
 
     def windows(batches):
+        resident("windows", dict)
         own = TaskContext.get().partitionId() << 33
         for t in shards(batches):
             base, n = t["start"].to_numpy(), t["doc_tokens"].to_numpy()

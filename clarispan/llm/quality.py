@@ -11,7 +11,8 @@ all rows are scored, over their whole texts.
 
 Defined cases: a null text scores like an empty one; labels that are null or of unknown documents are
 not learnt from; without labels every score is 1; repeated rows give repeated results; null doc_ids
-are kept (and not held out); an empty table gives an empty result; extra columns are ignored.
+are kept (and not held out); an empty table gives an empty result; extra columns stay, but those named
+like a result (score, predicted) are replaced by it.
 """
 
 from __future__ import annotations
@@ -24,8 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clarispan.llm.bpe import slices
-from clarispan.llm.common import held_out, table
+from clarispan.llm.common import held_out, position, resident, small_batches, table, texts_by_slice, without
 
 #: Bound of the sample of labelled rows that the model is fitted on.
 FIT_ROWS = 20_000
@@ -167,13 +167,14 @@ def fit_additive(x: np.ndarray, y: np.ndarray) -> Additive:
 
 def with_features(docs: DataFrame) -> DataFrame:
     """Adds `x`, the features of `text`, to the other columns; the text itself is left out."""
-    at = docs.columns.index("text")
+    small_batches(docs.sparkSession)
+    at = position(docs, "text")
     rest = [i for i in range(len(docs.columns)) if i != at]
 
     def run(batches):
+        resident("quality", dict)
         for b in batches:
-            for start, texts in slices(b, at):
-                part = b.slice(start, len(texts))
+            for part, texts in texts_by_slice(b, at):
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in rest), pa.array([features(t) for t in texts], pa.list_(pa.float64()))], [*(part.schema.names[i] for i in rest), "x"])
 
     return docs.mapInArrow(run, docs.drop("text").withColumn("x", F.array(F.lit(0.0))).schema)
@@ -192,13 +193,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Additive:
 
 def scores(docs: DataFrame, model: Additive, text_col: str = "text") -> DataFrame:
     """Adds score and predicted to documents."""
+    docs = without(docs, ["score", "predicted"])
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
+    at = position(docs, text_col)
 
     def run(batches):
+        resident("quality", dict)
         for b in batches:
-            for start, texts in slices(b, at):
-                part = b.slice(start, len(texts))
+            for part, texts in texts_by_slice(b, at):
                 score = sent.value.score(np.array([features(t) for t in texts]))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array((score >= LEAST).astype(np.int32))], [*part.schema.names, "score", "predicted"])
 
@@ -206,9 +209,20 @@ def scores(docs: DataFrame, model: Additive, text_col: str = "text") -> DataFram
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents that the classifier predicts to be good, with their columns."""
-    inner = docs.select("text", F.struct(*docs.columns).alias("row"))
-    return scores(inner, fit(docs, labels)).where("predicted = 1").select("row.*")
+    """Documents that the classifier predicts to be good, with their columns. A row goes to Python once, and
+    comes back only if it is kept."""
+    model = fit(docs, labels)
+    small_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = position(docs, "text")
+
+    def run(batches):
+        resident("quality", dict)
+        for b in batches:
+            for part, texts in texts_by_slice(b, at):
+                yield part.filter(pa.array(sent.value.score(np.array([features(t) for t in texts])) >= LEAST))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clarispan.llm.common import components, forest, materialise, pair_slabs, table, whole_groups
+from clarispan.llm.common import components, forest, materialise, pair_slabs, resident, small_batches, table, whole_groups
 
 DISTANCE = 3
 CUTS = (0, 13, 26, 39, 52, 64)
@@ -57,7 +57,10 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
+    small_batches(docs.sparkSession)
+
     def run(batches):
+        resident("simhash", dict)
         for b in batches:
             fps = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])

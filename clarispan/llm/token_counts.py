@@ -23,8 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clarispan.llm.bpe import slices
-from clarispan.llm.common import table
+from clarispan.llm.common import resident, small_batches, table, texts_by_slice
 from clarispan.llm.pieces import longest, pieces, pretokens
 
 LONGEST = 128
@@ -87,18 +86,16 @@ class TrieCounter:
         return out
 
 
-_LOADED: dict[str | None, TrieCounter] = {}
-
-
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Rows (doc_id, n_tokens, n_pretokens, log_prob) for every document."""
+    small_batches(docs.sparkSession)
+
     def run(batches):
-        if path not in _LOADED:
-            _LOADED[path] = TrieCounter(path)
+        counter = resident(("trie", path), lambda: TrieCounter(path))
         for b in batches:
-            for start, texts in slices(b, 1):
-                n, words, logs = zip(*_LOADED[path].counts(texts))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), pa.array(n, pa.int64()), pa.array(words, pa.int64()), pa.array(logs, pa.float64())], ["doc_id", "n_tokens", "n_pretokens", "log_prob"])
+            for part, texts in texts_by_slice(b, 1):
+                n, words, logs = zip(*counter.counts(texts))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(words, pa.int64()), pa.array(logs, pa.float64())], ["doc_id", "n_tokens", "n_pretokens", "log_prob"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, RESULT)
 

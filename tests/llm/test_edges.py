@@ -14,8 +14,8 @@ from clarispan.llm.pieces import pieces
 OPERATORS = {
     "simhash": simhash_neardup.near_duplicates, "bpe": bpe.digests, "encode": bpe.encode_documents, "lz": lz_fingerprint.fingerprint_with_next,
     "packing": packing.pack_documents, "sharding": kd_sharding.shard, "tokens": token_counts.token_counts, "lines": line_dedup.without_duplicates,
-    "language": lambda docs: language_id.predict(docs.drop("score"), language_id.fit(docs)),
-    "quality": lambda docs: quality.scores(docs.drop("score"), quality.fit(docs, docs.select("doc_id", F.lit(1).alias("quality")))),
+    "language": lambda docs: language_id.predict(docs, language_id.fit(docs)),
+    "quality": lambda docs: quality.scores(docs, quality.fit(docs, docs.select("doc_id", F.lit(1).alias("quality")))),
     "keep_one": simhash_neardup.keep_one, "keep_lines": line_dedup.keep_first_lines, "keep_identified": language_id.keep_identified,
     "keep_good": lambda docs: quality.keep_good(docs, docs.select("doc_id", F.lit(1).alias("quality"))),
 }
