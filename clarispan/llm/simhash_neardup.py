@@ -1,24 +1,32 @@
 """SimHash near-dedup by pivot distance tables (operator 2).
 
-Fingerprints of 3-word shingles; fingerprints at 3 or fewer differing bits are linked and components
-of linked documents get one id.
-
-Equal fingerprints are one node, so copies are never paired. Two fingerprints within 3 bits agree in
-at least two of five bit segments; nodes meet under those ten segment-pair keys. Inside a key's group
-every node has a table of Hamming distances to fixed reference fingerprints: a pair whose tables
-differ by more than 3 in any coordinate is discarded (triangle inequality), the rest are verified by
-their exact distance. Groups above a size are cut into chunks and every pair of chunks is its own
-unit of work, which returns a spanning forest and not its pairs.
-
-Defined cases: a null text counts as one without words; no words give fingerprint zero, linked like
-any other; repeated rows and equal texts share a component; null doc_ids take part but are never a
-component's id (a component of null ids alone has a null id); an empty table gives an empty result;
-extra columns are ignored.
+Two notions share the method: fingerprints, a table of Hamming distances to reference fingerprints, pairs discarded
+where any coordinate differs by more than the radius (triangle inequality), survivors verified.
+
+`near_duplicates`: 64-bit fingerprints of 3-word shingles, linked at 3 or fewer differing bits; exact. Equal
+fingerprints are one node, so copies are never paired. Two fingerprints within 3 bits agree in at least two of five
+bit segments; nodes meet under those ten segment-pair keys. The nodes of a large key meet under finer keys: of the 39
+other bits, cut into four, one part must agree too. Groups that stay large are cut into chunks, and every pair of
+chunks is a unit of work that returns a spanning forest and not its pairs.
+
+`near_classes`: texts whose sets of 5-word shingles have a Jaccard likeness of 0.8 or more. A radius of 3 bits is far too
+narrow for that: such pairs differ in up to 15 of 100 bits. So fingerprints have 1024 bits, and nodes (different texts)
+meet under BANDS keys of ROWS minimum hashes each, which a pair at 0.8 misses once in 40,000; the reference fingerprints
+are drawn from the nodes at hand, as random ones discard nothing at that radius. In a large group, nodes that are surely
+like one reference are linked to it and need not meet each other: only the rest meets all. Survivors form a least
+spanning forest by distance, and its links are verified by the exact likeness of the texts' sets. The radius is the
+mean distance at 0.8 and six standard deviations.
+
+Defined cases: a null text counts as one without words; no words give fingerprint zero, linked like any other, and
+texts without words are alike; repeated rows and equal texts share a component; null doc_ids take part in
+near_duplicates but are never a component's id (a component of null ids alone has a null id), and keep_one leaves them
+alone; an empty table gives an empty result; extra columns are ignored, or stay in keep_one.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import acos, ceil, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -26,33 +34,80 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clarispan.llm.common import components, forest, materialise, pair_slabs, resident, small_batches, table, whole_groups
+from clarispan.llm.common import components, forest, materialise, pair_slabs, resident, small_batches, spanning, table, whole_groups
 
 DISTANCE = 3
 CUTS = (0, 13, 26, 39, 52, 64)
+FINER = (0, 10, 20, 30, 39)
 CHUNK = 512
-PIVOTS = np.random.default_rng(20).integers(0, 1 << 63, 24, dtype=np.uint64) * np.uint64(2) + np.random.default_rng(21).integers(0, 2, 24, dtype=np.uint64)
+PIVOTS = np.random.default_rng(20).integers(0, 1 << 63, (24, 1), dtype=np.uint64) * np.uint64(2) + np.random.default_rng(21).integers(0, 2, (24, 1), dtype=np.uint64)
 SEED = 42
+LANES = np.uint64(0x0101010101010101)
+#: Of near_classes: words of a shingle, least likeness, 64-bit words of a fingerprint, keys and hashes of a key, references of a large group.
+SHINGLE, LEAST, WORDS, BANDS, ROWS, REFERENCES = 5, 0.8, 16, 20, 4, 8
+_FACTORS = np.random.default_rng(22).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFTS = np.random.default_rng(23).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_WORD_FACTORS = np.random.default_rng(24).integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of all word shingles, repeats included; of the whole sequence if it is shorter."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) <= shingle:
+        return np.array([digest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate([[0], ends[: -shingle]]).tolist()
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())), np.uint64, len(starts))
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """Words of the bits that more than half of the rows (rows x words) have. Bits are counted as bytes of 64-bit sums."""
+    n, words = hashes.shape
+    blocks, counts = np.arange(0, n, 255), np.zeros((words, 8, 8), np.int64)
+    for bit in range(8):
+        sums = np.add.reduceat((hashes >> np.uint64(bit)) & LANES, blocks, axis=0)
+        counts[:, :, bit] = sums.view(np.uint8).reshape(len(blocks), words, 8).sum(axis=0, dtype=np.int64)
+    return np.packbits(counts.reshape(words, 64) * 2 > n, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """Majority bits of the XXH64 values of all word shingles, repeats included."""
-    words = (text or "").encode().lower().split()
-    n = max(len(words) - shingle + 1, min(len(words), 1))
-    if not n:
-        return 0
-    joined = b" ".join(words)
-    if n == 1:
-        return xxhash.xxh64_intdigest(joined, SEED)
-    length = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    ends = np.cumsum(length)
-    starts = ends - length
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
-        to = min(n, at + (1 << 16))
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at:to].tolist(), (ends[at + shingle - 1 : to + shingle - 1] - 1).tolist())], np.uint64)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
+    h = shingle_hashes(text, shingle)
+    return int(majority(h[:, None])[0]) if len(h) else 0
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """WORDS words of majority bits of a set's hashes, each hash spread by multiplication and mixing."""
+    if not len(hashes):
+        return np.zeros(WORDS, np.uint64)
+    with np.errstate(over="ignore"):
+        spread = hashes[:, None] * _WORD_FACTORS[None, :]
+        spread = (spread ^ (spread >> np.uint64(29))) * _WORD_FACTORS[0]
+        return majority(spread ^ (spread >> np.uint64(32)))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """Keys under which sets meet: each a digest of ROWS minimum hashes; a set without members has one of its own."""
+    if not len(hashes):
+        return [0]
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(hashes), 4096):
+            low = np.minimum(low, (hashes[None, at : at + 4096] * _FACTORS[:, None] + _SHIFTS[:, None]).min(axis=1))
+    return [xxhash.xxh64_intdigest(b.tobytes(), n) - (1 << 63) for n, b in enumerate(low.reshape(BANDS, ROWS))]
+
+
+def radius(deviations: float, least: float = LEAST, bits: int = 64 * WORDS) -> int:
+    """Bits in which large sets at a Jaccard likeness of `least` differ, and so many standard deviations."""
+    p = acos(2 * least / (1 + least)) / pi
+    return ceil(bits * p + deviations * sqrt(bits * p * (1 - p)))
+
+
+#: Pairs beyond FAR are discarded (sets of few members vary more than large ones); those within SURE are alike.
+FAR, SURE = radius(6), radius(-3)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,53 +117,72 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches):
         resident("simhash", dict)
         for b in batches:
-            fps = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+def close_pairs(group: np.ndarray, fp: np.ndarray, pivots: np.ndarray, most: int):
+    """Of rows sorted by group, slabs (i, j, distance) of pairs of a group whose fingerprints (rows x words) lie within
+    `most` bits: those whose distances to some pivot (pivots x words) differ by more are discarded unseen."""
+    bits = 64 * fp.shape[1]
+    table_ = np.stack([np.bitwise_count(fp ^ p).sum(axis=1, dtype=np.int32) for p in pivots], axis=1)
+    near = group * (bits + most + 1) + table_[:, 0]
+    order = np.argsort(near, kind="stable")
+    near, table_, sorted_fp = near[order], table_[order], fp[order]
+    for i, j in pair_slabs(np.arange(1, len(fp) + 1), np.searchsorted(near, near + most, "right"), (1 << 20) // fp.shape[1]):
+        for c in range(1, table_.shape[1]):
+            if not len(i):
+                break
+            keep = np.abs(table_[i, c] - table_[j, c]) <= most
+            i, j = i[keep], j[keep]
+        distance = np.bitwise_count(sorted_fp[i] ^ sorted_fp[j]).sum(axis=1, dtype=np.int32)
+        keep = distance <= most
+        yield order[i[keep]], order[j[keep]], distance[keep]
+
+
+def _group_numbers(t: pa.Table, keys: list[str]) -> np.ndarray:
+    group = np.zeros(t.num_rows, np.int64)
+    for k in keys:
+        v = t[k].to_numpy()
+        group[1:] |= v[1:] != v[:-1]
+    return np.cumsum(group)
+
+
 def _links(batches):
     """Of groups (key, i, j), the spanning forest of nodes whose fingerprints lie within DISTANCE."""
     for t in whole_groups(batches, ["key", "i", "j"]):
-        group = np.zeros(t.num_rows, np.int64)
-        for k in ("key", "i", "j"):
-            v = t[k].to_numpy()
-            group[1:] |= v[1:] != v[:-1]
-        group = np.cumsum(group)
-        fp, node = t["fp"].to_numpy().view(np.uint64), t["node"].to_numpy()
-        distance = np.bitwise_count(fp[:, None] ^ PIVOTS[None, :])
-        near = group * 256 + distance[:, 0]
-        order = np.argsort(near, kind="stable")
-        fp, node, distance, near = fp[order], node[order], distance[order].astype(np.int8), near[order]
-        found = []
-        for i, j in pair_slabs(np.arange(1, len(fp) + 1), np.searchsorted(near, near + DISTANCE, "right")):
-            for c in range(1, len(PIVOTS)):
-                if not len(i):
-                    break
-                keep = np.abs(distance[i, c] - distance[j, c]) <= DISTANCE
-                i, j = i[keep], j[keep]
-            keep = np.bitwise_count(fp[i] ^ fp[j]) <= DISTANCE
-            found.append((i[keep], j[keep]))
-        left, right = (np.concatenate(x) if found else np.empty(0, np.int64) for x in (zip(*found) if found else ((), ())))
-        label = forest(len(fp), left, right)
+        fp, node = t["fp"].to_numpy().view(np.uint64)[:, None], t["node"].to_numpy()
+        label = np.arange(len(fp))
+        for i, j, _ in close_pairs(_group_numbers(t, ["key", "i", "j"]), fp, PIVOTS, DISTANCE):
+            label = forest(len(fp), label[i], label[j])[label]
         linked = np.flatnonzero(label != np.arange(len(fp)))
         yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[label[linked]])], ["src", "dst"])
 
 
 def near_pairs(nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Links (src, dst) that connect all nodes (node, fp) within DISTANCE bits."""
+    def part(s):
+        return F.shiftrightunsigned("fp", CUTS[s]).bitwiseAND(F.lit((1 << (CUTS[s + 1] - CUTS[s])) - 1))
+
     keys = []
-    for n, (a, b) in enumerate(combinations(range(5), 2)):
-        part = lambda s: F.shiftrightunsigned("fp", CUTS[s]).bitwiseAND(F.lit((1 << (CUTS[s + 1] - CUTS[s])) - 1))
-        keys.append(F.lit(n << 32).bitwiseOR(F.shiftleft(part(a), 13)).bitwiseOR(part(b)))
-    keyed = nodes.select(F.explode(F.array(*keys)).alias("key"), "node", "fp")
+    for n, pair in enumerate(combinations(range(5), 2)):
+        a, b, *rest = *pair, *(s for s in range(5) if s not in pair)
+        other = F.shiftleft(part(rest[0]), 26).bitwiseOR(F.shiftleft(part(rest[1]), 13)).bitwiseOR(part(rest[2]))
+        keys.append(F.struct(F.lit(n << 32).bitwiseOR(F.shiftleft(part(a), 13)).bitwiseOR(part(b)).alias("key"), other.alias("other")))
+    keyed = nodes.select(F.explode(F.array(*keys)).alias("k"), "node", "fp").select("k.*", "node", "fp")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    cut = keyed.join(shared, "key").withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
+    met = keyed.join(shared, "key")
+    small = met.where(F.col("n") <= chunk).select("key", "node", "fp", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    finer = F.array(*[F.xxhash64("key", F.lit(s), F.shiftright("other", a).bitwiseAND(F.lit((1 << (b - a)) - 1))) for s, (a, b) in enumerate(zip(FINER, FINER[1:]))])
+    fine = met.where(F.col("n") > chunk).select(F.explode(finer).alias("key"), "node", "fp")
+    again = fine.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    cut = fine.join(again, "key").withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
     cut = cut.withColumn("c", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     unit = cut.select("key", "node", "fp", "c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o"))
-    unit = unit.select("key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "node", "fp")
-    parts = unit.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    unit = unit.select("key", "node", "fp", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"))
+    parts = small.unionByName(unit).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return parts.mapInArrow(_links, "src long, dst long")
 
 
@@ -121,12 +195,109 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def _words_of(column) -> np.ndarray:
+    """Rows x words of a list column."""
+    return column.combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
+
+
+def _wide_links(batches):
+    """Of groups (key, i, j), the least spanning forest of nodes within FAR; two settled ones do not meet."""
+    for t in whole_groups(batches, ["key", "i", "j"]):
+        fp, settled, node = _words_of(t["fp"]), t["settled"].to_numpy(zero_copy_only=False), t["node"].to_pylist()
+        kept = [np.empty(0, np.int64)] * 3
+        pivots = fp[np.unique(np.linspace(0, len(fp) - 1, REFERENCES).astype(int))]
+        for i, j, distance in close_pairs(_group_numbers(t, ["key", "i", "j"]), fp, pivots, FAR):
+            meet = ~(settled[i] & settled[j])
+            kept = [np.concatenate([a, b[meet]]) for a, b in zip(kept, (i, j, distance))]
+            pick = spanning(len(fp), *kept)
+            kept = [a[pick] for a in kept]
+        yield pa.RecordBatch.from_arrays([pa.array([node[x] for x in kept[0]], pa.binary()), pa.array([node[x] for x in kept[1]], pa.binary())], ["src", "dst"])
+
+
+def _apart(a, b):
+    """Differing bits of two array<long> columns."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def near_text_links(nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Links (src, dst) between nodes (node, fp, keys) within FAR, which connect all of a group that are."""
+    keyed = nodes.select(F.explode("keys").alias("key"), "node")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    live = materialise(keyed.join(shared, "key").join(nodes.select("node", "fp"), "node"), "simhash-live")
+    # In a large group, the reference that most lie near settles those: they are linked to it and not to each other.
+    large = live.where(F.col("n") > chunk)
+    tried = large.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(REFERENCES)).alias("r")).agg(F.min(F.struct("node", "fp")).alias("ref"))
+    near = _apart(F.col("fp"), F.col("ref.fp")) <= SURE
+    best = large.join(tried, "key").groupBy("key", "ref.node").agg(F.count_if(near).alias("near")).groupBy("key").agg(F.max_by("node", "near").alias("ref_node"), F.max("near").alias("near"))
+    best = materialise(best.join(tried.select("key", F.col("ref.node").alias("ref_node"), F.col("ref.fp").alias("ref_fp")), ["key", "ref_node"]), "simhash-references")
+    split = large.join(best, "key").withColumn("settled", _apart(F.col("fp"), F.col("ref_fp")) <= SURE)
+    stars = split.where("settled AND node <> ref_node").select(F.col("node").alias("src"), F.col("ref_node").alias("dst"))
+    rest, near_ = F.ceil((F.col("n") - F.col("near")) / chunk).cast("int"), F.ceil(F.col("near") / chunk).cast("int")
+    split = split.withColumns({"rest": rest, "near_": near_}).withColumn("c", F.pmod(F.xxhash64("node"), F.when(F.col("settled"), F.col("near_")).otherwise(F.col("rest"))).cast("int"))
+    of_rest = F.sequence(F.lit(0), F.col("rest") - 1)
+    pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    units = F.when(F.col("settled"), F.transform(of_rest, lambda o: pair(o, F.col("rest") + F.col("c")))).otherwise(F.concat(
+        F.transform(of_rest, lambda o: pair(F.least("c", o), F.greatest("c", o))), F.transform(F.sequence(F.lit(0), F.col("near_") - 1), lambda o: pair(F.col("c"), F.col("rest") + o))))
+    cut = split.where("rest > 0").select("key", "node", "fp", "settled", F.explode(units).alias("u")).select("key", "node", "fp", "settled", "u.*")
+    small = live.where(F.col("n") <= chunk).select("key", "node", "fp", F.lit(False).alias("settled"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+    parts = small.unionByName(cut).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return parts.mapInArrow(_wide_links, "src binary, dst binary").unionByName(stars)
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard likeness of two arrays of distinct values."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    total = len(a) + len(b) - both
+    return both / total if total else 1.0
+
+
+def _node():
+    return F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+
+
+def near_classes(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Rows (node, doc_id, root) for every different text: the digest of the text, its smallest doc_id, and the
+    node that stands for all texts linked to it by a likeness of LEAST or more, directly or through others."""
+    small_batches(docs.sparkSession)
+
+    def signatures(batches):
+        resident("simhash", dict)
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), SHINGLE)) for t in b.column(2)]
+            fps = [wide_fingerprint(s).view(np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.list_(pa.int64())), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "node", "fp", "keys"])
+
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), _node().alias("node"), "text")
+    signed = materialise(rows.mapInArrow(signatures, "doc_id long, node binary, fp array<long>, keys array<long>"), "simhash-signatures")
+    nodes = materialise(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "simhash-texts")
+    links = near_text_links(nodes, chunk).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    links = materialise(links, "simhash-candidates")
+
+    def as_set(batches):
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), SHINGLE)).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "members"])
+
+    def alike(batches):
+        for b in batches:
+            near = [likeness(*(np.frombuffer(x.as_py(), np.uint64) for x in pair)) >= LEAST for pair in zip(b.column(2), b.column(3))]
+            yield b.select(["src", "dst"]).filter(pa.array(near, pa.bool_()))
+
+    ends = links.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    sets = rows.select("node", "text").join(ends, "node").groupBy("node").agg(F.first("text").alias("text")).mapInArrow(as_set, "node binary, members binary")
+    sets = materialise(sets, "simhash-sets")
+    both = links.join(sets.select(F.col("node").alias("src"), F.col("members").alias("a")), "src").join(sets.select(F.col("node").alias("dst"), F.col("members").alias("b")), "dst")
+    roots = components(both.select("src", "dst", "a", "b").mapInArrow(alike, "src binary, dst binary"), "simhash-components")
+    return nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Documents without near copies: of each component the row with the smallest doc_id stays, with
-    its columns; rows with a null doc_id stay."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    rest = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return rest.unionByName(docs.where("doc_id is null"))
+    """Documents without near copies (near_classes): of each class one row of the smallest doc_id stays, and of
+    rows that share it one of the smallest digest of the text, with its columns; rows with a null doc_id stay."""
+    kept = near_classes(docs).groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.node").alias("__node"))
+    keyed = docs.where("doc_id IS NOT NULL").withColumns({"__id": F.col("doc_id").cast("long"), "__node": _node()})
+    rest = keyed.join(kept, ["__id", "__node"], "left_semi").dropDuplicates(["__id", "__node"]).select(*docs.columns)
+    return rest.unionByName(docs.where("doc_id IS NULL"))
 
 
 def op2_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

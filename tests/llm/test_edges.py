@@ -157,6 +157,45 @@ def test_lines_match_all_pairs(spark):
     assert got == want and len(want) > 50
 
 
+def shingle_set(text):
+    words = text.encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("chunk", [512, 12])
+def test_near_classes_match_all_pairs(spark, chunk):
+    pick = random.Random(21)
+    base = [[pick.choice("abcdefgh") + str(pick.randrange(200)) for _ in range(n)] for n in (4, 9, 30, 30, 120, 400)]
+    texts = ["", " ", "one", "One\ntwo"]
+    for i, words in enumerate(base):
+        for _ in range(60 if i == 3 else 12):
+            mine = list(words)
+            for _ in range(pick.randrange(1 + max(1, len(mine) // 40))):
+                mine[pick.randrange(len(mine))] = "new" + str(pick.randrange(10**6))
+            texts.append(" ".join(mine))
+    docs = spark.createDataFrame([*((i, t) for i, t in enumerate(texts)), (len(texts), texts[-1])], "doc_id long, text string")
+    distinct = list(dict.fromkeys(texts))
+    sets, root = [shingle_set(t) for t in distinct], list(range(len(distinct)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if len(a & b) >= 0.8 * len(a | b):
+                root = [root[j] if x == root[i] else x for x in root]
+    first = {}
+    for i, t in enumerate(distinct):
+        first.setdefault(root[i], texts.index(t))
+    kept = sorted(r["doc_id"] for r in simhash_neardup.near_classes(docs, chunk).groupBy("root").agg(F.min("doc_id").alias("doc_id")).collect())
+    assert kept == sorted(first.values())
+    assert sorted(r["doc_id"] for r in simhash_neardup.keep_one(docs).collect()) == kept
+
+
+def test_rows_that_share_an_id_leave_one_by_a_fixed_order(spark):
+    rows = [(1, "b b b b b b"), (1, "a a a a a a"), (1, "b b b b b b"), (2, "a a a a a a")]
+    for order in (rows, rows[::-1]):
+        got = simhash_neardup.keep_one(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert sorted(map(tuple, got)) == [(1, "a a a a a a"), (1, "b b b b b b")]
+
+
 def test_chunks_of_large_groups_lose_no_link(spark):
     rng = np.random.default_rng(4)
     center = int(rng.integers(0, 1 << 62))
