@@ -12,7 +12,7 @@ bucket is also sent to the bucket before it, so nothing is sorted in one task. T
 Defined cases: a null text is an empty one, with an empty fingerprint (likeness 1 to another empty
 one, 0 to any other); equal ids follow each other by a hash of their texts; null ids come last; a
 single document is its own next; an empty table gives an empty result; extra columns are ignored. A
-dictionary of DICTIONARY phrases starts anew, and its phrases still count.
+dictionary holds a whole text's phrases, each as the number of the phrase that it extends and a character.
 """
 
 from __future__ import annotations
@@ -25,46 +25,53 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clarispan.llm.common import table
+from clarispan.llm.common import resident, small_batches, table
 
 SIZE = 64
-DICTIONARY = 1 << 18
+#: Bits of a code point in a dictionary's keys, and the factors that mix hashes.
+POINT, FACTOR, MASK = 21, 0x9E3779B97F4A7C15, (1 << 64) - 1
 #: Documents of a bucket, and a bound of the buckets: what is known of each on the driver is two numbers.
 BUCKET_ROWS, MOST_BUCKETS = 400, 1 << 14
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 class Parse:
-    """A parse that can be continued: known phrases, the phrase at hand, the smallest hashes so far."""
+    """A parse that can be continued and taken back: known phrases, the phrase at hand, the smallest hashes so far."""
 
-    def __init__(self, seen: set[str] | None = None, at_hand: str = "", low: np.ndarray | None = None):
-        self.seen, self.at_hand = seen if seen is not None else set(), at_hand
-        self.low = low if low is not None else np.empty(0, np.uint32)
-
-    def branch(self) -> Parse:
-        return Parse(self.seen.copy(), self.at_hand, self.low)
+    def __init__(self):
+        self.phrases: dict[int, int] = {}  # number of a phrase << POINT | character -> number of the longer phrase
+        self.hashes = [1]  # by number; number 0 is the empty phrase
+        self.at_hand, self.low = 0, np.empty(0, np.uint32)
 
     def feed(self, text: str) -> Parse:
-        seen, phrase, new = self.seen, self.at_hand, []
-        add, note = seen.add, new.append
-        for c in text:
-            phrase += c
-            if phrase not in seen:
-                add(phrase)
-                note(phrase)
-                phrase = ""
-                if len(seen) >= DICTIONARY:
-                    self.keep(new)
-                    new.clear()
-                    seen.clear()
-        self.at_hand = phrase
-        self.keep(new)
+        phrases, hashes, now, known = self.phrases, self.hashes, self.at_hand, len(self.hashes)
+        get, note = phrases.get, hashes.append
+        for c in map(ord, text):
+            key = now << POINT | c
+            longer = get(key)
+            if longer is None:
+                phrases[key] = len(hashes)
+                h = (hashes[now] ^ c) * FACTOR & MASK
+                note(h ^ h >> 32)
+                now = 0
+            else:
+                now = longer
+        self.at_hand = now
+        new = np.array(hashes[known:], np.uint64)
+        with np.errstate(over="ignore"):
+            new = (new * np.uint64(FACTOR) >> np.uint64(32)).astype(np.uint32)
+        self.low = np.unique(np.concatenate([self.low, new]))[:SIZE]
         return self
 
-    def keep(self, phrases: list[str]) -> None:
-        if phrases:
-            found = np.fromiter(map(xxhash.xxh32_intdigest, phrases), np.uint32, len(phrases))
-            self.low = np.unique(np.concatenate([self.low, found]))[:SIZE]
+    def mark(self) -> tuple:
+        return len(self.hashes), self.at_hand, self.low
+
+    def rewind(self, mark: tuple) -> None:
+        """Forgets what was fed since the mark."""
+        known, self.at_hand, self.low = mark
+        while len(self.hashes) > known:
+            self.hashes.pop()
+            self.phrases.popitem()  # the last one put in
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -81,6 +88,7 @@ def as_text(low: np.ndarray) -> str:
 
 def _pairs(batches):
     """Rows sorted by bucket, own documents before the one that follows the bucket."""
+    resident("lz", dict)
     held = None  # bucket, id, text, head's length, parse of the head, hashes
     out: list[tuple] = []
 
@@ -98,10 +106,12 @@ def _pairs(batches):
                 continue
             head = len(text) - len(text) // 3
             parse = Parse().feed(text[:head])
-            whole = (parse if follows else parse.branch()).feed(text[head:])
+            mark = parse.mark()
+            low = parse.feed(text[head:]).low
+            parse.rewind(mark)
             if held is not None and held[0] == bucket:
-                close(text, whole.low)
-            held = None if follows else (bucket, doc_id.as_py(), text, head, parse, whole.low)
+                close(text, low)
+            held = None if follows else (bucket, doc_id.as_py(), text, head, parse, low)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _SCHEMA)], schema=_SCHEMA)
             out.clear()
@@ -118,6 +128,7 @@ def fingerprint_with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> Da
     """The columns of RESULT for every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("k", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    small_batches(docs.sparkSession)
     ids = rows.select("k")
     buckets = min(MOST_BUCKETS, max(2, -(-ids.count() // bucket_rows)))
     cuts = np.array(sorted(set(ids.approxQuantile("k", [i / buckets for i in range(1, buckets)], 0.2 / buckets))), np.int64)

@@ -23,9 +23,6 @@ def longest(table: dict[str, int]) -> int:
     return max(map(len, table))
 
 
-def pretokens(text: str, most: int) -> list[str]:
-    """Runs between white space, each after a START mark; longer ones are cut every `most` characters."""
-    words = [START + w for w in text.split()]
-    if text and max(map(len, words), default=0) > most:
-        words = [w[i : i + most] for w in words for i in range(0, len(w), most)]
-    return words
+def pretokens(text: str) -> list[str]:
+    """Runs between white space, each after a START mark."""
+    return [START + w for w in text.split()]

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clarispan.llm import bpe, exact_topk, kd_sharding, language_id, line_dedup, lz_fingerprint, packing, quality, simhash_neardup, token_counts
-from clarispan.llm.language_id import Hits, scaled
+from clarispan.llm.language_id import Finder, likelihood, scaled
 from clarispan.llm.pieces import pieces
 
 OPERATORS = {
@@ -65,10 +65,14 @@ def test_a_single_document_is_its_own_next(spark):
     assert len(got) == 1 and got[0]["near_next"] == 1.0
 
 
-def test_a_dictionary_starts_anew(monkeypatch):
-    monkeypatch.setattr(lz_fingerprint, "DICTIONARY", 16)
-    text = "".join(random.Random(1).choice("abcd") for _ in range(500))
-    assert (lz_fingerprint.Parse().feed(text).low == lz_fingerprint.Parse().feed(text[:200]).feed(text[200:]).low).all()
+def test_parses_continue_and_rewind():
+    pick = random.Random(1)
+    text, other = ("".join(pick.choices("abcdé🙂", k=n)) for n in (300_000, 500))
+    whole, parse = lz_fingerprint.Parse().feed(text), lz_fingerprint.Parse().feed(text[:200_000])
+    mark = parse.mark()
+    assert (parse.feed(text[200_000:]).low == whole.low).all() and len(parse.hashes) == len(whole.hashes) > 20_000
+    parse.rewind(mark)
+    assert (parse.feed(other).low == lz_fingerprint.Parse().feed(text[:200_000] + other).low).all()
 
 
 def test_merge_rounds_of_runs(awkward):
@@ -215,18 +219,68 @@ def test_chunks_of_large_groups_lose_no_link(spark):
 
 
 def test_forward_sums_all_segmentations():
-    table = pieces()
+    table, finder = pieces(), Finder(pieces())
     rng = np.random.default_rng(1)
-    prob = rng.random((len(table), 2))
-    word = "▁then"
-    got = Hits([word, "☃x"], table).likelihood(scaled(prob, table))[0]
-
-    def total(s):
-        if not s:
-            return np.ones(2)
-        return sum((prob[table[s[:k]]] if s[:k] in table else np.full(2, language_id.UNKNOWN)) * total(s[k:]) for k in range(1, len(s) + 1) if s[:k] in table or k == 1)
-
-    assert np.allclose(np.exp(got), total(word))
+    prob = rng.random((len(table), 2)) ** 8
+
+    def total(w):  # logs of the sums before each position
+        ways = [np.zeros(2)]
+        for e in range(1, len(w) + 1):
+            found = [ways[s] + np.log(prob[table[w[s:e]]] if w[s:e] in table else np.full(2, language_id.UNKNOWN)) for s in range(max(0, e - 20), e) if w[s:e] in table or s == e - 1]
+            ways.append(np.logaddexp.reduce(found, axis=0))
+        return ways[-1]
+
+    pick = random.Random(2)
+    words = ["▁then", "☃x", *("▁" + "".join(pick.choices("thenrasiougé☃", k=n)) for n in (15, 30, 31, 32, 33, 63, 64, 65, 66, 127, 128, 129, 500, 1500))]
+    assert np.allclose(likelihood(words, scaled(prob, table), finder), [total(w) for w in words], rtol=1e-9)
+
+
+def test_expected_uses_of_long_words():
+    table = {p: i for i, p in enumerate(["a", "b", "ab", "ba", "aba"])}
+    pick = random.Random(4)
+    words = {"".join(pick.choices("ab", k=n)): c for n, c in ((3, 2), (40, 1), (200, 3), (900, 1))}
+    prob = np.full(5, 0.2)
+    for _ in range(2):
+        expected = np.full(5, 0.01)
+        for w, c in words.items():
+            ahead, behind = [0.0], [0.0]
+            for e in range(1, len(w) + 1):
+                ahead.append(np.logaddexp.reduce([ahead[s] + np.log(prob[table[w[s:e]]]) for s in range(max(0, e - 3), e) if w[s:e] in table]))
+            for s in range(len(w) - 1, -1, -1):
+                behind.insert(0, np.logaddexp.reduce([behind[e - s - 1] + np.log(prob[table[w[s:e]]]) for e in range(s + 1, min(len(w), s + 3) + 1) if w[s:e] in table]))
+            for s in range(len(w)):
+                for e in range(s + 1, min(len(w), s + 3) + 1):
+                    if w[s:e] in table:
+                        expected[table[w[s:e]]] += c * np.exp(ahead[s] + np.log(prob[table[w[s:e]]]) + behind[e] - ahead[-1])
+        prob = expected / expected.sum()
+    assert np.allclose(language_id.fit_language(words, table, 2), prob, rtol=1e-8)
+
+
+def test_every_language_has_its_sample(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "FIT_ROWS", 5)
+    rows = [(i, "rare " * 9000 if i in (7, 9) else f"text {i % 50}", "xx" if i in (7, 9) else "en") for i in range(400)]
+    got = language_id.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string")).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in got} == {"en": 5, "xx": 1}
+
+
+def test_token_counts_of_long_runs(monkeypatch):
+    pick = random.Random(6)
+    words = sorted("▁" + "".join(pick.choices("thenrasiougé☃", k=n)) for n in (5, 127, 128, 129, 200, 300, 2000) for _ in range(3))
+    words += [w + "tail" for w in words]
+    want = token_counts.TrieCounter()
+    with monkeypatch.context() as m:
+        m.setattr(token_counts, "DEPTH", 1 << 30)
+        want.learn(sorted(words))
+    monkeypatch.setattr(token_counts, "STRIDE", 50)
+    got = token_counts.TrieCounter()
+    got.learn(sorted(words))
+    assert got.known == want.known
+    score = got.score
+    for w in words:
+        ways = [0.0]
+        for e in range(1, len(w) + 1):
+            ways.append(float(np.logaddexp.reduce([ways[s] + (score[w[s:e]] if w[s:e] in score else token_counts.UNKNOWN) for s in range(max(0, e - 20), e) if w[s:e] in score or s == e - 1])))
+        assert abs(got.known[w][1] - ways[-1]) < 1e-6
 
 
 def test_additive_model_learns_an_interaction():

@@ -83,6 +83,31 @@ def test_bpe_equals_the_library(spark, texts):
         assert r["decoded_sha256"] == sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def lowest_phrases(text):
+    """The 64 smallest hashes of a text's phrases, from a plain set of strings."""
+    from clarispan.llm.lz_fingerprint import FACTOR, MASK
+
+    phrases, at_hand, found = set(), "", set()
+    for c in text:
+        at_hand += c
+        if at_hand not in phrases:
+            phrases.add(at_hand)
+            h = 1
+            for x in at_hand:
+                h = (h ^ ord(x)) * FACTOR & MASK
+                h ^= h >> 32
+            found.add((h * FACTOR & MASK) >> 32)
+            at_hand = ""
+    return sorted(found)[:64]
+
+
+def share(a, b):
+    if not a or not b:
+        return float(len(a) == len(b))
+    both = sorted({*a, *b})[:64]
+    return sum(x in a and x in b for x in both) / len(both)
+
+
 def test_fingerprints_follow_edits(spark, texts):
     ids = sorted(texts, reverse=True)
     after = dict(zip(ids, ids[1:] + ids[:1]))
@@ -93,6 +118,12 @@ def test_fingerprints_follow_edits(spark, texts):
         assert r["n_chars"] == len(text)
         assert r["edited_sha256"] == sha256((text[: len(text) - k] + texts[after[i]][:k]).encode()).hexdigest()
         assert 0 <= r["near_next"] <= 1 and 0 <= r["near_edited"] <= 1
+    prints = {t: lowest_phrases(t) for t in {*texts.values(), *(texts[i][: len(texts[i]) - len(texts[i]) // 3] + texts[after[i]][: len(texts[i]) // 3] for i in ids)}}
+    for i, r in got.items():
+        edited = texts[i][: len(texts[i]) - len(texts[i]) // 3] + texts[after[i]][: len(texts[i]) // 3]
+        own, near, next_ = prints[texts[i]], prints[edited], prints[texts[after[i]]]
+        assert r["fingerprint"] == "".join(f"{x:08x}" for x in own) and r["edited_fingerprint"] == "".join(f"{x:08x}" for x in near)
+        assert r["near_edited"] == share(own, near) and r["near_next"] == share(own, next_)
     by_text = {}
     for i, r in got.items():
         assert by_text.setdefault(texts[i], r["fingerprint"]) == r["fingerprint"]
@@ -147,14 +178,14 @@ def test_token_counts_equal_the_library(spark, texts):
     from tokenizers.models import Unigram
 
     from clarispan.llm.pieces import pretokens
-    from clarispan.llm.token_counts import LONGEST, TrieCounter
+    from clarispan.llm.token_counts import TrieCounter
 
     score = TrieCounter().score
     library = T(Unigram([*score.items(), ("<unk>", -100.0)], unk_id=len(score)))
     got = {r["doc_id"]: r["n_tokens"] for r in rows(spark, "op10_token_counts")}
     checked = 0
     for i, text in texts.items():
-        words = pretokens(text, LONGEST)
+        words = pretokens(text)
         if all(c in score for w in words for c in w):
             assert got[i] == sum(len(library.encode(w).ids) for w in words)
             checked += 1
