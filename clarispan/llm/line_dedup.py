@@ -1,10 +1,10 @@
 """Line dedup by a segment-partition edit join (operator 3).
 
-Lines are equal or near copies if their trimmed forms are within THRESHOLD edits; those of fewer than
-MIN_CHARS characters must be equal. Of each class of such lines the first occurrence (smallest doc_id,
+Two lines are near copies if their trimmed forms are within `allowed` edits of the shorter one's length: one
+edit from 12 characters, two from 24, so that an edit is at most a twelfth; shorter lines must be equal. Of each class of such lines the first occurrence (smallest doc_id,
 then position) stays, all others are removed from their documents.
 
-A line is cut into THRESHOLD + 1 segments: a line within THRESHOLD edits holds one of them unchanged,
+A line is cut into one segment more than its edits: a line within them holds one of the segments unchanged,
 at a place that its length bounds. Lines therefore meet under keys of (length, segment, its text);
 only keys that two different lines share live on. Lines under such keys are fetched by a fixed-size
 bitmap of their hashes and verified in batches by banded bit-parallel edit distance. Groups above a
@@ -13,7 +13,7 @@ size are cut into chunks and every pair of chunks is a unit of work that returns
 Defined cases: a null text has no lines and stays null; blank lines are never removed; rows with a
 null doc_id take no part and stay as they are; rows that repeat a doc_id count as one document, each
 keeps what it keeps; a document may be left without lines; an empty table gives an empty result; extra
-columns stay.
+columns stay, but those named like a result of without_duplicates (removed, kept_in) are replaced by it there.
 """
 
 from __future__ import annotations
@@ -24,16 +24,22 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clarispan.llm.common import components, forest, materialise, pair_slabs, resident, small_batches, table, whole_groups
+from clarispan.llm.common import components, forest, materialise, pair_slabs, resident, small_batches, table, whole_groups, without
 
-THRESHOLD = 2
-MIN_CHARS = 24
+THRESHOLD, CHARS_PER_EDIT = 2, 12
 CHUNK = 256
+#: Characters of the pairs that are verified at once.
+CELLS = 1 << 21
 #: Bits of the bitmap that lets lines with a live key through; more candidates let more lines through.
 BITMAP = 1 << 26
 RECENT = 200_000
 
 
+def allowed(n: int) -> int:
+    """Edits between a line of n characters and one that is not shorter."""
+    return min(THRESHOLD, n // CHARS_PER_EDIT)
+
+
 def segments(n: int, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
     """(start, length) of the threshold + 1 segments of a line of n characters."""
     k = threshold + 1
@@ -45,15 +51,18 @@ def segments(n: int, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
     return out
 
 
-def probes(n: int, threshold: int = THRESHOLD) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def probes(n: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(seed, start, length) of a line's own segments, and of the substrings at which it can hold a
-    segment of a line that is up to `threshold` shorter."""
+    segment of a line that is up to THRESHOLD shorter."""
     own, other = [], []
-    for shorter in range(threshold + 1):
-        for i, (at, size) in enumerate(segments(n - shorter, threshold)):
-            seed = (n - shorter) * (threshold + 1) + i
-            low = max(at - i, at + shorter - (threshold - i), 0)
-            high = min(at + i, at + shorter + (threshold - i), n - size)
+    for shorter in range(THRESHOLD + 1):
+        most = allowed(n - shorter)
+        if most < max(shorter, 1):
+            continue
+        for i, (at, size) in enumerate(segments(n - shorter, most)):
+            seed = (n - shorter) * (THRESHOLD + 1) + i
+            low = max(at - i, at + shorter - (most - i), 0)
+            high = min(at + i, at + shorter + (most - i), n - size)
             for start in range(low, high + 1):
                 (own if not shorter and start == at else other).append((seed, start, size))
     return own, other
@@ -111,12 +120,12 @@ def _live(batches):
 
 
 def within(left: list[str], right: list[str], threshold: int = THRESHOLD) -> np.ndarray:
-    """Whether each pair of lines, whose lengths differ by at most `threshold`, is within `threshold`
-    edits: a band of 2 * threshold + 1 rows of the distance matrix moves along its diagonal, as bits of
+    """Whether each pair of lines, whose lengths differ by at most `threshold`, is within the edits that the
+    shorter one allows: a band of 2 * threshold + 1 rows of the distance matrix moves along its diagonal, as bits of
     one integer for each pair, in all pairs at once."""
     k, band = threshold, 2 * threshold + 1
     m, n = (np.fromiter(map(len, x), np.int64, len(x)) for x in (left, right))
-    out = np.zeros(len(left), bool)
+    out, most = np.zeros(len(left), bool), np.minimum(threshold, np.minimum(m, n) // CHARS_PER_EDIT)
     if not len(left):
         return out
     pattern = np.zeros((len(left), int(max(m.max(), n.max())) + 2 * band), np.uint32)
@@ -143,7 +152,7 @@ def within(left: list[str], right: list[str], threshold: int = THRESHOLD) -> np.
         down = plus & (zero >> 1)
         ended = n[at] == j
         if ended.any():
-            out[at[ended]] = score[ended] <= k
+            out[at[ended]] = score[ended] <= most[at[ended]]
         if ended.any() or j % 8 == 0:
             stay = ~ended & (score <= 3 * k)
             if not stay.any():
@@ -152,8 +161,17 @@ def within(left: list[str], right: list[str], threshold: int = THRESHOLD) -> np.
     return out
 
 
+def _cuts(cost: np.ndarray):
+    """Slices of pairs, given their running cost: at most 2048 pairs and about CELLS characters each."""
+    at = 0
+    while at < len(cost):
+        to = min(at + 2048, max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + CELLS, "right"))))
+        yield slice(at, to)
+        at = to
+
+
 def _links(batches):
-    """Of groups (key, i, j) of lines, the spanning forest of lines within THRESHOLD edits."""
+    """Of groups (key, i, j) of lines, the spanning forest of lines within their edits."""
     for t in whole_groups(batches, ["key", "i", "j"]):
         group = np.zeros(t.num_rows, np.int64)
         for c in ("key", "i", "j"):
@@ -171,8 +189,9 @@ def _links(batches):
         for i, j in pair_slabs(np.arange(1, len(line) + 1), np.searchsorted(sort, sort + THRESHOLD, "right"), 1 << 14):
             keep = (own[i] | own[j]) & (label[of[i]] != label[of[j]])
             i, j = i[keep], j[keep]
-            for a in range(0, len(i), 2048):
-                x, y = i[a : a + 2048], j[a : a + 2048]
+            cost = np.cumsum(np.maximum(size[i], size[j]) + 1)
+            for a in _cuts(cost):
+                x, y = i[a], j[a]
                 apart = label[of[x]] != label[of[y]]
                 x, y = x[apart], y[apart]
                 near = within([line[p] for p in x], [line[p] for p in y])
@@ -196,10 +215,10 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def near_line_links(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Links (src, dst) between nodes of different lines that connect all lines within THRESHOLD."""
+    """Links (src, dst) between nodes of different lines that connect all that are near copies."""
     spark = docs.sparkSession
     small_batches(spark)
-    long = lines_of(docs).where(F.length("line") >= MIN_CHARS)
+    long = lines_of(docs).where(F.length("line") >= CHARS_PER_EDIT)
     keyed = long.select("h1", "line").mapInArrow(_keys, "key long, h1 long, own boolean")
     live = keyed.repartition("key").sortWithinPartitions("key", "h1", "own").mapInArrow(_live, "key long, h1 long, own boolean")
     live = materialise(live.groupBy("key", "h1").agg(F.max("own").alias("own")), "line-keys")
@@ -253,12 +272,13 @@ def duplicates(docs: DataFrame) -> DataFrame:
 def without_duplicates(docs: DataFrame) -> DataFrame:
     """The documents with their columns, `text` without removed lines, and `removed`, their positions
     (null if none), and `kept_in`, the documents that hold the lines kept instead."""
+    docs = without(docs, ["removed", "kept_in"])
     gone = duplicates(docs).groupBy("doc_id").agg(F.collect_set("pos").alias("__removed"), F.sort_array(F.collect_set("kept_doc")).alias("__kept_in"))
     lines = F.split("text", "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__removed")
     text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
     joined = docs.join(gone.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left")
-    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], F.col("__removed").alias("removed"), F.col("__kept_in").alias("kept_in"))
+    return joined.select(*[text.alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns], F.col("__removed").alias("removed"), F.col("__kept_in").alias("kept_in"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,8 +291,9 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_first_lines(docs: DataFrame) -> DataFrame:
     """The documents with their columns, without removed lines; a column n_chars follows the text."""
-    out = without_duplicates(docs)
+    clash = {c: f"__own_{c}" for c in docs.columns if c.lower() in ("removed", "kept_in")}
+    out = without_duplicates(docs.withColumnsRenamed(clash))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("removed").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"`{clash.get(c, c)}`").alias(c) for c in docs.columns])

@@ -113,7 +113,13 @@ def edits(a, b):
     return row[-1]
 
 
-def test_banded_distance():
+def near(a, b):
+    return edits(a, b) <= line_dedup.allowed(min(len(a), len(b)))
+
+
+def test_banded_distance(monkeypatch):
+    monkeypatch.setattr(line_dedup, "CELLS", 1000)
+    assert [line_dedup.allowed(n) for n in (11, 12, 23, 24, 9999)] == [0, 1, 1, 2, 2]
     rng = random.Random(5)
     left, right = [], []
     while len(left) < 800:
@@ -125,19 +131,19 @@ def test_banded_distance():
         if b and abs(len(a) - len(b)) <= 2:
             left.append(a)
             right.append("".join(b))
-    assert line_dedup.within(left, right).tolist() == [edits(a, b) <= 2 for a, b in zip(left, right)]
+    assert line_dedup.within(left, right).tolist() == [near(a, b) for a, b in zip(left, right)]
 
 
 def test_lines_match_all_pairs(spark):
     rng = random.Random(9)
-    lines = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(24, 40))).strip() + "." for _ in range(60)]
+    lines = ["".join(rng.choice("abcdefgh ") for _ in range(rng.choice([8, 9, 10, 11, 12, 13, 21, 22, 23, 24, 25, 40]))).strip() + "." for _ in range(60)]
     docs = []
     for i in range(40):
         mine = []
         for _ in range(6):
             s = list(rng.choice(lines))
             for _ in range(rng.choice([0, 0, 1, 2, 3])):
-                s[rng.randrange(len(s))] = rng.choice("xyz")
+                s[rng.randrange(len(s))] = rng.choice(["x", "y", "", "za"])
             mine.append("".join(s))
         docs.append((i, "\n".join([*mine, "", "short", " "]), i))
     got = {(r["doc_id"], r["pos"]): (r["kept_doc"], r["kept_pos"]) for r in line_dedup.duplicates(spark.createDataFrame(docs, "doc_id long, text string, removed int")).collect()}
@@ -152,7 +158,7 @@ def test_lines_match_all_pairs(spark):
     distinct = sorted({s for _, s in every})
     for a in distinct:
         for b in distinct:
-            if a < b and min(len(a), len(b)) >= line_dedup.MIN_CHARS and abs(len(a) - len(b)) <= 2 and edits(a, b) <= 2:
+            if a < b and abs(len(a) - len(b)) <= 2 and near(a, b):
                 root[find(a)] = find(b)
     first, want = {}, {}
     for at, s in every:
@@ -200,6 +206,13 @@ def test_rows_that_share_an_id_leave_one_by_a_fixed_order(spark):
         assert sorted(map(tuple, got)) == [(1, "a a a a a a"), (1, "b b b b b b")]
 
 
+def test_a_very_long_line_and_extra_columns(spark):
+    long = "".join(random.Random(3).choices("abcdefgh", k=120_000))
+    docs = spark.createDataFrame([(1, long, 5, "k"), (2, "x" + long[:-1], 6, "l"), (3, "y" + long[9:], 7, "m")], "doc_id long, text string, Removed int, kept_in string")
+    out = {r["doc_id"]: r for r in line_dedup.keep_first_lines(docs).collect()}
+    assert [out[i]["text"] == "" for i in (1, 2, 3)] == [False, True, False] and [(r["Removed"], r["kept_in"]) for _, r in sorted(out.items())] == [(5, "k"), (6, "l"), (7, "m")]
+
+
 def test_chunks_of_large_groups_lose_no_link(spark):
     rng = np.random.default_rng(4)
     center = int(rng.integers(0, 1 << 62))
