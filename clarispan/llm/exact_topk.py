@@ -4,8 +4,8 @@ Vectors are quantised to integers and stored in blocks as bit slices: one bitmap
 bit. A query adds the slices of its components, shifted by the set bits of its own integers, with
 carry-save bitmap adders; the sum is again a bit-sliced attribute. The k best rows are then selected
 from its most significant slice downward, and rows tied at the boundary are resolved exactly, by the
-smaller id. Every block meets every group of queries once, as a unit of a grid; only each unit's k
-best rows leave it.
+smaller id. A block's bitmaps are built once; they and not the vectors go to the groups of queries, which
+are large. Every block meets every group once, as a unit of a grid; only each unit's k best rows leave it.
 
 Defined cases: vectors that are null, or hold null or non-finite components (or ones beyond 62 bits
 once quantised), take no part; a query's candidates are vectors of its own length with another id;
@@ -23,11 +23,13 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from clarispan.llm.common import materialise, table
 
 BLOCK_ROWS = 16_384
-GROUP_ROWS = 512
+GROUP_ROWS = 4096
 RESULT = "query_id long, query_key long, vec_id long, score long"
 
 
@@ -38,8 +40,8 @@ def quantised(vectors: DataFrame, scale: float = 256.0, id_col: str = "vec_id",
     return rows.where(ok & F.col("vec_id").isNotNull()).select("vec_id", F.transform("x", lambda e: F.floor(e * scale)).alias("v"))
 
 
-def _packed(rows: DataFrame, parts: int, name: str) -> DataFrame:
-    """One row a partition: its number and its vectors by length, ordered by id, as an Arrow buffer each."""
+def _packed(rows: DataFrame, parts: int, columns: str, row) -> DataFrame:
+    """For each partition and length of vectors, row(partition number, length, ids, vectors), ordered by id."""
     def run(batches):
         batches = list(batches)
         if not batches:
@@ -51,31 +53,44 @@ def _packed(rows: DataFrame, parts: int, name: str) -> DataFrame:
         number, start = TaskContext.get().partitionId(), np.cumsum(length) - length
         for n in np.unique(length):
             at = np.flatnonzero(length == n)
-            v = flat[(start[at][:, None] + np.arange(n)).ravel()]
-            yield pa.RecordBatch.from_pydict({name: pa.array([number], pa.int32()), "n": pa.array([n], pa.int32()), "ids": pa.array([ids[at].tobytes()], pa.binary()), "v": pa.array([v.tobytes()], pa.binary())})
+            v = flat[(start[at][:, None] + np.arange(n)).ravel()].reshape(len(at), n)
+            yield pa.RecordBatch.from_pylist([row(number, int(n), ids[at], v)], schema)
 
-    return rows.repartition(parts).mapInArrow(run, f"{name} int, n int, ids binary, v binary")
+    schema = to_arrow_schema(StructType.fromDDL(columns))
+    return rows.repartition(parts).mapInArrow(run, columns)
+
+
+def _block(number: int, n: int, ids: np.ndarray, v: np.ndarray) -> dict:
+    index = BitSlices.of(ids, v)
+    return {"r": number, "n": n, "ids": ids.tobytes(), "low": index.low.tobytes(), "bits": index.bits, "planes": index.planes.tobytes()}
+
+
+def _group(number: int, n: int, ids: np.ndarray, v: np.ndarray) -> dict:
+    return {"g": number, "n": n, "ids": ids.tobytes(), "v": v.tobytes()}
 
 
 class BitSlices:
     """A block of integer vectors as bitmaps, one per component and bit."""
 
-    def __init__(self, ids: np.ndarray, v: np.ndarray):
-        self.ids, self.rows = ids, len(v)
-        self.low = v.min(axis=0)
-        u = v - self.low
-        self.bits = max(1, int(u.max(initial=0)).bit_length())
-        words = -(-self.rows // 64)
-        self.planes = np.zeros((v.shape[1] * self.bits, words), np.uint64)
-        bitmaps = self.planes.view(np.uint8)
+    def __init__(self, ids: np.ndarray, low: np.ndarray, bits: int, planes: np.ndarray):
+        self.ids, self.rows, self.low, self.bits, self.planes = ids, len(ids), low, bits, planes
+        self.all = self.bitmap(np.ones(self.rows, bool))
+
+    @classmethod
+    def of(cls, ids: np.ndarray, v: np.ndarray) -> BitSlices:
+        low = v.min(axis=0) if v.shape[1] else np.empty(0, np.int64)
+        u = v - low
+        bits = max(1, int(u.max(initial=0)).bit_length())
+        planes = np.zeros((v.shape[1] * bits, -(-len(v) // 64)), np.uint64)
+        bitmaps = planes.view(np.uint8)
         for d in range(v.shape[1]):
-            for b in range(self.bits):
+            for b in range(bits):
                 packed = np.packbits((u[:, d] >> b).astype(np.uint8) & 1, bitorder="little")
-                bitmaps[d * self.bits + b, : len(packed)] = packed
-        self.all = self.bitmap(np.ones(self.rows, bool))
+                bitmaps[d * bits + b, : len(packed)] = packed
+        return cls(ids, low, bits, planes)
 
     def bitmap(self, flags: np.ndarray) -> np.ndarray:
-        out = np.zeros(self.planes.shape[1], np.uint64)
+        out = np.zeros(-(-self.rows // 64), np.uint64)
         packed = np.packbits(flags, bitorder="little")
         out.view(np.uint8)[: len(packed)] = packed
         return out
@@ -145,13 +160,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int =
     vectors = materialise(vectors, "topk-vectors")
     queries = materialise(queries.dropDuplicates(["vec_id", "v"]), "topk-queries")
     n_blocks, n_groups = max(1, -(-vectors.count() // block_rows)), max(1, -(-queries.count() // group_rows))
-    blocks = _packed(vectors, n_blocks, "r").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
-    groups = _packed(queries, n_groups, "g").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    blocks = _packed(vectors, n_blocks, "r int, n int, ids binary, low binary, bits int, planes binary", _block).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
+    groups = _packed(queries, n_groups, "g int, n int, ids binary, v binary", _group).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
 
     def unit(block: pa.Table, group: pa.Table) -> pa.Table:
         out: list[tuple[int, int, int, int]] = []
-        for ids, v, n in zip(block["ids"], block["v"], block["n"].to_pylist()):
-            index = BitSlices(np.frombuffer(ids.as_py(), "<i8"), np.frombuffer(v.as_py(), "<i8").reshape(-1, n))
+        for row in block.select(["n", "ids", "low", "bits", "planes"]).to_pylist():
+            n, ids = row["n"], np.frombuffer(row["ids"], "<i8")
+            index = BitSlices(ids, np.frombuffer(row["low"], "<i8"), row["bits"], np.frombuffer(row["planes"], np.uint64).reshape(n * row["bits"], -1) if n else np.zeros((0, -(-len(ids) // 64)), np.uint64))
             for qids, qs, m in zip(group["ids"], group["v"], group["n"].to_pylist()):
                 if m == n:
                     for q_id, q in zip(np.frombuffer(qids.as_py(), "<i8").tolist(), np.frombuffer(qs.as_py(), "<i8").reshape(-1, n)):
