@@ -6,7 +6,7 @@ histograms that are refined inside the bin which holds it, until a leaf holds on
 bytes. Law: `bytes`, the sizes of the shards are nearly equal.
 
 Equal texts are one point and stay together, unless their group is large against a shard (in bytes
-or in rows): then it is salted by doc_id into several points. The histograms (at most 4096 bins for
+or in rows): then it is salted by doc_id (or by position, without one) into several points. The histograms (at most 4096 bins for
 each of at most `shards` nodes) are all that reaches the driver. No Python runs on the executors.
 
 Defined cases: a null text weighs 16 bytes and has checksum zero; null lang or source count as empty;
@@ -92,7 +92,7 @@ def kd_leaves(atoms: DataFrame, shards: int) -> DataFrame:
         goes_left = (value < _of(cut_low)) | ((value < _of(cut_high)) & (F.col("tie") < _of(tie)))
         right = {n: n + leaves[n] // 2 for n in goal}
         moved = F.when(F.col("node").isin([*goal]) & ~goes_left, _of(right)).otherwise(F.col("node"))
-        atoms = materialise(atoms.withColumn("node", moved.cast("int")), "kd-atoms")
+        atoms = materialise(atoms.withColumn("node", moved.cast("int")), "kd-atoms", replaces=atoms)
         leaves = {k: v for n, s in leaves.items() for k, v in (((n, s // 2), (n + s // 2, s - s // 2)) if s > 1 else ((n, s),))}
     return atoms
 
@@ -103,7 +103,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     points = materialise(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(FIXED_BYTES)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("crc"), F.xxhash64(text).alias("tk"), F.coalesce("lang", F.lit("")).alias("lang"),
-        F.coalesce("source", F.lit("")).alias("source")), "shard-points")
+        F.coalesce("source", F.lit("")).alias("source"), F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("at")), "shard-points")
     total = points.agg(F.sum("size").alias("w"), F.count("*").alias("n")).first()
     most_w, most_n = (total["w"] or 0) / (shards * PARTS) + 1, total["n"] / (shards * PARTS) + 1
     # At most 2 * shards * PARTS groups are that large, whatever the input: they can be broadcast.
@@ -111,7 +111,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     hot = hot.where((F.col("n") > 1) & ((F.col("w") > most_w) | (F.col("n") > most_n))).select(
         *GROUP, F.ceil(F.greatest(F.col("w") / most_w, F.col("n") / most_n)).cast("int").alias("parts"))
     salted = points.join(F.broadcast(hot), GROUP, "left").withColumn(
-        "part", F.coalesce(F.pmod(F.xxhash64("doc_id", "lang", "source"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+        "part", F.coalesce(F.pmod(F.xxhash64("doc_id", "lang", "source", "at"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
     atoms = salted.groupBy(*GROUP, "part").agg(F.sum("size").alias("w"), F.min("lang").alias("lang"), F.min("source").alias("source"))
     atoms = atoms.select(
         *GROUP, "part", "w", (F.log2("size") / 24).alias("d_size"), _unit("lang").alias("d_lang"), _unit("source").alias("d_source"),
