@@ -172,12 +172,14 @@ def fit_language(counts: dict[str, int], table: dict[str, int], rounds: int = RO
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """Rows (lang, text): of each language FIT_ROWS different labelled texts outside the held-out fold, those of the
-    lowest hashes; the same for any order of the rows."""
+    """Rows (lang, text): of each language at most FIT_ROWS different labelled texts outside the held-out fold, those of
+    the lowest hashes; the same for any order of the rows. Languages are few: what is known of each is a share."""
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out()).select("lang", "text", F.xxhash64("text").alias("h"))
-    low = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    picked = rows.select("lang", "h").distinct().withColumn("n", low).where(F.col("n") <= FIT_ROWS).drop("n")
-    return rows.join(picked, ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
+    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), 2.0 * FIT_ROWS / F.approx_count_distinct("h")).alias("share"))
+    drawn = rows.join(F.broadcast(share), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * float(1 << 30)).drop("share")
+    drawn = drawn.groupBy("lang", "h").agg(F.first("text").alias("text"))
+    low = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))
+    return drawn.withColumn("n", low).where(F.col("n") <= FIT_ROWS).select("lang", "text")
 
 
 def fit(docs: DataFrame, path: str | None = None) -> tuple[list[str], np.ndarray]:

@@ -283,8 +283,8 @@ def near_classes(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
             near = [likeness(*(np.frombuffer(x.as_py(), np.uint64) for x in pair)) >= LEAST for pair in zip(b.column(2), b.column(3))]
             yield b.select(["src", "dst"]).filter(pa.array(near, pa.bool_()))
 
-    ends = links.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    sets = rows.select("node", "text").join(ends, "node").groupBy("node").agg(F.first("text").alias("text")).mapInArrow(as_set, "node binary, members binary")
+    ends = links.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(nodes.select("node", "doc_id"), "node")
+    sets = rows.join(ends, ["doc_id", "node"]).groupBy("node").agg(F.first("text").alias("text")).mapInArrow(as_set, "node binary, members binary")
     sets = materialise(sets, "simhash-sets")
     both = links.join(sets.select(F.col("node").alias("src"), F.col("members").alias("a")), "src").join(sets.select(F.col("node").alias("dst"), F.col("members").alias("b")), "dst")
     roots = components(both.select("src", "dst", "a", "b").mapInArrow(alike, "src binary, dst binary"), "simhash-components")

@@ -98,7 +98,7 @@ def test_topk_edges(spark):
 def test_bit_slices_equal_products():
     rng = np.random.default_rng(3)
     v = rng.integers(-300, 300, (333, 9))
-    index = exact_topk.BitSlices(np.arange(333), v)
+    index = exact_topk.BitSlices.of(np.arange(333), v)
     for q in (*rng.integers(-300, 300, (5, 9)), np.zeros(9, int), v[0] * 0 + 1):
         want = sorted(((int(s), -i) for i, s in enumerate(v @ q) if i != 4), reverse=True)[:6]
         assert sorted(((s, -i) for i, s in index.top(q, 4, 6)), reverse=True) == want
@@ -309,6 +309,9 @@ def test_hot_groups_are_split_between_shards(spark):
     got = kd_sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), 8).groupBy("shard").agg(F.sum("size").alias("w")).collect()
     load = [r["w"] for r in got]
     assert len(load) == 8 and max(load) < 1.05 * min(load)
+    rows = [(None, "same text", None, None)] * 3000
+    got = kd_sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), 8).groupBy("shard").count().collect()
+    assert len(got) == 8 and max(r["count"] for r in got) < 1.2 * min(r["count"] for r in got)
 
 
 def test_word_encoder_equals_the_library_on_any_characters():
