@@ -79,15 +79,45 @@ def url_identity(url: Column) -> Column:
     return F.when(F.size(kept) > 0, F.concat(base, F.lit("?query-sha256="), F.sha2(F.array_join(kept, "&"), 256))).otherwise(base)
 
 
+# Entities that have a name, and the white space that text runs together.
+ENTITIES = {"amp": "&", "quot": '"', "apos": "'", "lt": "<", "gt": ">", "nbsp": " "}
+WHITE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+"
+
+
+def decode_entities(text: Column) -> Column:
+    """Named and numeric character references of a text, each decoded once; unknown ones stay."""
+    def decoded(part: Column) -> Column:
+        name = F.lower(F.regexp_extract(part, r"(?i)^(#x[0-9a-f]+|#[0-9]+|" + "|".join(ENTITIES) + ");", 1))
+        point = F.when(name.startswith("#x"), F.conv(F.substr(name, F.lit(3)), 16, 10)).otherwise(F.substr(name, F.lit(2))).try_cast("bigint")
+        valid = (point > 0) & (point <= 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+        named = F.element_at(F.create_map(*[F.lit(x) for kv in ENTITIES.items() for x in kv]), name)
+        char = F.when(~name.startswith("#"), named).when(valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
+        return F.when((name == "") | char.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(char, F.substr(part, F.length(name) + 2)))
+
+    parts = F.split(text, "&", -1)
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(decoded(p))), "")
+
+
+def without_tags(html: Column) -> Column:
+    """Each tag as a space. A tag ends at the first > outside its quoted values; a < that none closes stays. The
+    quantifiers are possessive, which the JVM matches in a loop and not by recursion, and nothing after the last >
+    is searched."""
+    last = F.length(html) - F.instr(F.reverse(html), ">") + 1
+    closed = F.when(F.contains(html, F.lit(">")), F.substr(html, F.lit(1), last)).otherwise("")
+    plain = F.regexp_replace(closed, r"""<(?>[^>"']++|"[^"]*+"|'[^']*+')*+>""", " ")
+    return F.concat(plain, F.substr(html, F.length(closed) + 1))
+
+
 def page_text(html: Column) -> Column:
-    """Text of a page's main part: without comments, scripts, navigation and tags, entities decoded, on one line."""
-    main = F.regexp_extract(html, r"(?is)<main\b[^>]*>(.*?)</main>", 1)
-    body = F.when(main == "", html).otherwise(main)
-    for pattern in (r"(?s)<!--.*?-->", r"(?is)<(script|style|nav|header|footer)\b[^>]*>.*?</\1>", r"""(?s)<(?:[^>"']|"[^"]*"|'[^']*')*>"""):
-        body = F.regexp_replace(body, pattern, " ")
-    for entity, plain in (("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&")):
-        body = F.replace(body, F.lit(entity), F.lit(plain))
-    return F.trim(F.regexp_replace(body, r"\s+", " "))
+    """Text of a page's main part (of the whole page, if it has none) on one line, without comments, without elements
+    that hold code or surround the content, and without tags; entities decoded."""
+    parts = F.split(html, r"(?i)<main\b[^>]*+>", 2)
+    inner = F.split(F.get(parts, 1), r"(?i)</main>", 2)
+    body = F.when(F.size(inner) > 1, F.get(inner, 0)).otherwise(html)
+    body = F.regexp_replace(body, r"(?s)<!--.*?-->", " ")
+    for element in ("script", "style", "nav", "header", "footer"):
+        body = F.regexp_replace(body, rf"(?is)<{element}\b[^>]*+>.*?</{element}>", " ")
+    return F.trim(F.regexp_replace(decode_entities(without_tags(body)), WHITE, " "))
 
 
 def fresh_file(updated: Column, as_of: Column, days: int = policy.FILE_FRESH_DAYS) -> Column:

@@ -9,7 +9,7 @@ from clarispan.functions.scalars import tristate
 from clarispan.operators.cost import premium_amounts
 
 # How many doctors and drugs one request may name, plans of one place, marketplace models.
-MOST_DOCTORS, MOST_DRUGS, MOST_PLANS = 12, 20, 400
+MOST_DOCTORS, MOST_DRUGS, MOST_PLANS, MOST_CODES = 12, 20, 400, 100
 MODELS = ("FFM", "FFMPartnership", "SupportedSBM", "SBM")
 
 
@@ -41,8 +41,11 @@ def board_summary(board: DataFrame) -> DataFrame:
 
 def catalog_gaps(models: DataFrame, marketplaces: DataFrame, codes: DataFrame) -> DataFrame:
     """Problems of a catalog: models (year, code, model) must cover all codes (code) in each year with a
-    known model; marketplaces (year, code) must be those of the states with their own platform."""
-    wanted = models.select("year").distinct().join(F.broadcast(codes.limit(100)), how="cross")  # years x states: a fixed table
+    known model; marketplaces (year, code) must be those of the states with their own platform. Codes are
+    those of states; more than MOST_CODES are an error."""
+    listed = codes.agg(F.array_sort(F.collect_set("code")).alias("codes"))
+    listed = listed.select(F.when(F.size("codes") <= MOST_CODES, F.col("codes")).otherwise(F.raise_error(F.lit(f"more than {MOST_CODES} codes"))).alias("codes"))
+    wanted = models.select("year").distinct().crossJoin(F.broadcast(listed)).select("year", F.explode("codes").alias("code"))  # listed is one row
     both = wanted.withColumn("wanted", F.lit(True)).join(models, ["year", "code"], "full").join(marketplaces.select("year", "code", F.lit(True).alias("has")).distinct(), ["year", "code"], "full")
     own, has = F.coalesce(F.col("model") == "SBM", F.lit(False)), F.coalesce("has", F.lit(False))
     problem = (

@@ -33,10 +33,8 @@ def match_subjects(household: DataFrame, plans: DataFrame, answers: DataFrame) -
     """
     grid = plans.select("plan_id").distinct().join(F.broadcast(household.select("kind", "subject_key").distinct()))
     claims = answers.where(F.col("source").isin(API, MRF)).join(F.broadcast(household.select("kind", "subject_key").distinct()), ["kind", "subject_key"], "left_semi")
-    claims = latest(claims)
-    known = two_way(claims)
-    dated = claims.where(F.col("source") == MRF).groupBy(*CLAIM).agg(F.max("source_last_updated").alias("mrf_updated"))
-    out = grid.join(known, CLAIM, "left").join(dated, CLAIM, "left")
+    known = two_way(latest(claims), also=[F.max(F.when(F.col("source") == MRF, F.col("source_last_updated"))).alias("mrf_updated")])
+    out = grid.join(known, CLAIM, "left")
     out = out.withColumns({
         "verdict": F.coalesce("verdict", F.lit("BOTH_UNKNOWN")), "consensus": F.coalesce("consensus", F.lit("unknown")),
         "reconciled_confidence": F.coalesce("reconciled_confidence", F.lit(policy.UNKNOWN_CONFIDENCE))})

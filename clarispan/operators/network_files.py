@@ -49,7 +49,8 @@ def used_reference_groups(uses: DataFrame, references: DataFrame, strict: bool =
     """Groups of the references (file_id, ref_id, ord, ...) that are used (file_id, ref_id, ord), each
     once, in order of first use; the last definition of an id counts. Strict: an unresolved use is an error."""
     first = uses.groupBy("file_id", "ref_id").agg(F.min("ord").alias("use_ord"))
-    last = references.join(references.groupBy("file_id", "ref_id").agg(F.max("ord").alias("ord")), ["file_id", "ref_id", "ord"], "left_semi")
+    rest = [c for c in references.columns if c not in ("file_id", "ref_id")]
+    last = references.groupBy("file_id", "ref_id").agg(F.max_by(F.struct(*rest), "ord").alias("last")).select("file_id", "ref_id", "last.*")
     out = first.join(last, ["file_id", "ref_id"], "left" if strict else "inner")
     if strict:
         out = out.withColumn("ref_id", F.when(F.col("ord").isNull(), F.raise_error(F.concat(F.lit("unresolved reference "), F.col("ref_id").cast("string")))).otherwise(F.col("ref_id")))
@@ -147,11 +148,11 @@ def compact_buckets(memberships: DataFrame) -> DataFrame:
 
 
 def compact_lookup(requests: DataFrame, memberships: DataFrame) -> DataFrame:
-    """Requests (file_id, npi) whose suffix is in its bucket."""
-    buckets = memberships.select("file_id", F.substring("npi", 1, 4).alias("prefix"), F.substring("npi", 5, 6).alias("suffix"))
-    buckets = buckets.groupBy("file_id", "prefix").agg(F.collect_set("suffix").alias("suffixes"))
-    rows = requests.withColumn("prefix", F.substring("npi", 1, 4)).join(buckets, ["file_id", "prefix"], "left")
-    return rows.select("file_id", "npi", F.coalesce(F.array_contains("suffixes", F.substring("npi", 5, 6)), F.lit(False)).alias("found"))
+    """Requests (file_id, npi) whose suffix is in its bucket: a join on all three parts, so no bucket is scanned."""
+    key = ["file_id", "prefix", "suffix"]
+    parts = [F.substring("npi", 1, 4).alias("prefix"), F.substring("npi", 5, 6).alias("suffix")]
+    members = memberships.select("file_id", *parts).distinct().withColumn("found", F.lit(True))
+    return requests.select("*", *parts).join(members, key, "left").select("file_id", "npi", F.coalesce("found", F.lit(False)).alias("found"))
 
 
 def set_digest(values: DataFrame, by: list[str], column: str) -> DataFrame:
@@ -168,6 +169,7 @@ def plan_set_ids(links: DataFrame, domain: str = "plan-set/1") -> DataFrame:
         return F.concat(F.unhex(F.lpad(F.hex(F.octet_length(b)), 8, "0")), b)
 
     plans = links.select("file_id", F.concat(*[field(c) for c in ("plan_name", "plan_id_type", "plan_id", "plan_market_type")]).alias("row")).distinct()
-    g = plans.groupBy("file_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
-    whole = F.aggregate("rows", F.encode(F.lit(domain), "UTF-8"), lambda a, x: F.concat(a, F.unhex(F.sha2(x, 256))))
+    plans = plans.select("file_id", F.struct("row", F.sha2("row", 256).alias("digest")).alias("p"))
+    g = plans.groupBy("file_id").agg(F.array_sort(F.collect_list("p")).alias("rows"))
+    whole = F.concat(F.encode(F.lit(domain), "UTF-8"), F.unhex(F.array_join(F.col("rows.digest"), "")))
     return g.select("file_id", F.size("rows").alias("plans"), F.sha2(whole, 256).alias("set_id"))

@@ -15,13 +15,15 @@ def _verdict(known: Column, yes: Column, no: Column) -> Column:
     return F.when(known == 0, "ALL_UNKNOWN").when(known == 1, "SINGLE_SOURCE").when((yes == 0) | (no == 0), "AGREE").otherwise("CONFLICT")
 
 
-def reconcile(answers: DataFrame, by: list[str] = CLAIM) -> DataFrame:
-    """A row for each claim: verdict, consensus, votes and confidence. A majority never hides a conflict."""
+def reconcile(answers: DataFrame, by: list[str] = CLAIM, also: list[Column] | None = None) -> DataFrame:
+    """A row for each claim: verdict, consensus, votes and confidence, and other aggregates asked for. A majority
+    never hides a conflict."""
     known, yes = F.col("value") != "unknown", F.col("value") == "yes"
     g = answers.groupBy(*by).agg(
         F.count_if(known).alias("known_count"), F.count_if(yes).alias("yes_count"), F.count_if(known & ~yes).alias("no_count"),
         F.max(F.when(known, F.col("confidence"))).alias("top"), F.min(F.when(known, F.col("confidence"))).alias("low"),
-        F.max(F.when(known, F.col("value"))).alias("value"), sorted_text(F.collect_list(F.when(known, F.col("source")))).alias("sources"))
+        F.max(F.when(known, F.col("value"))).alias("value"), sorted_text(F.collect_list(F.when(known, F.col("source")))).alias("sources"),
+        F.struct(F.lit(0), *(also or [])).alias("also"))
     k = F.col("known_count")
     verdict = _verdict(k, F.col("yes_count"), F.col("no_count"))
     confidence = (
@@ -33,20 +35,28 @@ def reconcile(answers: DataFrame, by: list[str] = CLAIM) -> DataFrame:
         *by, verdict.alias("verdict"), "known_count", "yes_count", "no_count",
         F.when((k == 0) | split, "unknown").otherwise(F.col("value")).alias("consensus"), confidence.alias("reconciled_confidence"),
         F.when((k > 1) & ~split, F.col("sources")).otherwise("").alias("agrees_with"),
-        F.when(split, F.col("sources")).otherwise("").alias("conflicts_with"))
+        F.when(split, F.col("sources")).otherwise("").alias("conflicts_with"), *[f"also.{c}" for c in g.schema["also"].dataType.names[1:]])
+
+
+def stamps(answers: DataFrame, by: list[str] = CLAIM) -> DataFrame:
+    """For each claim, source and known value: how many answers give it, and the sources of the claim's other answers
+    that agree and conflict with one of them. Answers are counted by source first, so a claim with very many of them is
+    a short list of sources."""
+    votes = answers.where("value <> 'unknown'").groupBy(*by, "source", "value").agg(F.count("*").alias("n"))
+    votes = votes.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("source", "value", "n"))).alias("votes"))
+
+    def listed(agree: bool) -> Column:
+        fits = F.filter("votes", lambda v: (v["value"] == F.col("v.value")) if agree else (v["value"] != F.col("v.value")))
+        own = lambda v: F.when((v["source"] == F.col("v.source")) & F.lit(agree), 1).otherwise(0)
+        return F.array_join(F.flatten(F.transform(fits, lambda v: F.array_repeat(v["source"], (v["n"] - own(v)).cast("int")))), ",")
+
+    rows = votes.select(*by, "votes", F.explode("votes").alias("v"))
+    return rows.select(*by, "v.source", "v.value", "v.n", listed(True).alias("agrees_with"), listed(False).alias("conflicts_with"))
 
 
 def stamp(answers: DataFrame, by: list[str] = CLAIM) -> DataFrame:
     """Adds to each known answer the sources of the other known answers that agree and conflict with it."""
-    count = lambda v: F.count_if(F.col("value") == v).alias(f"n_{v}")
-    listed = lambda v: F.collect_list(F.when(F.col("value") == v, F.col("source"))).alias(f"from_{v}")
-    votes = answers.groupBy(*by).agg(count("yes"), count("no"), listed("yes"), listed("no"))
-    yes = F.col("value") == "yes"
-    same, other = F.when(yes, F.col("from_yes")).otherwise(F.col("from_no")), F.when(yes, F.col("from_no")).otherwise(F.col("from_yes"))
-    mine = F.array_position(same, F.col("source"))  # one occurrence is the answer itself
-    others = F.concat(F.slice(same, F.lit(1), mine.cast("int") - 1), F.slice(same, mine.cast("int") + 1, F.size(same)))
-    out = answers.where("value <> 'unknown'").join(votes, by)
-    return out.select(*answers.columns, sorted_text(others).alias("agrees_with"), sorted_text(other).alias("conflicts_with"))
+    return answers.join(stamps(answers, by).drop("n"), [*by, "source", "value"]).select(*answers.columns, "agrees_with", "conflicts_with")
 
 
 def latest(answers: DataFrame, by: list[str] = CLAIM) -> DataFrame:
@@ -56,14 +66,13 @@ def latest(answers: DataFrame, by: list[str] = CLAIM) -> DataFrame:
     return g.select(*by, "source", "last.*")
 
 
-def two_way(answers: DataFrame, by: list[str] = CLAIM, api: str = "MARKETPLACE_API") -> DataFrame:
+def two_way(answers: DataFrame, by: list[str] = CLAIM, api: str = "MARKETPLACE_API", also: list[Column] | None = None) -> DataFrame:
     """The view of two sources: a single source is named by which one it is."""
-    r = reconcile(answers, by)
-    has_api = answers.groupBy(*by).agg(F.bool_or((F.col("source") == api) & (F.col("value") != "unknown")).alias("api_known"))
+    api_known = F.bool_or((F.col("source") == api) & (F.col("value") != "unknown")).alias("api_known")
     verdict = (
         F.when(F.col("verdict") == "SINGLE_SOURCE", F.when(F.col("api_known"), "API_ONLY").otherwise("MRF_ONLY"))
         .when(F.col("verdict") == "ALL_UNKNOWN", "BOTH_UNKNOWN").otherwise(F.col("verdict")))
-    return r.join(has_api, by).withColumn("verdict", verdict).drop("api_known")
+    return reconcile(answers, by, [api_known, *(also or [])]).withColumn("verdict", verdict).drop("api_known")
 
 
 def summarize(reconciled: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -16,22 +16,24 @@ def grade(score: Column) -> Column:
     return reduce(lambda c, g: c.when(score >= g[1], g[0]), rest, F.when(score >= least, name)).otherwise("F")
 
 
-def freshness_summary(matched: DataFrame, as_of: Column) -> DataFrame:
-    """Oldest and newest source dates of each plan, and how many claims are dated and stale."""
+def _dates(as_of: Column) -> list[Column]:
     stale = days_between(as_of, F.col("mrf_updated")) > policy.STALE_DAYS
     day = F.date_format("mrf_updated", "yyyy-MM-dd")
-    return matched.groupBy("plan_id").agg(
-        F.min(day).alias("oldest"), F.max(day).alias("newest"), F.count("mrf_updated").alias("dated"), F.count_if(stale).alias("stale"))
+    return [F.min(day).alias("oldest"), F.max(day).alias("newest"), F.count("mrf_updated").alias("dated"), F.count_if(stale).alias("stale")]
+
+
+def freshness_summary(matched: DataFrame, as_of: Column) -> DataFrame:
+    """Oldest and newest source dates of each plan, and how many claims are dated and stale."""
+    return matched.groupBy("plan_id").agg(*_dates(as_of))
 
 
 def verify_plans(matched: DataFrame, as_of: Column) -> DataFrame:
     """Score and grade of each plan: mean confidence less a penalty for the share of stale claims."""
     verdict = lambda *v: F.count_if(F.col("verdict").isin(*v))
     mean = F.sum(F.floor(F.col("reconciled_confidence") * 100 + 0.5)) / F.count("*") / 100.0
-    counts = matched.groupBy("plan_id").agg(
+    both = matched.groupBy("plan_id").agg(
         F.count("*").alias("total"), verdict("AGREE").alias("verified"), verdict("CONFLICT").alias("conflicts"),
-        verdict("API_ONLY", "MRF_ONLY").alias("single_source"), verdict("BOTH_UNKNOWN").alias("unknown"), mean.alias("mean"))
-    both = counts.join(freshness_summary(matched, as_of), "plan_id")
+        verdict("API_ONLY", "MRF_ONLY").alias("single_source"), verdict("BOTH_UNKNOWN").alias("unknown"), mean.alias("mean"), *_dates(as_of))
     penalty = F.when(F.col("dated") > 0, F.col("stale") / F.col("dated") * policy.STALE_PENALTY).otherwise(F.lit(0.0))
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), half_up(F.col("mean") - penalty)))
     return both.withColumn("score", score).withColumn("grade", grade(F.col("score"))).drop("mean", "dated", "oldest", "newest")

@@ -95,10 +95,12 @@ def household(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, subject_key string")
 
 
+#: Tags (provider, system, critical): the last one of a provider counts; one system has no provider of the household.
+TAGS = [("1000000000", "SYSC", False), *((f"10000000{i:02d}", "SYS" + "ABC"[i % 3], i % 3 == 0) for i in range(8)), ("1000009999", "SYSD", False)]
+
+
 def system_tags(spark: SparkSession) -> DataFrame:
-    """Every third provider is critical; systems by halves."""
-    rows = [(f"10000000{i:02d}", "SYS" + "ABC"[i % 3], i % 3 == 0) for i in range(8)]
-    return spark.createDataFrame(rows, "subject_key string, system string, critical boolean")
+    return spark.createDataFrame([(i, *t) for i, t in enumerate(TAGS)], "ord int, subject_key string, system string, critical boolean")
 
 
 LATEST = """,
@@ -110,7 +112,7 @@ MATCHED = ANSWERS + LATEST + reconciled_sql("latest", "rec") + """,
 subjects AS (
   SELECT 'PROVIDER' AS kind, '10000000' || lpad(CAST(i AS VARCHAR), 2, '0') AS subject_key FROM range(8) t(i) UNION ALL SELECT 'DRUG', CAST(i AS VARCHAR) FROM range(3) t(i)
 ), tags AS (
-  SELECT '10000000' || lpad(CAST(i AS VARCHAR), 2, '0') AS subject_key, CASE i % 3 WHEN 0 THEN 'SYSA' WHEN 1 THEN 'SYSB' ELSE 'SYSC' END AS system, i % 3 = 0 AS critical FROM range(8) t(i)
+  SELECT * FROM (VALUES """ + ", ".join(f"({i}, '{k}', '{s}', {c})" for i, (k, s, c) in enumerate(TAGS)) + """) t(ord, subject_key, system, critical)
 ), dated AS (
   SELECT kind, subject_key, plan_id, max(source_last_updated) AS mrf_updated FROM latest WHERE source = 'ISSUER_MRF' GROUP BY ALL
 ), m0 AS (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clarispan.operators import bridge, matching, provenance, reconcile, verify
+from clarispan.operators import bridge, issuer_files, matching, provenance, reconcile, verify
 from clarispan.plans.base import AS_OF, ANSWERS, CLAIMS, MATCHED, as_of, claims, household, query, reconciled_sql, system_tags, table
 
 VERDICT_COLUMNS = ["kind", "subject_key", "plan_id", "verdict", "known_count", "yes_count", "no_count", "consensus", "reconciled_confidence", "agrees_with", "conflicts_with"]
@@ -15,8 +15,8 @@ def answers(spark, sf_dir):
 
 
 def matched(spark, sf_dir):
-    found = answers(spark, sf_dir)
-    return matching.match_subjects(household(spark), found, found)
+    plans = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 200).cast("string").alias("plan_id"))
+    return matching.match_subjects(household(spark), plans, answers(spark, sf_dir))
 
 
 @query("WITH" + ANSWERS + """
@@ -53,8 +53,7 @@ SELECT kind, subject_key, plan_id, source, value,
   coalesce(array_to_string(list_sort(other), ','), '') AS conflicts_with, count(*) AS n
 FROM s GROUP BY ALL""")
 def answer_stamps(spark, sf_dir):
-    keys = ["kind", "subject_key", "plan_id", "source", "value", "agrees_with", "conflicts_with"]
-    return reconcile.stamp(answers(spark, sf_dir)).groupBy(*keys).agg(F.count("*").alias("n"))
+    return reconcile.stamps(answers(spark, sf_dir))
 
 
 @query("WITH" + ANSWERS + reconciled_sql("answers", "rec") + """
@@ -143,7 +142,7 @@ def freshness_summary(spark, sf_dir):
     return verify.freshness_summary(matched(spark, sf_dir), as_of())
 
 
-@query("WITH" + FRESH + """
+GRADES_PART = """
 , c AS (
   SELECT plan_id, count(*) AS total, count(*) FILTER (WHERE verdict = 'AGREE') AS verified, count(*) FILTER (WHERE verdict = 'CONFLICT') AS conflicts,
     count(*) FILTER (WHERE verdict IN ('API_ONLY', 'MRF_ONLY')) AS single_source, count(*) FILTER (WHERE verdict = 'BOTH_UNKNOWN') AS unknown,
@@ -151,52 +150,75 @@ def freshness_summary(spark, sf_dir):
 ), s AS (
   SELECT c.*, stale, least(1.0::DOUBLE, greatest(0.0::DOUBLE, floor((mean - CASE WHEN dated > 0 THEN stale / dated * 0.1::DOUBLE ELSE 0.0::DOUBLE END) * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE)) AS score
   FROM c JOIN fresh USING (plan_id)
-)
-SELECT plan_id, total, verified, conflicts, single_source, unknown, stale, score, CASE WHEN score >= 0.85 THEN 'A' WHEN score >= 0.7 THEN 'B' WHEN score >= 0.5 THEN 'C' WHEN score >= 0.3 THEN 'D' ELSE 'F' END AS grade FROM s""")
+), graded AS (
+  SELECT plan_id, total, verified, conflicts, single_source, unknown, stale, score, CASE WHEN score >= 0.85 THEN 'A' WHEN score >= 0.7 THEN 'B' WHEN score >= 0.5 THEN 'C' WHEN score >= 0.3 THEN 'D' ELSE 'F' END AS grade FROM s
+)"""
+
+
+@query("WITH" + FRESH + GRADES_PART + "\nSELECT * FROM graded")
 def verify_grades(spark, sf_dir):
     return verify.verify_plans(matched(spark, sf_dir), as_of())
 
 
 SYSTEMS = MATCHED + """,
+own AS (SELECT subject_key, arg_max(system, ord) AS system, bool_or(critical) AS critical FROM tags GROUP BY subject_key),
+required AS (SELECT DISTINCT system FROM tags), offered AS (SELECT DISTINCT plan_id FROM matched),
 systems AS (
   SELECT plan_id, system, count(*) AS total, count(*) FILTER (WHERE status LIKE 'covered%') AS covered, count(*) FILTER (WHERE status = 'covered') AS firm,
-    count(*) FILTER (WHERE status = 'unknown') AS unk, floor(sum(floor(reconciled_confidence * 100.0::DOUBLE + 0.5::DOUBLE)) / count(*) / 100.0::DOUBLE * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS confidence
-  FROM matched JOIN tags USING (subject_key) WHERE kind = 'PROVIDER' GROUP BY plan_id, system
+    count(*) FILTER (WHERE status = 'unknown') AS unk, sum(floor(reconciled_confidence * 100.0::DOUBLE + 0.5::DOUBLE)) AS cents, count(*) FILTER (WHERE confirm) AS confirm
+  FROM matched JOIN own USING (subject_key) WHERE kind = 'PROVIDER' GROUP BY plan_id, system
 ), named AS (
-  SELECT plan_id, system, total, covered, confidence,
-    CASE WHEN covered = 0 THEN (CASE WHEN unk = total THEN 'unknown' ELSE 'not_covered' END) WHEN covered < total THEN 'partial' WHEN firm = total THEN 'covered' ELSE 'covered_unverified' END AS system_status
-  FROM systems
+  SELECT plan_id, system, coalesce(total, 0) AS total, coalesce(covered, 0) AS covered, coalesce(floor(cents / total / 100.0::DOUBLE * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE, 0.0::DOUBLE) AS confidence, coalesce(confirm, 0) AS confirm,
+    CASE WHEN total IS NULL THEN 'unknown' WHEN covered = 0 THEN (CASE WHEN unk = total THEN 'unknown' ELSE 'not_covered' END) WHEN covered < total THEN 'partial' WHEN firm = total THEN 'covered' ELSE 'covered_unverified' END AS system_status
+  FROM offered CROSS JOIN required LEFT JOIN systems USING (plan_id, system)
 )"""
 
 
-@query("WITH" + SYSTEMS + "\nSELECT * FROM named")
+@query("WITH" + SYSTEMS + "\nSELECT * EXCLUDE (confirm) FROM named")
 def system_coverage(spark, sf_dir):
     return bridge.system_coverage(matched(spark, sf_dir), system_tags(spark))
 
 
-@query("WITH" + SYSTEMS + """
-, k AS (SELECT *, system_status IN ('covered', 'covered_unverified') AS keep FROM named),
+BRIDGES = SYSTEMS + """,
+k AS (SELECT *, system_status IN ('covered', 'covered_unverified') AS keep FROM named),
 g AS (
-  SELECT plan_id, count(*) AS systems, count(*) FILTER (WHERE keep) AS kept_count, CAST(sum(covered) AS BIGINT) AS any_covered,
-    coalesce(array_to_string(list_sort(list(system) FILTER (WHERE keep)), ','), '') AS kept, coalesce(array_to_string(list_sort(list(system) FILTER (WHERE NOT keep)), ','), '') AS lost,
-    coalesce(sum(floor(confidence * 100.0::DOUBLE + 0.5::DOUBLE)) FILTER (WHERE keep) / count(*) FILTER (WHERE keep) / 100.0::DOUBLE, 0.0::DOUBLE) AS mean_kept
+  SELECT plan_id, count(*) AS systems, count(*) FILTER (WHERE keep) AS kept_count, CAST(sum(covered) AS BIGINT) AS any_covered, CAST(sum(confirm) AS BIGINT) AS confirm,
+    coalesce(list_sort(list(system) FILTER (WHERE keep)), []) AS kept, coalesce(list_sort(list(system) FILTER (WHERE NOT keep)), []) AS lost, min(confidence) FILTER (WHERE keep) AS least,
+    coalesce(floor(sum(floor(confidence * 100.0::DOUBLE + 0.5::DOUBLE)) FILTER (WHERE keep) / count(*) FILTER (WHERE keep) / 100.0::DOUBLE * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE, 0.0::DOUBLE) AS mean_kept
   FROM k GROUP BY plan_id
 ), c AS (
-  SELECT plan_id, count(*) AS critical, count(*) FILTER (WHERE status LIKE 'covered%') AS critical_kept,
-    coalesce(array_to_string(list_sort(list(subject_key) FILTER (WHERE status NOT LIKE 'covered%')), ','), '') AS critical_gaps
-  FROM matched JOIN tags USING (subject_key) WHERE kind = 'PROVIDER' AND critical GROUP BY plan_id
-)
-SELECT plan_id, kept, lost, coalesce(critical_gaps, '') AS critical_gaps,
-  CASE WHEN kept_count = systems THEN 'bridges_all' WHEN kept_count > 0 THEN 'single_system' WHEN any_covered > 0 THEN 'partial' ELSE 'none' END AS bridge_status,
-  floor((kept_count + 0.3::DOUBLE * (CASE WHEN coalesce(critical, 0) > 0 THEN critical_kept / critical ELSE 0.0::DOUBLE END) + 0.1::DOUBLE * (floor(mean_kept * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE)) * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS bridge_score
-FROM g LEFT JOIN c USING (plan_id)""")
+  SELECT plan_id, coalesce(list_sort(list(subject_key) FILTER (WHERE kind = 'PROVIDER' AND critical AND status NOT LIKE 'covered%')), []) AS gaps FROM matched LEFT JOIN own USING (subject_key) GROUP BY plan_id
+), w AS (SELECT count(DISTINCT subject_key) FILTER (WHERE critical) AS critical_total FROM tags),
+bridges AS (
+  SELECT plan_id, array_to_string(kept, ',') AS kept, array_to_string(lost, ',') AS lost, array_to_string(gaps, ',') AS critical_gaps,
+    CASE WHEN kept_count > 0 AND kept_count = systems THEN 'bridges_all' WHEN kept_count > 0 THEN 'single_system' WHEN any_covered > 0 THEN 'partial' ELSE 'none' END AS bridge_status,
+    floor((kept_count + 0.3::DOUBLE * (CASE WHEN critical_total > 0 THEN (critical_total - len(gaps)) / critical_total ELSE 1.0::DOUBLE END) + 0.1::DOUBLE * mean_kept) * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS bridge_score,
+    CASE WHEN kept_count > 0 AND kept_count = systems THEN 'Keeps every system in-network (' || array_to_string(kept, ' + ') || ') — shown in-network at ≥' || CAST(CAST(floor(least * 100 + 0.5) AS BIGINT) AS VARCHAR) || '% confidence'
+      WHEN kept_count > 0 THEN 'Keeps ' || array_to_string(kept, ', ') || ' but drops ' || array_to_string(lost, ', ') WHEN any_covered > 0 THEN 'No system kept whole — only some providers shown in-network' ELSE 'Keeps none of your doctors in-network' END
+      || CASE WHEN len(gaps) > 0 THEN ' · ⚠️ puts a must-keep provider out-of-network: NPI ' || array_to_string(gaps, ', NPI ') ELSE '' END
+      || CASE WHEN confirm > 1 THEN ' · confirm ' || CAST(confirm AS VARCHAR) || ' providers with the office(s) before enrolling' WHEN confirm = 1 THEN ' · confirm 1 provider with the office(s) before enrolling' ELSE ' · still confirm directly with each office before enrolling' END AS headline
+  FROM g JOIN c USING (plan_id) CROSS JOIN w
+)"""
+
+
+@query("WITH" + BRIDGES + "\nSELECT * FROM bridges")
 def bridge_status(spark, sf_dir):
     return bridge.bridge_plans(matched(spark, sf_dir), system_tags(spark))
 
 
-@query("WITH" + CLAIMS + """
-SELECT kind, subject_key, CASE WHEN count(*) FILTER (WHERE value = 'yes' AND plan_id = '7') > 0 THEN 'yes' WHEN count(*) > 0 THEN 'no' END AS value FROM claims WHERE source = 'ISSUER_MRF' GROUP BY ALL""")
+@query("WITH" + BRIDGES + "\nSELECT plan_id, bridge_status, bridge_score, row_number() OVER (ORDER BY bridge_score DESC, plan_id) AS rank FROM bridges")
+def bridge_rank(spark, sf_dir):
+    return bridge.rank_bridges(bridge.bridge_plans(matched(spark, sf_dir), system_tags(spark))).select("plan_id", "bridge_status", "bridge_score", "rank")
+
+
+@query("WITH" + CLAIMS + """,
+records AS (SELECT kind, subject_key, bool_or(value = 'yes' AND plan_id = '7') AS listed FROM claims WHERE source = 'ISSUER_MRF' GROUP BY ALL),
+asked AS (SELECT DISTINCT kind, subject_key FROM claims UNION SELECT 'DRUG', 'none')
+SELECT kind, subject_key, '7' AS plan_id, CASE WHEN listed IS NULL THEN 'unknown' WHEN listed THEN 'yes' ELSE 'no' END AS value FROM asked LEFT JOIN records USING (kind, subject_key)""")
 def issuer_file_lookup(spark, sf_dir):
-    """A subject that the file has, without the plan, is a no."""
-    rows = claims(spark, sf_dir).where("source = 'ISSUER_MRF'")
-    return rows.groupBy("kind", "subject_key").agg(F.when(F.count_if((F.col("value") == "yes") & (F.col("plan_id") == "7")) > 0, "yes").otherwise("no").alias("value"))
+    """Every subject and one without a record, against the issuer's records; a record without the plan is a no."""
+    every = claims(spark, sf_dir)
+    asked = every.select("kind", "subject_key").union(spark.createDataFrame([("DRUG", "none")], "kind string, subject_key string")).distinct().withColumn("plan_id", F.lit("7"))
+    records = every.where("source = 'ISSUER_MRF'").groupBy("kind", "subject_key").agg(F.collect_set(F.when(F.col("value") == "yes", F.col("plan_id"))).alias("plans"))
+    records = records.withColumns({"last_updated_on": F.lit(AS_OF), "ord": F.lit(0)})
+    return issuer_files.issuer_answers(asked, records, as_of()).select("kind", "subject_key", "plan_id", "value")

@@ -58,10 +58,29 @@ def test_health_systems(spark):
     coverage = [("PROVIDER", k, p, "Covered" if p in where[k] else "NotCovered") for _, k, p in grid]
     found = answers(spark, grid, [("PROVIDER", k, v, DAY) for k, v in where.items()], coverage, DAY)
     matched = matching.match_subjects(spark.createDataFrame([("PROVIDER", k) for k in where], "kind string, subject_key string"), found, found)
-    tags = spark.createDataFrame([("17", "cedar", True), ("25", "harbor", False), ("33", "harbor", False)], "subject_key string, system string, critical boolean")
+    tags = spark.createDataFrame([(0, "17", "cedar", True), (1, "25", "harbor", False), (2, "33", "harbor", False)], TAG)
     rows = bridge.bridge_plans(matched, tags).orderBy(F.desc("bridge_score"), "plan_id").collect()
     assert [(r["plan_id"], r["bridge_status"], r["kept"], r["lost"], r["critical_gaps"]) for r in rows] == [
         ("PPO", "bridges_all", "cedar,harbor", "", ""), ("CVH", "single_system", "cedar", "harbor", ""), ("HPH", "single_system", "harbor", "cedar", "17"), ("NAR", "none", "", "cedar,harbor", "17")]
+    assert [r["bridge_score"] for r in rows] == [2.38, 1.38, 1.08, 0.0] and rows[0]["headline"].startswith("Keeps every system in-network (cedar + harbor) — shown in-network at ≥80%")
+    assert rows[2]["headline"].startswith("Keeps harbor but drops cedar · ⚠️ puts a must-keep provider out-of-network: NPI 17 · ")
+    assert [r["plan_id"] for r in bridge.rank_bridges(bridge.bridge_plans(matched, tags)).orderBy("rank").collect()] == [r["plan_id"] for r in rows]
+
+
+TAG = "ord int, subject_key string, system string, critical boolean"
+MATCH = "kind string, subject_key string, plan_id string, status string, reconciled_confidence double, confirm boolean"
+
+
+@pytest.mark.parametrize("tags, want", [
+    ([(0, "1", "A", False), (1, "9", "B", False)], ("single_system", "A", "B", "", 1.39)),  # nobody of B was matched
+    ([(0, "1", "A", False)], ("bridges_all", "A", "", "", 1.39)),  # nobody is critical: the whole share counts
+    ([(0, "1", "B", True), (1, "1", "A", False)], ("single_system", "A", "B", "", 1.39)),  # the last tag says the system
+    ([(0, "2", "A", True), (1, "9", "A", True)], ("none", "", "A", "2", 0.15)),  # one of two critical providers is a gap
+])
+def test_bridge_cases(spark, tags, want):
+    matched = spark.createDataFrame([("PROVIDER", "1", "P", "covered", 0.9, False), ("PROVIDER", "2", "P", "not_covered", 0.9, False), ("DRUG", "1", "P", "unknown", 0.05, True)], MATCH)
+    r = bridge.bridge_plans(matched, spark.createDataFrame(tags, TAG)).first()
+    assert (r["bridge_status"], r["kept"], r["lost"], r["critical_gaps"], r["bridge_score"]) == want
 
 
 @pytest.mark.parametrize("late", [0, 90, 180])

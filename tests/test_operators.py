@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from clarispan.functions.scalars import employer_name, half_up, has_health_benefit, shard_name, tristate, url_identity
+from clarispan.functions.scalars import decode_entities, employer_name, half_up, has_health_benefit, page_text, shard_name, tristate, url_identity
 from clarispan.operators import cost, formulary, matching, network_files, publication, reconcile, verify
 
 ANSWER = "kind string, subject_key string, plan_id string, source string, value string, confidence double"
@@ -44,7 +44,7 @@ def one(spark, column):
 
 @pytest.mark.parametrize(
     "name, norm",
-    [("THE Kroger Co.", "KROGER"), ("Acme Holdings LLC", "ACME"), ("THE", "THE"), ("Blue River, Health LLC", "BLUE RIVER HEALTH"), ("LLC LLC", "LLC"), ("the acme holdings llc the", "ACME")],
+    [("THE Fernwick Co.", "FERNWICK"), ("Ostrava Holdings LLC", "OSTRAVA"), ("THE", "THE"), ("Green Hollow, Dental LLC", "GREEN HOLLOW DENTAL"), ("LLC LLC", "LLC"), ("the ostrava holdings llc the", "OSTRAVA")],
 )
 def test_employer_name(spark, name, norm):
     assert one(spark, employer_name(F.lit(name))) == norm
@@ -116,10 +116,10 @@ def test_plan_set_identity_has_no_order(spark):
 
 
 def test_shortlist_and_regions(spark):
-    plans = spark.createDataFrame([("S1001", "1", "0", 2026, n, f, "OH") for n, f in (("Complete Open", 1), ("Complete Restricted", 2), ("Partial", 3))] + [("H1001", "9", "0", 2026, "Managed", 1, "OH")], "contract_id string, plan_id string, segment_id string, contract_year int, plan_name string, formulary_id int, state string")
+    plans = spark.createDataFrame([("S1001", "1", "0", 2026, n, f, "OH") for n, f in (("Both Free", 1), ("Both Checked", 2), ("One", 3))] + [("H1001", "9", "0", 2026, "Managed", 1, "OH")], "contract_id string, plan_id string, segment_id string, contract_year int, plan_name string, formulary_id int, state string")
     drugs = spark.createDataFrame([(1, 2026, "7", 2, False, False, None), (1, 2026, "8", 3, False, None, False), (2, 2026, "7", 1, True, True, False), (2, 2026, "8", 1, False, False, False), (3, 2026, "7", 1, False, False, False)], "formulary_id int, contract_year int, rxcui string, tier int, prior_authorization boolean, step_therapy boolean, quantity_limit boolean")
     top = formulary.shortlist(plans, drugs, spark.createDataFrame([("7",), ("8",)], "rxcui string"), F.lit(True)).collect()
-    assert [r["plan_name"] for r in top] == ["Complete Open", "Complete Restricted", "Partial"]
+    assert [r["plan_name"] for r in top] == ["Both Free", "Both Checked", "One"]
     assert (top[0]["listed"], top[0]["restricted_drugs"], top[0]["average_tier"]) == (2, 0, 2.5)
     states = formulary.regions_of(spark.createDataFrame([("OH",), ("dc",), ("PR",), ("XX",)], "state string"))
     assert {r["state"]: r["region"] for r in states.collect()} == {"OH": 14, "dc": 5, "PR": 38, "XX": None}
@@ -152,3 +152,44 @@ def test_ranks_without_a_limit_cover_all_plans(spark):
     got = matching.rank_matches(rows).collect()
     want = sorted(got, key=lambda r: (-r["match_score"], -r["network_confidence"], r["plan_id"]))
     assert len(got) == 500 and [r["rank"] for r in want] == list(range(1, 501))
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<p>a</p><MAIN class='x'>b<br>c</main>d", "b c"), ("no tags & none", "no tags & none"), ("<!-- <p> -->a<script>x<b>y</script>b<nav a='1'>n</nav>", "a b"),
+    ('<a title="x>y" b=\'<\'>t</a>', "t"), ("a < b", "a < b"), ("x &#8217; &#x41; &AMP; &amp;lt; &#38;lt; &#0; &#xD800; &nope; &", "x \u2019 A & &lt; &lt; &#0; &#xD800; &nope; &"), ("a&nbsp;&#160;b", "a b"), (None, None), ("", "")])
+def test_page_text(spark, html, text):
+    assert one(spark, page_text(F.lit(html).cast("string"))) == text
+
+
+@pytest.mark.parametrize("html", ["<" + "x" * (1 << 20), "<" + "x 'y' " * 200_000, "a < " + "b c " * 250_000 + "<p>", "<p " + "a='1' " * 200_000 + ">t", "&" * (1 << 20)])
+def test_page_text_of_long_odd_pages(spark, html):
+    rows = spark.createDataFrame([(html,)], "html string")
+    assert rows.select(F.length(page_text(F.col("html")))).first()[0] >= 1
+
+
+def test_stamps_count_by_source(spark):
+    rows = [("PROVIDER", "1", "P", s, v, 0.6) for s, v in [("A", "yes")] * 3 + [("B", "no")] + [("C", "unknown")]]
+    got = sorted((r["source"], r["value"], r["n"], r["agrees_with"], r["conflicts_with"]) for r in reconcile.stamps(spark.createDataFrame(rows, ANSWER)).collect())
+    assert got == [("A", "yes", 3, "A,A", "B"), ("B", "no", 1, "", "A,A,A")]
+
+
+def test_two_definitions_of_one_place_leave_one(spark):
+    uses = spark.createDataFrame([("f", "1", 1)], "file_id string, ref_id string, ord int")
+    refs = spark.createDataFrame([("f", "1", 9, "a"), ("f", "1", 9, "b")], "file_id string, ref_id string, ord int, g string")
+    assert network_files.used_reference_groups(uses, refs).count() == 1
+
+
+def test_decision_resolves_tiers_from_the_match(spark):
+    from clarispan.operators import decision
+
+    matched = spark.createDataFrame(
+        [(k, s, p, "AGREE", "yes", "covered", 0.9, None, False) for p in ("P1", "P2") for k, s in (("PROVIDER", "1"), ("DRUG", "7"), ("DRUG", "8"))],
+        "kind string, subject_key string, plan_id string, verdict string, consensus string, status string, reconciled_confidence double, mrf_updated timestamp, confirm boolean")
+    plans = spark.createDataFrame([("P1", "Silver", 400.0, 1000.0, 8000.0, 0.2), ("P2", "Bronze", 300.0, 1000.0, 8000.0, 0.2)], "plan_id string, metal string, premium double, deductible double, oop_max double, coinsurance double")
+    home = spark.createDataFrame([(100000.0, 1, 500.0, 0.0)], "income double, size int, benchmark_monthly double, medical_spend double")
+    tiers = spark.createDataFrame([("P1", "7", "T1"), ("P2", "7", "T9")], "plan_id string, subject_key string, tier string")
+    fills, copays = spark.createDataFrame([("7", 2)], "subject_key string, fills int"), spark.createDataFrame([("T1", 10.0)], "tier string, copay double")
+    rows = decision.assemble(matched, plans, home, tiers, fills, copays, 50.0, F.lit("2026-01-01").cast("timestamp")).orderBy("rank").collect()
+    assert [(r["plan_id"], r["drug_cost"], r["net_premium"], r["true_cost"], r["unknown_tier"], r["grade"]) for r in rows] == [("P2", 1800.0, 3600.0, 6400.0, True, "A"), ("P1", 840.0, 4800.0, 6640.0, True, "A")]
+    said = decision.subsidy_headline(home.union(home.select(F.lit(23475.0), "size", "benchmark_monthly", "medical_spend"))).collect()
+    assert [r["headline"].split(" — ")[0].split("~")[0] for r in said] == ["No premium subsidy at this income", "Estimated subsidy "] and "+ Silver CSR 94" in said[1]["headline"]

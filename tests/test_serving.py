@@ -28,6 +28,13 @@ def test_live_board_order(spark):
         boards.live_board(plans, doctors, drugs, ["1"] * 13, [])
 
 
+def test_a_catalog_has_so_many_codes_at_most(spark):
+    codes = spark.range(101).select(F.format_string("%03d", "id").alias("code"))
+    models = spark.createDataFrame([(2026, "001", "FFM")], "year int, code string, model string")
+    with pytest.raises(Exception, match="more than 100 codes"):
+        boards.catalog_gaps(models, models.select("year", "code").limit(0), codes).collect()
+
+
 def test_catalog_gaps_and_routing(spark):
     codes = spark.createDataFrame([("OH",), ("CA",), ("NY",)], "code string")
     models = spark.createDataFrame([(2026, "OH", "FFM"), (2026, "CA", "SBM"), (2026, "XX", "FFM")], "year int, code string, model string")
