@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
-import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,37 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clarispan.shared import materialise, shared_folder  # noqa: F401
+
 #: Bytes of a batch that goes to a Python worker; a longer row is a batch of its own.
 BATCH_BYTES = 8 << 20
-_LOCAL: dict[str, str] = {}
-_WRITTEN: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where none is set, a temporary one serves a session that has no
-    other machine (tests); on a cluster that is an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        master = spark.conf.get("spark.master", "")
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = _LOCAL.setdefault(master, _LOCAL.get(master) or "file://" + tempfile.mkdtemp(prefix="clarispan-"))
-    return folder.rstrip("/")
-
-
-def materialise(df: DataFrame, tag: str, replaces: DataFrame | None = None) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: cuts lineage, survives lost executors. The table of
-    `replaces`, an earlier one that nothing else reads, goes."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _WRITTEN[out] = path
-    if replaces is not None and replaces in _WRITTEN:
-        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop(replaces))
-        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
-    return out
-
 
 def small_batches(spark: SparkSession) -> None:
     """Batches of BATCH_BYTES to Python workers from now on, unless the session has smaller ones: a task then holds
