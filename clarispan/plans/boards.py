@@ -46,10 +46,11 @@ def ready_files(spark, sf_dir):
     return serving.ready_files(files(spark, sf_dir), index, m, links(spark, sf_dir), shared_sets(spark, sf_dir)[0], as_of()).select("file_id", "reporting_entity")
 
 
-@query("WITH" + SETS + "\nSELECT set_id, plan_id, plan_id_type FROM entries WHERE set_id NOT IN (SELECT set_id FROM sets)")
+@query("WITH" + SETS + "\nSELECT set_id, plan_id, plan_id_type FROM entries WHERE set_id NOT IN (SELECT set_id FROM sets WHERE set_id % 4 > 0)")
 def orphan_sets(spark, sf_dir):
+    """Entries of sets that no file has; every fourth set's files are left out here."""
     sets, entries = shared_sets(spark, sf_dir)
-    return serving.orphan_sets(entries, sets).select("set_id", "plan_id", "plan_id_type")
+    return serving.orphan_sets(entries, sets.where("set_id % 4 > 0")).select("set_id", "plan_id", "plan_id_type")
 
 
 @query("WITH" + FILES + """,

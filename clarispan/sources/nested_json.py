@@ -46,8 +46,8 @@ class Scanner:
         self.text, self.at = "", 0
         self.decoder = json.JSONDecoder(parse_int=str, parse_float=str, strict=False)
 
-    def more(self) -> bool:
-        new = self.stream.read(self.chunk)
+    def more(self, size: int | None = None) -> bool:
+        new = self.stream.read(size or self.chunk)
         self.text, self.at = self.text[self.at :] + new, 0
         return bool(new)
 
@@ -66,8 +66,9 @@ class Scanner:
         self.at += 1
 
     def value(self):
-        """A whole value, held in memory."""
+        """A whole value, held in memory. What is read for a long one doubles, so decoding anew stays linear."""
         self.peek()
+        size = self.chunk
         while True:
             try:
                 v, end = self.decoder.raw_decode(self.text, self.at)
@@ -77,8 +78,9 @@ class Scanner:
                 self.at = end
                 return v
             except ValueError:
-                if not self.more():
+                if not self.more(size):
                     raise
+                size *= 2
 
     def skip(self) -> None:
         """Passes over a value with constant memory."""
@@ -173,7 +175,7 @@ REFERENCES = "provider_references.*"
 
 
 def network_file(spark: SparkSession, files: list[str]) -> dict[str, DataFrame]:
-    """Of network files: `groups` (file_id, ord, tin_type, tin_value, npi) and `metadata`. A file with a
+    """Of network files: `groups` (file_id, ord, tin_type, tin_value, npi), ord a struct, and `metadata`. A file with a
     table of references uses only those; others have their groups inline."""
     from clarispan.operators.network_files import used_reference_groups
 
@@ -187,8 +189,9 @@ def network_file(spark: SparkSession, files: list[str]) -> dict[str, DataFrame]:
     refs = rows.where(F.col("path") == REFERENCES).select(F.col("file").alias("file_id"), "ord", F.from_json("value", spec).alias("r"))
     refs = refs.select("file_id", "ord", F.col("r.provider_group_id").alias("ref_id"), F.col("r.provider_groups").alias("gs"))
     used = used_reference_groups(uses, refs).select("file_id", "ord", F.posexplode("gs").alias("k", "g"))
-    groups = inline.select("file_id", (F.col("ord") * 1000000).alias("ord"), *flat(F.col("g"))).unionByName(
-        used.select("file_id", (F.col("ord") * 1000000 + F.col("k")).alias("ord"), *flat(F.col("g"))))
+    place = lambda k: F.struct(F.col("ord").alias("at"), k.alias("k")).alias("ord")
+    groups = inline.select("file_id", place(F.lit(0)), *flat(F.col("g"))).unionByName(
+        used.select("file_id", place(F.col("k")), *flat(F.col("g"))))
     meta = rows.where(~F.col("path").contains("*")).groupBy(F.col("file").alias("file_id")).pivot("path", ["reporting_entity_name", "last_updated_on", "version"]).agg(F.max_by("value", "ord"))
     return {"groups": groups, "metadata": meta}
 
