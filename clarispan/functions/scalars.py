@@ -134,3 +134,25 @@ def contains_text(column: Column, query: str) -> Column:
 
 def sorted_text(values: Column) -> Column:
     return F.array_join(F.array_sort(values), ",")
+
+
+def covered_flag(wording: Column) -> Column:
+    """Whether a marketplace's wording says covered; null if it says neither."""
+    c = F.lower(wording)
+    return F.when(c.contains("notcovered"), False).when(c.contains("covered"), True)
+
+
+def member_name(name: Column) -> Column:
+    """An archive member's name with its separators as single blanks, in lower case."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), "[._/-]+", " "), r"\s+", " "))
+
+
+def provider_label(npi: Column, first: Column, last: Column, plain: Column) -> Column:
+    """A provider's display name: the plain one if there is one, else first and last, else the number alone."""
+    full = F.trim(F.concat_ws(" ", F.nullif(first, F.lit("")), F.nullif(last, F.lit(""))))
+    name = F.coalesce(F.nullif(plain, F.lit("")), F.nullif(full, F.lit("")))
+    return F.coalesce(F.concat(name, F.lit(" (NPI "), npi, F.lit(")")), F.concat(F.lit("NPI "), npi))
+
+
+def drug_label(rxcui: Column, name: Column) -> Column:
+    return F.coalesce(F.concat(F.nullif(name, F.lit("")), F.lit(" (RxCUI "), rxcui, F.lit(")")), F.concat(F.lit("RxCUI "), rxcui))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clarispan.functions.scalars import tristate
+from clarispan.functions.scalars import covered_flag
 from clarispan.operators.cost import premium_amounts
 
 # How many doctors and drugs one request may name, plans of one place, marketplace models.
@@ -17,7 +17,7 @@ def covered_counts(coverage: DataFrame, keys: list[str], name: str) -> DataFrame
     """How many of some keys each plan covers, by the last row of each (plan_id, key, coverage, ord)."""
     asked = coverage.where(F.col("key").isin(keys) & F.col("plan_id").isNotNull())
     last = asked.groupBy("plan_id", "key").agg(F.max_by("coverage", "ord").alias("coverage"))
-    return last.groupBy("plan_id").agg(F.count_if(tristate(F.col("coverage")) == "yes").alias(name))
+    return last.groupBy("plan_id").agg(F.count_if(covered_flag(F.col("coverage"))).alias(name))
 
 
 def live_board(plans: DataFrame, doctor_coverage: DataFrame, drug_coverage: DataFrame, doctors: list[str], drugs: list[str], credit: float = 0.0) -> DataFrame:

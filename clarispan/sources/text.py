@@ -117,3 +117,9 @@ def write_lines(df: DataFrame, path: str, order: list[str]) -> None:
 def write_table(df: DataFrame, path: str, order: list[str]) -> None:
     """CSV with minimal quoting in the binary order of some columns, as ordered part files."""
     df.orderBy(*order).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def write_allowlist(found: DataFrame, path: str, meta_path: str) -> None:
+    """The allowlist's NPIs, one a line, and a CSV of what is known of each, both in the order of the NPI."""
+    found.orderBy("npi").select("npi").write.mode("overwrite").text(path)
+    write_table(found, meta_path, ["npi"])
