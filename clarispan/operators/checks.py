@@ -72,6 +72,17 @@ def refresh_order(candidates: DataFrame, archives: DataFrame) -> DataFrame:
     return ranked(candidates.join(archives, "source_key", "left"), [F.asc_nulls_last("bytes"), F.asc("url")])
 
 
+def refresh_states(candidates: DataFrame, blocks: DataFrame, prepared: DataFrame, policy: str) -> DataFrame:
+    """What a refresh does with each candidate (source_key, url, etag): `blocked` with its reason if the same content
+    was refused under this policy, `prepared` if it was made ready under it, else `fetch`. Of blocks (source_key, etag,
+    policy, reason) and prepared (source_key, etag, policy) there is one row a key. Without an etag nothing is known."""
+    same = lambda name: F.col(f"{name}.etag") == F.col("etag")
+    known = lambda rows, name: rows.where(F.col("policy") == policy).select("source_key", F.struct("etag", *(c for c in ("reason",) if c in rows.columns)).alias(name))
+    rows = candidates.join(known(blocks, "block"), "source_key", "left").join(known(prepared, "ready"), "source_key", "left")
+    state = F.when(same("block"), "blocked").when(same("ready"), "prepared").otherwise("fetch")
+    return rows.select("source_key", "url", state.alias("state"), F.when(same("block"), F.col("block.reason")).alias("reason"))
+
+
 def reconcile_contexts(versions: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Versions of a visitor's context; what depends on a field that changed since the version before is cleared:
     a new household size makes the premium's basis unknown, a new doctor search drops the provider, a new plan or

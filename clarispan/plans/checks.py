@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from clarispan.functions.canonical import canonical_json, hmac_sha256
 from clarispan.functions.scalars import covered_flag, drug_label, member_name, provider_label
 from clarispan.operators import checks
 from clarispan.plans.base import query, table
@@ -134,3 +135,33 @@ def provider_labels(spark, sf_dir):
     k = F.col("s_suppkey")
     return table(spark, sf_dir, "supplier").select("s_suppkey", provider_label(
         k.cast("string"), F.when((k % 4).isin(1, 2), "Ann"), F.when(k % 4 == 1, F.col("s_name")).otherwise(""), F.when(k % 4 == 0, F.col("s_name"))).alias("label"))
+
+
+@query("""
+SELECT source_key, url, CASE WHEN source_key % 4 = 0 AND source_key % 3 = 0 AND source_key % 5 > 0 THEN 'blocked' WHEN source_key % 2 = 0 AND source_key % 7 > 0 AND source_key % 5 > 0 THEN 'prepared' ELSE 'fetch' END AS state,
+  CASE WHEN source_key % 4 = 0 AND source_key % 3 = 0 AND source_key % 5 > 0 THEN 'scalar_limit' END AS reason
+FROM (SELECT o_orderkey AS source_key, 'https://files.example/' || CAST(o_orderkey AS VARCHAR) AS url FROM orders)""")
+def source_states(spark, sf_dir):
+    k = F.col("source_key")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("source_key"))
+    etag, old = F.concat(F.lit("e"), k.cast("string")), F.concat(F.lit("old"), k.cast("string"))
+    candidates = rows.select("source_key", F.concat(F.lit("https://files.example/"), k.cast("string")).alias("url"), F.when(k % 5 > 0, etag).alias("etag"))
+    blocks = rows.where(k % 4 == 0).select("source_key", etag.alias("etag"), F.when(k % 3 == 0, "p2").otherwise("p1").alias("policy"), F.lit("scalar_limit").alias("reason"))
+    prepared = rows.where(k % 2 == 0).select("source_key", F.when(k % 7 > 0, etag).otherwise(old).alias("etag"), F.lit("p2").alias("policy"))
+    return checks.refresh_states(candidates, blocks, prepared, "p2").select("source_key", "url", "state", "reason")
+
+
+@query("""
+SELECT p_partkey, '{"10":[2,1.50,1E3],"9":{"a":null,"z":true},"name":"' || p_name || '","size":' || CAST(p_size AS VARCHAR) || '}' AS canonical FROM part""")
+def canonical_documents(spark, sf_dir):
+    written = F.concat(F.lit('{ "size": '), F.col("p_size").cast("string"), F.lit(',\n "9": {"z": true, "a": null}, "name": "'), "p_name", F.lit('", "10": [2, 1.50, 1E3] }'))
+    return table(spark, sf_dir, "part").select("p_partkey", canonical_json(written).alias("canonical"))
+
+
+def _pad(byte: int) -> str:
+    return "".join(rf"\x{b ^ byte:02X}" for b in b"fixture-key".ljust(64, b"\0"))
+
+
+@query(f"SELECT p_partkey, sha256('{_pad(0x5C)}'::BLOB || unhex(sha256('{_pad(0x36)}'::BLOB || encode(p_name)))) AS proof FROM part")
+def source_proofs(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", hmac_sha256(F.col("p_name"), b"fixture-key").alias("proof"))

@@ -160,6 +160,29 @@ def verify_grades(spark, sf_dir):
     return verify.verify_plans(matched(spark, sf_dir), as_of())
 
 
+@query("WITH" + FRESH + GRADES_PART + """
+, todo AS (SELECT plan_id, count(*) FILTER (WHERE confirm) AS confirm FROM matched GROUP BY plan_id)
+SELECT plan_id, confirm, concat_ws(' · ',
+  format('Network confidence {} ({}%): {} of {} answers corroborated across both sources', grade, CAST(floor(score * 100.0::DOUBLE + 0.5::DOUBLE) AS BIGINT), verified, total),
+  nullif(concat_ws(', ', CASE conflicts WHEN 0 THEN NULL WHEN 1 THEN '1 conflict' ELSE format('{} conflicts', conflicts) END,
+    CASE WHEN single_source > 0 THEN format('{} one-sided', single_source) END, CASE WHEN unknown > 0 THEN format('{} unknown', unknown) END), ''),
+  CASE WHEN oldest = newest THEN 'issuer data as of ' || newest ELSE 'issuer data ' || oldest || '–' || newest END || CASE WHEN fresh.stale > 0 THEN format(' ({} stale)', fresh.stale) ELSE '' END,
+  CASE confirm WHEN 0 THEN 'Nothing flagged to confirm, but verify with the provider before enrolling.' WHEN 1 THEN 'Confirm 1 item with the provider/plan before enrolling.'
+    ELSE format('Confirm {} items with the provider/plan before enrolling.', confirm) END) AS headline
+FROM graded JOIN fresh USING (plan_id) JOIN todo USING (plan_id)""")
+def verify_headlines(spark, sf_dir):
+    return verify.headlines(matched(spark, sf_dir), as_of())
+
+
+@query("WITH" + MATCHED + """
+SELECT kind, subject_key, plan_id, CASE WHEN verdict = 'CONFLICT' THEN 'conflict' WHEN status = 'unknown' THEN 'unknown' WHEN status LIKE '%\\_unverified' ESCAPE '\\' THEN 'unverified' ELSE 'low_confidence' END AS reason,
+  CASE kind WHEN 'PROVIDER' THEN format('Call NPI {}''s office and confirm they are in-network for {} (and accepting new patients).', subject_key, plan_id)
+    ELSE format('Ask {} or your pharmacy to confirm RxCUI {} is on the formulary and at what tier (and any prior authorization).', plan_id, subject_key) END AS action
+FROM matched WHERE confirm""")
+def confirm_checklist(spark, sf_dir):
+    return verify.checklist(matched(spark, sf_dir))
+
+
 SYSTEMS = MATCHED + """,
 own AS (SELECT subject_key, arg_max(system, ord) AS system, bool_or(critical) AS critical FROM tags GROUP BY subject_key),
 required AS (SELECT DISTINCT system FROM tags), offered AS (SELECT DISTINCT plan_id FROM matched),

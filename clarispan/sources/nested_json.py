@@ -172,6 +172,7 @@ def read_elements(spark: SparkSession, files: list[str], paths: list[str]) -> Da
 GROUPS = "in_network.*.negotiated_rates.*.provider_groups.*"
 USES = "in_network.*.negotiated_rates.*.provider_references.*"
 REFERENCES = "provider_references.*"
+BARE = "provider_groups.*"
 
 
 def network_file(spark: SparkSession, files: list[str]) -> dict[str, DataFrame]:
@@ -196,6 +197,17 @@ def network_file(spark: SparkSession, files: list[str]) -> dict[str, DataFrame]:
     return {"groups": groups, "metadata": meta}
 
 
+def reference_documents(spark: SparkSession, files: list[str]) -> DataFrame:
+    """References (file_id, ref_id, ord, gs) of documents that a network file names instead of its own groups: their
+    own table of references, or, if that has no entry with an id, their bare groups, whose ref_id is null."""
+    rows = read_elements(spark, files, [REFERENCES, BARE]).withColumnRenamed("file", "file_id")
+    spec = f"struct<provider_group_id: string, provider_groups: array<{PROVIDER_GROUP}>>"
+    tabled = rows.where(F.col("path") == REFERENCES).select("file_id", "ord", F.from_json("value", spec).alias("r")).where("trim(r.provider_group_id) <> '' AND r.provider_groups IS NOT NULL")
+    tabled = tabled.select("file_id", F.trim("r.provider_group_id").alias("ref_id"), "ord", F.col("r.provider_groups").alias("gs"))
+    bare = rows.where(F.col("path") == BARE).join(tabled.select("file_id").distinct(), "file_id", "left_anti")
+    return tabled.unionByName(bare.select("file_id", F.lit(None).cast("string").alias("ref_id"), "ord", F.array(F.from_json("value", PROVIDER_GROUP)).alias("gs")))
+
+
 def table_of_contents(spark: SparkSession, files: list[str]) -> DataFrame:
     """Structures (reporting_entity, plans, files) of table-of-contents files."""
     rows = read_elements(spark, files, ["reporting_structure.*", "reporting_entity_name"])

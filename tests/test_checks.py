@@ -1,9 +1,13 @@
 """Requests, plan sets, run reports and contexts on small tables."""
 
+import datetime
+import hmac
+
 from pyspark.sql import functions as F
 
+from clarispan.functions.canonical import canonical_json, hmac_sha256
 from clarispan.functions.scalars import covered_flag, drug_label, member_name, provider_label
-from clarispan.operators import checks
+from clarispan.operators import checks, verify
 from clarispan.sources.text import write_allowlist
 
 
@@ -67,3 +71,34 @@ def test_allowlist_files(spark, tmp_path):
     lines = lambda d: [x for f in sorted((tmp_path / d).glob("part-*")) for x in f.read_text().splitlines()]
     assert lines("list") == ["1", "2", "3"]
     assert [x for x in lines("meta") if x != "npi,name"] == ["1,", "2,plain", '3,"A ""B"", C"']
+
+
+def test_canonical_json(spark):
+    rows = [(0, '{"b": 1.50, "a": [1e3, {"y": "é\\n\\u0001", "x": -0}]}'), (1, None), (2, "{"), (3, "[NaN]"), (4, '"\\ud800"'), (5, '{"k": 1, "k": 2}'), (6, ""), (7, "[" * 200_000), (8, '{"\\uffff": 1, "\\ud83d\\ude00": 2}')]
+    got = dict(values(spark.createDataFrame(rows, "id int, t string").select("id", canonical_json("t").alias("c")), "id", "c"))
+    assert got == {0: '{"a":[1e3,{"x":-0,"y":"é\\n\\u0001"}],"b":1.50}', 1: None, 2: None, 3: None, 4: '"\\ud800"', 5: '{"k":2}', 6: None, 7: None, 8: '{"😀":2,"￿":1}'}
+
+
+def test_hmac_equals_the_standard_library(spark):
+    texts = ["", "a", "é" * 100, None]
+    for key in (b"k", b"x" * 64, b"y" * 100):
+        got = values(spark.createDataFrame([(t,) for t in texts], "t string").select("t", hmac_sha256(F.col("t"), key).alias("h")), "t", "h")
+        assert dict(got) == {t: t if t is None else hmac.new(key, t.encode(), "sha256").hexdigest() for t in texts}
+
+
+def test_refresh_states(spark):
+    found = spark.createDataFrame([("a", "u", "1"), ("b", "u", "1"), ("c", "u", "2"), ("d", "u", None), ("e", "u", "1")], "source_key string, url string, etag string")
+    blocks = spark.createDataFrame([("a", "1", "p", "too deep"), ("b", "1", "q", "x"), ("c", "1", "p", "x"), ("d", None, "p", "x")], "source_key string, etag string, policy string, reason string")
+    ready = spark.createDataFrame([("a", "1", "p"), ("b", "1", "p"), ("e", "0", "p")], "source_key string, etag string, policy string")
+    got = checks.refresh_states(found, blocks, ready, "p")
+    assert sorted(values(got, "source_key", "state", "reason")) == [("a", "blocked", "too deep"), ("b", "prepared", None), ("c", "fetch", None), ("d", "fetch", None), ("e", "fetch", None)]
+
+
+def test_headlines_and_checklist(spark):
+    day = lambda d: datetime.datetime(2024, 1, d)
+    rows = [("PROVIDER", "1", "P", "AGREE", "covered", 0.9, day(1), False), ("DRUG", "2", "P", "CONFLICT", "disputed", 0.3, day(2), True), ("DRUG", "1", "Q", "AGREE", "covered", 0.9, None, False)]
+    matched = spark.createDataFrame(rows, "kind string, subject_key string, plan_id string, verdict string, status string, reconciled_confidence double, mrf_updated timestamp, confirm boolean")
+    got = dict(values(verify.headlines(matched, F.lit("2024-02-01").cast("timestamp")), "plan_id", "headline"))
+    assert got["P"] == "Network confidence C (60%): 1 of 2 answers corroborated across both sources · 1 conflict · issuer data 2024-01-01–2024-01-02 · Confirm 1 item with the provider/plan before enrolling."
+    assert got["Q"] == "Network confidence A (90%): 1 of 1 answers corroborated across both sources · Nothing flagged to confirm, but verify with the provider before enrolling."
+    assert values(verify.checklist(matched), "subject_key", "reason") == [("2", "conflict")]

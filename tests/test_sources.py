@@ -49,6 +49,16 @@ def test_scanner_skips_and_splits_anywhere(tmp_path):
         assert got == [("want.*", {"v": "12345678901234567890"}), ("want.*", "1.5"), ("want.*", "s")]
 
 
+def test_reference_documents(spark, tmp_path):
+    group = {"npi": [1234567890], "tin": {"type": "ein", "value": "1"}}
+    documents = {"tabled": {"provider_references": [{"provider_group_id": 7, "provider_groups": [group]}, {"provider_group_id": " ", "provider_groups": [group]}, {"provider_group_id": 8}], "provider_groups": [group]},
+                 "bare": {"provider_groups": [group, group]}, "empty": {"provider_references": []}}
+    for name, d in documents.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(d))
+    rows = nested_json.reference_documents(spark, [str(tmp_path / f"{n}.json") for n in documents]).collect()
+    assert sorted((r["file_id"].split("/")[-1], r["ref_id"] or "", len(r["gs"]), r["gs"][0]["npi"][0]) for r in rows) == [("bare.json", "", 1, "1234567890")] * 2 + [("tabled.json", "7", 1, "1234567890")]
+
+
 def test_table_of_contents(spark, tmp_path):
     path = tmp_path / "toc.json"
     plans = [{"plan_name": n, "plan_id_type": "EIN", "plan_id": n, "plan_market_type": "group"} for n in "pq"]
