@@ -57,6 +57,21 @@ def used_reference_groups(uses: DataFrame, references: DataFrame, strict: bool =
     return out.drop("ord").withColumnRenamed("use_ord", "ord")
 
 
+def closure_problems(uses: DataFrame, references: DataFrame) -> DataFrame:
+    """What keeps files from being whole by themselves, a row for each id: references (file_id, ref_id, ord, gs) without an
+    id, without groups of their own, or with an id that occurs twice, and uses (file_id, ref_id, ord) of none.
+
+    Ids are counted before they meet, so one that a file uses very often is one row.
+    """
+    blank = F.coalesce(F.trim("ref_id"), F.lit("")) == ""
+    named = references.groupBy("file_id", "ref_id").agg(F.count("*").alias("n"), F.count_if(F.col("gs").isNull()).alias("empty"))
+    used = uses.groupBy("file_id", "ref_id").agg(F.count("*").alias("uses"))
+    both = named.join(used, (named["file_id"] == used["file_id"]) & named["ref_id"].eqNullSafe(used["ref_id"]), "full")
+    both = both.select(F.coalesce(named["file_id"], used["file_id"]).alias("file_id"), F.coalesce(named["ref_id"], used["ref_id"]).alias("ref_id"), "n", "empty", "uses")
+    problem = F.when(F.col("n").isNull(), "unresolved").when(blank, "without id").when(F.col("empty") > 0, "without groups").when(F.col("n") > 1, "twice")
+    return both.select("file_id", "ref_id", problem.alias("problem"), F.coalesce("uses", F.lit(0)).alias("uses")).where("problem IS NOT NULL")
+
+
 def build_manifest(structures: DataFrame) -> DataFrame:
     """Rows of file x plan from structures (reporting_entity, plans array, files array), distinct."""
     rows = structures.select("reporting_entity", F.explode("files").alias("f"), "plans").select("reporting_entity", "f", F.explode("plans").alias("p"))

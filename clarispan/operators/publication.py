@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +37,60 @@ def regressions(arrivals: DataFrame) -> DataFrame:
     return arrivals.withColumn("regression", F.coalesce(F.col("source_date") < F.max("source_date").over(before), F.lit(False)))
 
 
+CHANGE = "key string, arrival long, generation string, role string"
+
+
+class Roles:
+    """The active generation of a source and the one kept for rollback, each (generation, source date)."""
+
+    def __init__(self, active: tuple[str, str] | None = None, rollback: tuple[str, str] | None = None):
+        self.active, self.rollback = active, rollback
+
+    def publish(self, generation: str, date: str) -> list[tuple[str, str]]:
+        """Roles that change: a date before the active one's is a regression, the active generation itself is `same`."""
+        if self.active and date < self.active[1]:
+            return [(generation, "regression")]
+        if self.active and generation == self.active[0]:
+            return [(generation, "same")]
+        out = [(generation, "active")]
+        if self.active:
+            out.append((self.active[0], "rollback"))
+            if self.rollback and self.rollback[0] != generation:
+                out.append((self.rollback[0], "retired"))
+            self.rollback = self.active
+        self.active = generation, date
+        return out
+
+    def withdraw(self) -> list[tuple[str, str]]:
+        """The generation before becomes active again; without one the withdrawal is refused."""
+        if not self.active or not self.rollback:
+            return [(self.active[0] if self.active else "", "refused")]
+        out = [(self.active[0], "withdrawn"), (self.rollback[0], "active")]
+        self.active, self.rollback = self.rollback, None
+        return out
+
+    def apply(self, action: str, generation: str, date: str) -> list[tuple[str, str]]:
+        return self.withdraw() if action == "withdraw" else self.publish(generation, date)
+
+
+def role_changes(commands: DataFrame) -> DataFrame:
+    """Changes of roles (CHANGE) by commands (key, arrival, action publish or withdraw, generation, source_date as ISO text),
+    in order of arrival. A key's commands are one task's stream, which holds two generations."""
+
+    def run(batches):
+        now, roles = None, Roles()
+        for b in batches:
+            out = []
+            for key, arrival, action, generation, date in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if key != now:
+                    now, roles = key, Roles()
+                out += [(key, arrival, *change) for change in roles.apply(action, generation, date)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, (pa.string(), pa.int64(), pa.string(), pa.string()))], ["key", "arrival", "generation", "role"])
+
+    rows = commands.select(*[F.col(c).cast(t) for c, t in (("key", "string"), ("arrival", "long"), ("action", "string"), ("generation", "string"), ("source_date", "string"))])
+    return rows.repartition("key").sortWithinPartitions("key", "arrival").mapInArrow(run, CHANGE)
+
+
 def capacity_ok(active_bytes: Column, new_bytes: Column, limit: int) -> Column:
     return active_bytes + new_bytes <= F.lit(limit)
 

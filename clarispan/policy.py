@@ -43,6 +43,8 @@ PDP_REGIONS = {
 VISITOR_LIMITS = {"minute": 3, "day": 10, "month": 50}
 NETWORK_LIMITS = {"minute": 10, "day": 30, "month": 150}
 TURN_COST = 50_000
+# What a site's turns may cost a month and a day, in millionths of a dollar.
+SITE_LIMITS = {"month": 100_000_000, "day": 5_000_000}
 
 # Premium payments in a year.
 PERIODS = {"monthly": 12, "weekly": 52, "biweekly": 26, "semimonthly": 24}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 import weakref
@@ -9,7 +11,9 @@ import weakref
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
-_WRITTEN: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+#: Tables by the frame that reads them, and the sessions that wrote them.
+_TABLE: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+_WRITTEN: dict[str, SparkSession] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,13 +32,39 @@ def shared_folder(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame, tag: str, replaces: DataFrame | None = None) -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts lineage, survives lost executors. The table of
-    `replaces`, an earlier one that nothing else reads, goes."""
+    `replaces`, an earlier one that nothing else reads, goes. All others go with `release`, or when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    _WRITTEN[out] = path
-    if replaces is not None and replaces in _WRITTEN:
-        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop(replaces))
-        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+    _TABLE[out] = path
+    _WRITTEN[path] = spark
+    if replaces is not None and replaces in _TABLE:
+        _delete(_TABLE.pop(replaces))
     return out
+
+
+def _delete(path: str) -> None:
+    spark = _WRITTEN.pop(path)
+    old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+
+
+def tables(spark: SparkSession) -> set[str]:
+    """Paths of this session's tables in the shared folder that still exist."""
+    return {path for path, owner in _WRITTEN.items() if owner is spark}
+
+
+def release(spark: SparkSession, paths: set[str], keep: DataFrame | None = None) -> None:
+    """Deletes tables that no result still to be read needs, but for that of `keep`."""
+    kept = _TABLE.get(keep) if keep is not None else None
+    for path in paths & tables(spark) - {kept}:
+        _delete(path)
+
+
+@atexit.register
+def _release_all() -> None:
+    for path in list(_WRITTEN):
+        with contextlib.suppress(Exception):  # the session may have ended
+            if _WRITTEN[path].sparkContext._jsc is not None:
+                _delete(path)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from clarispan.llm import language_id, line_dedup, packing, quality, simhash_neardup
 from clarispan.llm.common import materialise, table
+from clarispan.shared import release, tables
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,5 +52,8 @@ ORACLE_SQL = None  # models and searches that SQL cannot express
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before = tables(spark)
+        done = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(spark, tables(spark) - before, keep=done)  # what the stage left behind
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,11 +5,9 @@ import json
 import zipfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from clarispan.operators import network_files, registries
 from clarispan.sources import nested_json, text
-from clarispan.streaming import jobs
 
 
 def group(npis, kind="EIN", value="11"):
@@ -40,13 +38,38 @@ def test_network_files(spark, tmp_path, how):
     assert {r["reporting_entity_name"] for r in found["metadata"].collect()} == {"E"}
 
 
-def test_scanner_skips_and_splits_anywhere(tmp_path):
-    path = tmp_path / "x.json"
-    path.write_text(json.dumps({"skip": {"a": ["b", {"c": "]}\\\""}]}, "want": [{"v": 12345678901234567890}, 1.50, "s"], "n": None}))
-    for size in (1, 2, 3, 7, 100):
-        with open(path) as f:
-            got = list(nested_json.Scanner(f, {"want.*"}, size).walk())
-        assert got == [("want.*", {"v": "12345678901234567890"}), ("want.*", "1.5"), ("want.*", "s")]
+def test_an_empty_table_of_references_counts(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps(INLINE | {"provider_references": []}))
+    found = nested_json.network_file(spark, [str(tmp_path / "a.json")])
+    assert found["groups"].count() == 0 and found["metadata"].first()["version"] == "1.0"
+
+
+def test_references_in_other_documents(spark, tmp_path):
+    refs = [{"provider_group_id": 1, "location": "https://x/1"}, {"provider_group_id": 2, "location": "https://x/2"}, {"provider_group_id": 3, "provider_groups": [group([3000000003])]}, {"provider_group_id": 4, "location": "https://x/gone"}]
+    (tmp_path / "main.json").write_text(json.dumps({"provider_references": refs, "in_network": [{"negotiated_rates": [{"provider_references": [1, 2, 9, 3, 4]}]}]}))
+    (tmp_path / "1.json").write_text(json.dumps({"provider_groups": [group([1000000001]), group([1000000011])]}))
+    (tmp_path / "2.json").write_text(json.dumps({"provider_references": [{"provider_group_id": 9, "provider_groups": [group([9000000009])]}]}))
+    documents = spark.createDataFrame([(f"https://x/{n}", str(tmp_path / f"{n}.json")) for n in "12"], "location string, path string")
+    found = nested_json.network_file(spark, [str(tmp_path / "main.json")], documents)
+    members, _ = network_files.extract_memberships(found["groups"])
+    assert sorted(r["npi"] for r in members.collect()) == ["1000000001", "1000000011", "3000000003", "9000000009"]
+    alone, _ = network_files.extract_memberships(nested_json.network_file(spark, [str(tmp_path / "main.json")])["groups"])
+    assert [r["npi"] for r in alone.collect()] == ["3000000003"]
+    problems = network_files.closure_problems(found["uses"], found["references"]).select("ref_id", "problem").collect()
+    assert sorted(map(tuple, problems)) == [("1", "without groups"), ("2", "without groups"), ("4", "without groups"), ("9", "unresolved")]
+
+
+def test_selection_while_reading(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps(INLINE))
+    kept = nested_json.read_elements(spark, [str(tmp_path / "a.json")], [nested_json.GROUPS], ["2234567890"]).collect()
+    assert len(kept) == 1 and kept[0]["ord"] == 2 and "2234567890" in kept[0]["value"]
+
+
+@pytest.mark.parametrize("data", [b'{"in_network": [1 2]}', b'{"in_network": []} x', b'{"in_network": [], "in_network": []}', gzip.compress(b'{"in_network": []}')[:-3], gzip.compress(b'{"a": 1}')[:-8] + b"\0" * 8, b'{"a": "\xff"}'])
+def test_broken_files_are_errors(spark, tmp_path, data):
+    (tmp_path / "a").write_bytes(data)
+    with pytest.raises(Exception, match="syntax|trailing|duplicate_key|EOFError|CRC|UnicodeDecodeError"):
+        nested_json.read_elements(spark, [str(tmp_path / "a")], ["in_network.*"]).collect()
 
 
 def test_reference_documents(spark, tmp_path):
@@ -77,10 +100,10 @@ def test_nppes_and_form_5500(spark, tmp_path):
     got = registries.npi_allowlist(text.read_nppes(spark, str(path)), "OH", ["440", "441"])
     assert {(r["npi"], r["name"]) for r in got.collect()} == {("1000000001", "Doe, Jo"), ("1000000003", "Org")}
     a, b = tmp_path / "a.csv", tmp_path / "b.csv"
-    a.write_text("SPONSOR_DFE_NAME,SPONS_DFE_EIN,SPONS_DFE_MAIL_US_STATE,PLAN_NAME,TYPE_WELFARE_BNFT_CODE,TOT_ACT_PARTCP_BOY_CNT,FORM_PLAN_YEAR_BEGIN_DATE\nThe Kroger Co.,12-3456789,OH,P,4A4B,\"1,200\",2025-01-01\nAcme,12,OH,P,4A,5,2025-01-01\n")
-    b.write_text("SF_SPONSOR_NAME,SF_SPONS_EIN,SF_SPONS_US_STATE,SF_PLAN_NAME,SF_TYPE_WELFARE_BNFT_CODE,SF_TOT_ACT_PARTCP_BOY_CNT,SF_PLAN_YEAR_BEGIN_DATE\nKROGER,123456789,OH,P,4A,5100,2025-01-01\nNone,123456780,OH,P,14A,1,2025\n")
+    a.write_text("SPONSOR_DFE_NAME,SPONS_DFE_EIN,SPONS_DFE_MAIL_US_STATE,PLAN_NAME,TYPE_WELFARE_BNFT_CODE,TOT_ACT_PARTCP_BOY_CNT,FORM_PLAN_YEAR_BEGIN_DATE\nThe Marlow Co.,12-3456780,OH,P,4A4B,\"1,350\",2025-01-01\nAcme,12,OH,P,4A,5,2025-01-01\n")
+    b.write_text("SF_SPONSOR_NAME,SF_SPONS_EIN,SF_SPONS_US_STATE,SF_PLAN_NAME,SF_TYPE_WELFARE_BNFT_CODE,SF_TOT_ACT_PARTCP_BOY_CNT,SF_PLAN_YEAR_BEGIN_DATE\nMARLOW,123456780,OH,P,4A,4400,2025-01-01\nNone,123456781,OH,P,14A,1,2025\n")
     got = registries.employers(text.read_form_5500(spark, [str(a), str(b)])).collect()
-    assert [(r["ein"], r["name_norm"], r["participants"]) for r in got] == [("123456789", "KROGER", 5100)]
+    assert [(r["ein"], r["name_norm"], r["participants"]) for r in got] == [("123456780", "MARLOW", 4400)]
 
 
 def test_formulary_and_memberships(spark, tmp_path):
@@ -92,22 +115,3 @@ def test_formulary_and_memberships(spark, tmp_path):
     assert [(r["npi"], r["tin_type"]) for r in text.read_memberships(spark, str(m)).collect()] == [("1000000001", "unknown")]
     with pytest.raises(Exception, match="bad membership line"):
         text.read_memberships(spark, str(m), strict=True).collect()
-
-
-def test_streams_equal_batches(spark, tmp_path):
-    rows = [(1, i, f"2024-01-01 00:00:{i:02d}") for i in range(6)] + [(2, 9, "2024-01-01 00:00:00"), (1, 7, "2024-01-01 00:02:00")]
-    events = spark.createDataFrame(rows, "visitor long, event_id long, created string").withColumn("created", F.col("created").cast("timestamp"))
-    events.write.parquet(str(tmp_path / "events"))
-    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "events"))
-    q = jobs.gate(stream).writeStream.format("memory").queryName("gated").outputMode("append").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = {r["event_id"]: (r["accepted"], r["limit"]) for r in spark.table("gated").collect()}
-    assert sorted(e for e, (ok, _) in got.items() if ok) == [0, 1, 2, 7, 9] and got[3] == (False, "minute")
-    seen = []
-    q = jobs.publish_batches(stream, lambda df, n: seen.append((n, df.count())), str(tmp_path / "c2"))
-    q.awaitTermination()
-    assert seen == [(0, 8)]
-    q = jobs.usage_windows(stream).writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    want = {(r["start"], r["visitor"], r["n"]) for r in jobs.usage_windows(events).collect()}
-    assert {(r["start"], r["visitor"], r["n"]) for r in spark.table("windows").collect()} == want
