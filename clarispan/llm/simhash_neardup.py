@@ -14,8 +14,11 @@ narrow for that: such pairs differ in up to 15 of 100 bits. So fingerprints have
 meet under BANDS keys of ROWS minimum hashes each, which a pair at 0.8 misses once in 40,000; the reference fingerprints
 are drawn from the nodes at hand, as random ones discard nothing at that radius. In a large group, nodes that are surely
 like one reference are linked to it and need not meet each other: only the rest meets all. Survivors form a least
-spanning forest by distance, and its links are verified by the exact likeness of the texts' sets. The radius is the
-mean distance at 0.8 and six standard deviations.
+spanning forest by distance, and its links are verified by the exact likeness of the texts' sets. That joins most of a
+class, and may miss a link whose place in the forest a closer pair took that proved unlike. So nodes meet a second time
+(those settled whose link failed now meet all), pairs of one class are left out, and where pairs within the radius are
+left, the sets of their nodes go to the group and every such pair is verified there unless a link found before joins it.
+No pair of a group within the radius is lost by this. The radius is the mean distance at 0.8 and six standard deviations.
 
 Defined cases: a null text counts as one without words; no words give fingerprint zero, linked like any other, and
 texts without words are alike; repeated rows and equal texts share a component; null doc_ids take part in
@@ -195,53 +198,109 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+UNIT = ["key", "i", "j"]
+
+
 def _words_of(column) -> np.ndarray:
     """Rows x words of a list column."""
     return column.combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
 
 
+def _close_in(t: pa.Table):
+    """Slabs (i, j, distance) of pairs of a group's nodes within FAR; two settled ones do not meet."""
+    fp, settled = _words_of(t["fp"]), t["settled"].to_numpy(zero_copy_only=False)
+    pivots = fp[np.unique(np.linspace(0, len(fp) - 1, REFERENCES).astype(int))]
+    for i, j, distance in close_pairs(_group_numbers(t, UNIT), fp, pivots, FAR):
+        meet = ~(settled[i] & settled[j])
+        yield i[meet], j[meet], distance[meet]
+
+
 def _wide_links(batches):
-    """Of groups (key, i, j), the least spanning forest of nodes within FAR; two settled ones do not meet."""
-    for t in whole_groups(batches, ["key", "i", "j"]):
-        fp, settled, node = _words_of(t["fp"]), t["settled"].to_numpy(zero_copy_only=False), t["node"].to_pylist()
-        kept = [np.empty(0, np.int64)] * 3
-        pivots = fp[np.unique(np.linspace(0, len(fp) - 1, REFERENCES).astype(int))]
-        for i, j, distance in close_pairs(_group_numbers(t, ["key", "i", "j"]), fp, pivots, FAR):
-            meet = ~(settled[i] & settled[j])
-            kept = [np.concatenate([a, b[meet]]) for a, b in zip(kept, (i, j, distance))]
-            pick = spanning(len(fp), *kept)
+    """Of groups (key, i, j), the least spanning forest of nodes within FAR."""
+    for t in whole_groups(batches, UNIT):
+        node, kept = t["node"].to_pylist(), [np.empty(0, np.int64)] * 3
+        for slab in _close_in(t):
+            kept = [np.concatenate([a, b]) for a, b in zip(kept, slab)]
+            pick = spanning(t.num_rows, *kept)
             kept = [a[pick] for a in kept]
         yield pa.RecordBatch.from_arrays([pa.array([node[x] for x in kept[0]], pa.binary()), pa.array([node[x] for x in kept[1]], pa.binary())], ["src", "dst"])
 
 
+def _open_nodes(batches):
+    """The rows of groups whose nodes lie within FAR of one of another class."""
+    for t in whole_groups(batches, UNIT):
+        label, found = t["label"].combine_chunks().dictionary_encode().indices.to_numpy(), np.zeros(t.num_rows, bool)
+        for i, j, _ in _close_in(t):
+            apart = label[i] != label[j]
+            found[i[apart]] = found[j[apart]] = True
+        if found.any():
+            yield from t.filter(pa.array(found)).combine_chunks().to_batches()
+
+
+def _verified_links(batches):
+    """Of open groups, with the nodes' sets (members), links between classes that are alike; closer pairs are tried first,
+    and a pair whose classes are joined by then is not tried."""
+    for t in whole_groups(batches, UNIT):
+        node, label = t["node"].to_pylist(), t["label"].combine_chunks().dictionary_encode().indices.to_numpy().copy()
+        members = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["members"]]
+        src, dst = [], []
+        for i, j, distance in _close_in(t):
+            order = np.argsort(distance, kind="stable")
+            for x, y in zip(i[order].tolist(), j[order].tolist()):
+                if label[x] != label[y] and likeness(members[x], members[y]) >= LEAST:
+                    src.append(node[x])
+                    dst.append(node[y])
+                    label[label == label[x]] = label[y]
+        yield pa.RecordBatch.from_arrays([pa.array(src, pa.binary()), pa.array(dst, pa.binary())], ["src", "dst"])
+
+
 def _apart(a, b):
     """Differing bits of two array<long> columns."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def near_text_links(nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Links (src, dst) between nodes (node, fp, keys) within FAR, which connect all of a group that are."""
-    keyed = nodes.select(F.explode("keys").alias("key"), "node")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    live = materialise(keyed.join(shared, "key").join(nodes.select("node", "fp"), "node"), "simhash-live")
-    # In a large group, the reference that most lie near settles those: they are linked to it and not to each other.
-    large = live.where(F.col("n") > chunk)
-    tried = large.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(REFERENCES)).alias("r")).agg(F.min(F.struct("node", "fp")).alias("ref"))
-    near = _apart(F.col("fp"), F.col("ref.fp")) <= SURE
-    best = large.join(tried, "key").groupBy("key", "ref.node").agg(F.count_if(near).alias("near")).groupBy("key").agg(F.max_by("node", "near").alias("ref_node"), F.max("near").alias("near"))
-    best = materialise(best.join(tried.select("key", F.col("ref.node").alias("ref_node"), F.col("ref.fp").alias("ref_fp")), ["key", "ref_node"]), "simhash-references")
-    split = large.join(best, "key").withColumn("settled", _apart(F.col("fp"), F.col("ref_fp")) <= SURE)
-    stars = split.where("settled AND node <> ref_node").select(F.col("node").alias("src"), F.col("ref_node").alias("dst"))
-    rest, near_ = F.ceil((F.col("n") - F.col("near")) / chunk).cast("int"), F.ceil(F.col("near") / chunk).cast("int")
-    split = split.withColumns({"rest": rest, "near_": near_}).withColumn("c", F.pmod(F.xxhash64("node"), F.when(F.col("settled"), F.col("near_")).otherwise(F.col("rest"))).cast("int"))
-    of_rest = F.sequence(F.lit(0), F.col("rest") - 1)
-    pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
-    units = F.when(F.col("settled"), F.transform(of_rest, lambda o: pair(o, F.col("rest") + F.col("c")))).otherwise(F.concat(
-        F.transform(of_rest, lambda o: pair(F.least("c", o), F.greatest("c", o))), F.transform(F.sequence(F.lit(0), F.col("near_") - 1), lambda o: pair(F.col("c"), F.col("rest") + o))))
-    cut = split.where("rest > 0").select("key", "node", "fp", "settled", F.explode(units).alias("u")).select("key", "node", "fp", "settled", "u.*")
-    small = live.where(F.col("n") <= chunk).select("key", "node", "fp", F.lit(False).alias("settled"), F.lit(0).alias("i"), F.lit(0).alias("j"))
-    parts = small.unionByName(cut).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return parts.mapInArrow(_wide_links, "src binary, dst binary").unionByName(stars)
+class Groups:
+    """Nodes (node, fp, keys) under the keys that two of them share. In a large group, the reference that most lie near
+    settles those."""
+
+    def __init__(self, nodes: DataFrame, chunk: int = CHUNK):
+        keyed = nodes.select(F.explode("keys").alias("key"), "node")
+        shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        self.chunk, self.live = chunk, materialise(keyed.join(shared, "key").join(nodes.select("node", "fp"), "node"), "simhash-live")
+        self.large = self.live.where(F.col("n") > chunk)
+        tried = self.large.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(REFERENCES)).alias("r")).agg(F.min(F.struct("node", "fp")).alias("ref"))
+        near = _apart(F.col("fp"), F.col("ref.fp")) <= SURE
+        best = self.large.join(tried, "key").groupBy("key", "ref.node").agg(F.count_if(near).alias("near")).groupBy("key").agg(F.max_by("node", "near").alias("ref_node"), F.max("near").alias("near"))
+        self.best = materialise(best.join(tried.select("key", F.col("ref.node").alias("ref_node"), F.col("ref.fp").alias("ref_fp")), ["key", "ref_node"]), "simhash-references")
+
+    def stars(self) -> DataFrame:
+        """Links of the settled to their references."""
+        near = self.large.join(self.best, "key").where((_apart(F.col("fp"), F.col("ref_fp")) <= SURE) & (F.col("node") != F.col("ref_node")))
+        return near.select(F.col("node").alias("src"), F.col("ref_node").alias("dst"))
+
+    def units(self, roots: DataFrame | None = None) -> DataFrame:
+        """Rows (key, i, j, node, fp, settled, label) in whole groups: a pair of chunks of a key each. Under roots (node, root),
+        the classes so far, only nodes of their reference's class are settled; label is the class."""
+        live, best = self.live.withColumn("label", F.col("node")), self.best.withColumn("ref_label", F.col("ref_node"))
+        if roots is not None:
+            live = self.live.join(roots.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+            ref = roots.select(F.col("node").alias("ref_node"), F.col("root").alias("ref_label"))
+            best = self.best.join(ref, "ref_node", "left").withColumn("ref_label", F.coalesce("ref_label", "ref_node"))
+        chunk, pair = self.chunk, lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+        sure = _apart(F.col("fp"), F.col("ref_fp")) <= SURE
+        split = live.where(F.col("n") > chunk).join(best, "key").withColumn("settled", sure if roots is None else sure & (F.col("label") == F.col("ref_label")))
+        if roots is not None:
+            split = materialise(split, "simhash-split")
+            split = split.drop("near").join(split.groupBy("key").agg(F.count_if("settled").alias("near")), "key")
+        rest, near_ = F.ceil((F.col("n") - F.col("near")) / chunk).cast("int"), F.ceil(F.col("near") / chunk).cast("int")
+        split = split.withColumns({"rest": rest, "near_": near_}).withColumn("c", F.pmod(F.xxhash64("node"), F.when(F.col("settled"), F.col("near_")).otherwise(F.col("rest"))).cast("int"))
+        of_rest = F.sequence(F.lit(0), F.col("rest") - 1)
+        met = F.when(F.col("settled"), F.transform(of_rest, lambda o: pair(o, F.col("rest") + F.col("c")))).otherwise(F.concat(
+            F.transform(of_rest, lambda o: pair(F.least("c", o), F.greatest("c", o))), F.when(F.col("near_") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("near_"), F.lit(1)) - 1), lambda o: pair(F.col("c"), F.col("rest") + o))).otherwise(F.array())))
+        columns = ["key", "node", "fp", "settled", "label"]
+        cut = split.where("rest > 0").select(*columns, F.explode(met).alias("u")).select(*columns, "u.*")
+        small = live.where(F.col("n") <= chunk).select("key", "node", "fp", F.lit(False).alias("settled"), "label", F.lit(0).alias("i"), F.lit(0).alias("j"))
+        return small.unionByName(cut).select(*UNIT, "node", "fp", "settled", "label").repartition(*UNIT).sortWithinPartitions(*UNIT)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -270,8 +329,9 @@ def near_classes(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), _node().alias("node"), "text")
     signed = materialise(rows.mapInArrow(signatures, "doc_id long, node binary, fp array<long>, keys array<long>"), "simhash-signatures")
     nodes = materialise(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "simhash-texts")
-    links = near_text_links(nodes, chunk).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    links = materialise(links, "simhash-candidates")
+    groups = Groups(nodes, chunk)
+    links = groups.units().drop("label").mapInArrow(_wide_links, "src binary, dst binary").unionByName(groups.stars())
+    links = materialise(links.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "simhash-candidates")
 
     def as_set(batches):
         for b in batches:
@@ -283,11 +343,20 @@ def near_classes(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
             near = [likeness(*(np.frombuffer(x.as_py(), np.uint64) for x in pair)) >= LEAST for pair in zip(b.column(2), b.column(3))]
             yield b.select(["src", "dst"]).filter(pa.array(near, pa.bool_()))
 
-    ends = links.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(nodes.select("node", "doc_id"), "node")
-    sets = rows.join(ends, ["doc_id", "node"]).groupBy("node").agg(F.first("text").alias("text")).mapInArrow(as_set, "node binary, members binary")
-    sets = materialise(sets, "simhash-sets")
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        ends = wanted.distinct().join(nodes.select("node", "doc_id"), "node")
+        texts = rows.join(ends, ["doc_id", "node"]).groupBy("node").agg(F.first("text").alias("text"))
+        return materialise(texts.mapInArrow(as_set, "node binary, members binary"), "simhash-sets")
+
+    sets = sets_of(links.select(F.explode(F.array("src", "dst")).alias("node")))
     both = links.join(sets.select(F.col("node").alias("src"), F.col("members").alias("a")), "src").join(sets.select(F.col("node").alias("dst"), F.col("members").alias("b")), "dst")
     roots = components(both.select("src", "dst", "a", "b").mapInArrow(alike, "src binary, dst binary"), "simhash-components")
+    open_ = groups.units(roots).mapInArrow(_open_nodes, "key long, i int, j int, node binary, fp array<long>, settled boolean, label binary")
+    open_ = materialise(open_, "simhash-open")
+    if not open_.isEmpty():
+        ready = open_.join(sets_of(open_.select("node")), "node").select(*UNIT, "node", "fp", "settled", "label", "members")
+        more = ready.repartition(*UNIT).sortWithinPartitions(*UNIT).mapInArrow(_verified_links, "src binary, dst binary")
+        roots = components(roots.select(F.col("node").alias("src"), F.col("root").alias("dst")).unionByName(more), "simhash-components")
     return nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
 
 
