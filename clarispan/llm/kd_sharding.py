@@ -5,8 +5,9 @@ tree splits a node at the weighted quantile of its widest dimension, found from
 histograms that are refined inside the bin which holds it, until a leaf holds one shard's target
 bytes. Law: `bytes`, the sizes of the shards are nearly equal.
 
-Equal texts are one point and stay together, unless their group is large against a shard (in bytes
-or in rows): then it is salted by doc_id (or by position, without one) into several points. The histograms (at most 4096 bins for
+Equal texts are one point and lie in one shard, unless their group has more than a tenth of a shard's bytes or rows (and
+one row): it is salted by doc_id (or by position, without one) into points of a tenth of a shard, which have one language
+and source, so only their tie-break keeps them apart. The histograms (at most 4096 bins for
 each of at most `shards` nodes) are all that reaches the driver. No Python runs on the executors.
 
 Defined cases: a null text weighs 16 bytes and has checksum zero; null lang or source count as empty;
@@ -25,7 +26,7 @@ SHARDS = 40
 BINS = 4096
 FIXED_BYTES = 16
 #: A group of equal texts with more than 1 / PARTS of a shard's bytes or rows is salted.
-PARTS = 256
+PARTS = 10
 SLOT_ROWS = 1000
 GROUP = ["tk", "crc", "size"]
 DIMS = ["d_size", "d_lang", "d_source", "d_crc"]
@@ -107,24 +108,25 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     total = points.agg(F.sum("size").alias("w"), F.count("*").alias("n")).first()
     most_w, most_n = (total["w"] or 0) / (shards * PARTS) + 1, total["n"] / (shards * PARTS) + 1
     # At most 2 * shards * PARTS groups are that large, whatever the input: they can be broadcast.
-    hot = points.groupBy(*GROUP).agg(F.sum("size").alias("w"), F.count("*").alias("n"))
+    hot = points.groupBy(*GROUP).agg(F.sum("size").alias("w"), F.count("*").alias("n"), F.min("lang").alias("one_lang"), F.min("source").alias("one_source"))
     hot = hot.where((F.col("n") > 1) & ((F.col("w") > most_w) | (F.col("n") > most_n))).select(
-        *GROUP, F.ceil(F.greatest(F.col("w") / most_w, F.col("n") / most_n)).cast("int").alias("parts"))
+        *GROUP, "one_lang", "one_source", F.ceil(F.greatest(F.col("w") / most_w, F.col("n") / most_n)).cast("int").alias("parts"))
     salted = points.join(F.broadcast(hot), GROUP, "left").withColumn(
         "part", F.coalesce(F.pmod(F.xxhash64("doc_id", "lang", "source", "at"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
-    atoms = salted.groupBy(*GROUP, "part").agg(F.sum("size").alias("w"), F.min("lang").alias("lang"), F.min("source").alias("source"))
+    lang, source = (F.min(F.coalesce(f"one_{c}", c)).alias(c) for c in ("lang", "source"))
+    atoms = salted.groupBy(*GROUP, "part").agg(F.sum("size").alias("w"), lang, source)
     atoms = atoms.select(
         *GROUP, "part", "w", (F.log2("size") / 24).alias("d_size"), _unit("lang").alias("d_lang"), _unit("source").alias("d_source"),
         (F.col("crc") / F.lit(float(1 << 32))).alias("d_crc"), _unit(*GROUP, "part").alias("tie"))
     placed = kd_leaves(atoms, shards).select(*GROUP, "part", F.col("node").alias("shard"))
-    placed = materialise(salted.join(placed, [*GROUP, "part"]).select("doc_id", "size", "crc", "tk", "shard"), "shard-placed")
+    placed = materialise(salted.join(placed, [*GROUP, "part"]).select("doc_id", "size", "crc", "tk", "at", "shard"), "shard-placed")
     # Slots: ranks inside units of about SLOT_ROWS rows, after the rows of the shard's units before.
     counts = {r["shard"]: r["n"] for r in placed.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     units = _of({k: -(-n // SLOT_ROWS) for k, n in counts.items()} or {0: 1}, "shard")
-    placed = placed.withColumn("unit", F.pmod(F.xxhash64("doc_id", "tk"), units).cast("int"))
+    placed = placed.withColumn("unit", F.pmod(F.xxhash64("doc_id", "tk", "at"), units).cast("int"))
     before = placed.groupBy("shard", "unit").agg(F.count("*").alias("n"))
     before = before.withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("unit")) - F.col("n")).drop("n")
-    rank = F.row_number().over(Window.partitionBy("shard", "unit").orderBy("doc_id", "tk", "size"))
+    rank = F.row_number().over(Window.partitionBy("shard", "unit").orderBy("doc_id", "tk", "size", "at"))
     out = placed.withColumn("rank", rank).join(before, ["shard", "unit"])
     return out.select(
         "doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard",
