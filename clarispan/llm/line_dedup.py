@@ -2,7 +2,8 @@
 
 Two lines are near copies if their trimmed forms are within `allowed` edits of the shorter one's length: one
 edit from 12 characters, two from 24, so that an edit is at most a twelfth; shorter lines must be equal. Of each class of such lines the first occurrence (smallest doc_id,
-then position) stays, all others are removed from their documents.
+then position) stays, all others are removed from their documents. Trimming takes off ASCII white space at both ends, so the
+\r of a CRLF end is no part of a line.
 
 A line is cut into one segment more than its edits: a line within them holds one of the segments unchanged,
 at a place that its length bounds. Lines therefore meet under keys of (length, segment, its text);
@@ -10,7 +11,7 @@ only keys that two different lines share live on. Lines under such keys are fetc
 bitmap of their hashes and verified in batches by banded bit-parallel edit distance. Groups above a
 size are cut into chunks and every pair of chunks is a unit of work that returns a spanning forest.
 
-Defined cases: a null text has no lines and stays null; blank lines are never removed; rows with a
+Defined cases: a null text has no lines and stays null; blank lines (of ASCII white space, CRLF ends included) are never removed; rows with a
 null doc_id take no part and stay as they are; rows that repeat a doc_id count as one document, each
 keeps what it keeps; a document may be left without lines; an empty table gives an empty result; extra
 columns stay, but those named like a result of without_duplicates (removed, kept_in) are replaced by it there.
@@ -32,6 +33,7 @@ CHUNK = 256
 CELLS = 1 << 21
 #: Bits of the bitmap that lets lines with a live key through; more candidates let more lines through.
 BITMAP = 1 << 26
+BLANK = " \t\x0b\x0c\r"
 RECENT = 200_000
 
 
@@ -210,7 +212,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, pos, line, h1, h2) of the non-blank lines, trimmed."""
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     rows = rows.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    rows = rows.select("doc_id", "pos", F.trim("line").alias("line")).where("line <> ''")
+    rows = rows.select("doc_id", "pos", F.trim("line", F.lit(BLANK)).alias("line")).where("line <> ''")
     return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
