@@ -12,7 +12,7 @@ texts, all their words. Each language is fitted in a task of its own. All rows a
 texts; a pre-token of any length is walked in strides, with the sums of its last positions at hand.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; so is every text if there
-is nothing to learn from; repeated rows give repeated results; null doc_ids are kept (and not held
+is nothing to learn from; more than MOST_LANGUAGES values of lang are an error; repeated rows give repeated results; null doc_ids are kept (and not held
 out); an empty table gives an empty result; extra columns stay, but those named like a result (lang_pred,
 score) are replaced by it.
 """
@@ -29,11 +29,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clarispan.llm.common import held_out, position, resident, small_batches, table, texts_by_slice, without
+from clarispan.llm.common import held_out, materialise, position, resident, small_batches, table, texts_by_slice, without
 from clarispan.llm.pieces import pieces, pretokens
 
 #: Bound of the sample that the probabilities of a language are fitted on.
 FIT_ROWS = 1000
+#: More values of lang than this are an error: each sends 256 KB of probabilities to the driver and the executors.
+MOST_LANGUAGES = 512
 ROUNDS = 4
 KNOWN_WORDS = 300_000
 UNKNOWN = 1e-7
@@ -195,8 +197,11 @@ def fit(docs: DataFrame, path: str | None = None) -> tuple[list[str], np.ndarray
                 seen[w] = seen.get(w, 0) + n
         return pa.table({"lang": [t["lang"][0].as_py()], "prob": pa.array([fit_language(dict(sorted(seen.items())), pieces(path))], pa.list_(pa.float64()))})
 
-    # A row for each language: as many probabilities as the vocabulary has pieces.
-    found = sorted(counts.groupBy("lang").applyInArrow(of_language, "lang string, prob array<double>").collect())
+    # A row for each language: as many probabilities as the vocabulary has pieces. They reach the driver once they are counted.
+    found = materialise(counts.groupBy("lang").applyInArrow(of_language, "lang string, prob array<double>"), "language-model")
+    if found.count() > MOST_LANGUAGES:
+        raise ValueError(f"lang has more than {MOST_LANGUAGES} values: it holds something else than languages")
+    found = sorted(found.collect())
     return [r["lang"] for r in found], np.array([r["prob"] for r in found]).T if found else np.empty((len(pieces(path)), 0))
 
 
