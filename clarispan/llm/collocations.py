@@ -32,7 +32,7 @@ LEAST_COUNT, WORDS, FIRST, SHARE, SCALE = 10, 3, 2000, 50, 1_000_000
 MOST_BITS = 1 << 29
 HOT, SALT = 4096, 64
 #: Word occurrences whose phrases a task adds up at a time.
-FLUSH = 1_000_000
+FLUSH = 500_000
 #: Bytes: A-Z become a-z, piece ends one byte that no UTF-8 text has.
 EDGE = b"\xff"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 0xFF if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
