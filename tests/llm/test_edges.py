@@ -95,6 +95,21 @@ def test_topk_edges(spark):
     assert exact_topk.top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_topk_scores_beyond_a_long(spark):
+    rows = [(i, [x, y], 1) for i, (x, y) in enumerate([(1e16, 0.5), (1e20, -3.0), (3e38, 3e38), (-1e30, 2.0), (0.25, 0.5), (-0.3, 7.0), (1e16, 0.5), (-3e38, 1.0)])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(2)
+    v = exact_topk.quantised(table)
+    whole = {i: [int(np.floor(256 * np.float64(x))) for x in e] for i, e, _ in rows}
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in exact_topk.top_k(v, v, 8, block_rows=3).collect())
+    want = []
+    for q, a in whole.items():
+        best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in whole.items() if i != q)
+        want += [(q, n, i, max(-(1 << 63), min((1 << 63) - 1, -s))) for n, (s, i) in enumerate(best, 1)]
+    assert got == want
+    some = [-(1 << 200), -257, -256, -1, 0, 1, 255, 256, 1 << 64, 1 << 300]
+    assert sorted(some, key=exact_topk.ordered) == some
+
+
 def test_bit_slices_equal_products():
     rng = np.random.default_rng(3)
     v = rng.integers(-300, 300, (333, 9))
@@ -199,6 +214,29 @@ def test_near_classes_match_all_pairs(spark, chunk):
     assert sorted(r["doc_id"] for r in simhash_neardup.keep_one(docs).collect()) == kept
 
 
+@pytest.mark.parametrize("chunk", [512, 12])
+def test_no_link_near_the_threshold_is_lost(spark, chunk):
+    """Texts whose likeness is spread around 0.8: classes equal those of all pairs within the search's keys, which all share."""
+    pick, texts = random.Random(5), []
+    for g in range(30):
+        base = [f"w{g}x{pick.randrange(10**6)}" for _ in range(150)]
+        for _ in range(14):
+            mine = list(base)
+            for at in pick.sample(range(0, 150, 6), pick.choice([1, 2, 2, 3, 3])):
+                mine[at] = f"n{pick.randrange(10**6)}"
+            texts.append(" ".join(mine))
+    sets, root = [shingle_set(t) for t in texts], list(range(len(texts)))
+    near = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[i - i % 14 : i]]
+    assert sum(0.75 < x < 0.8 for x in near) > 100 and sum(0.8 <= x < 0.85 for x in near) > 100
+    for i, a in enumerate(sets):
+        for j in range(i - i % 14, i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                root = [root[j] if x == root[i] else x for x in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["root"] for r in simhash_neardup.near_classes(docs, chunk).collect()}
+    assert len({(root[i], got[i]) for i in got}) == len(set(root)) == len(set(got.values()))
+
+
 def test_rows_that_share_an_id_leave_one_by_a_fixed_order(spark):
     rows = [(1, "b b b b b b"), (1, "a a a a a a"), (1, "b b b b b b"), (2, "a a a a a a")]
     for order in (rows, rows[::-1]):
@@ -206,6 +244,32 @@ def test_rows_that_share_an_id_leave_one_by_a_fixed_order(spark):
         assert sorted(map(tuple, got)) == [(1, "a a a a a a"), (1, "b b b b b b")]
 
 
+def test_blank_lines_and_line_ends(spark):
+    docs = spark.createDataFrame([(1, "One line here.\r\n\r\n\t\r\nnext"), (2, "\r\n one line here. \r\nOne line here.\n\n \t\nlast\r")], "doc_id long, text string")
+    out = {r["doc_id"]: (r["text"], r["removed"]) for r in line_dedup.without_duplicates(docs).collect()}
+    assert out[1] == ("One line here.\r\n\r\n\t\r\nnext", None)
+    assert out[2] == ("\r\n\n \t\nlast\r", [1, 2])
+
+
+def test_groups_of_equal_texts_lie_in_one_shard(spark):
+    pick = random.Random(4)
+    texts = ["".join(pick.choices("abcdefgh ", k=pick.randrange(50, 800))) for _ in range(3000)]
+    rows = [(i, t, pick.choice(["en", "de"]), pick.choice(["p", "q"])) for i, t in enumerate([*texts, *pick.choices(texts[:400], k=900), *["same"] * 2000])]
+    rows += [(None, "twin", "en", "p")] * 3
+    got = kd_sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    of = dict(zip((r[0] for r in rows), (r[1] for r in rows)))
+    shards, sizes, slots = {}, {}, {}
+    for r in got:
+        shards.setdefault(of[r["doc_id"]], set()).add(r["shard"])
+        sizes[r["shard"]] = sizes.get(r["shard"], 0) + r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    tenth = sum(sizes.values()) / 400
+    times = {t: sum(of[r["doc_id"]] == t for r in got) for t in shards if len(shards[t]) > 1}
+    assert len(got) == len(rows) and "same" in times and all(n * (len(t) + 16) > tenth for t, n in times.items() if t != "same")
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(sizes.values()) < 1.15 * min(sizes.values())
+
+
 def test_a_very_long_line_and_extra_columns(spark):
     long = "".join(random.Random(3).choices("abcdefgh", k=120_000))
     docs = spark.createDataFrame([(1, long, 5, "k"), (2, "x" + long[:-1], 6, "l"), (3, "y" + long[9:], 7, "m")], "doc_id long, text string, Removed int, kept_in string")
