@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clarispan import policy
@@ -79,23 +79,49 @@ def url_identity(url: Column) -> Column:
     return F.when(F.size(kept) > 0, F.concat(base, F.lit("?query-sha256="), F.sha2(F.array_join(kept, "&"), 256))).otherwise(base)
 
 
+# Parameters of a URL that sign it.
+SIGNATURES = (
+    "signature", "expires", "policy", "key-pair-id", "x-amz-algorithm", "x-amz-credential", "x-amz-date", "x-amz-expires",
+    "x-amz-signedheaders", "x-amz-signature", "x-amz-security-token",
+)
+
+
+def source_identity(url: Column) -> Column:
+    """A struct (key, path) of an https URL, or of a path that begins with one slash: the text without the parameters that
+    sign it, the others as they are and in their order. `path` leaves out the host. Null for what has another scheme, a
+    user, a port or a fragment."""
+    place = F.when(url.rlike("^/(?!/)"), url).when(url.rlike(r"(?i)^https://[^/?#@:\s]+(:443)?(?=[/?]|$)"), F.regexp_replace(url, r"(?i)^https://[^/?#]+", ""))
+    host = F.lower(F.regexp_replace(F.regexp_extract(url, r"(?i)^(https://[^/?#]+)", 1), ":443$", ""))
+    path, query = F.regexp_replace(place, r"(?s)\?.*$", ""), F.regexp_extract(place, r"(?s)\?(.*)$", 1)
+    name = lambda p: F.lower(F.try_url_decode(F.split_part(p, F.lit("="), F.lit(1))))
+    kept = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.coalesce(name(p).isin(*SIGNATURES), F.lit(False))), "&")
+    whole = F.concat(F.when(path == "", "/").otherwise(path), F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept)))
+    good = place.isNotNull() & ~url.contains("#")
+    return F.when(good, F.struct(F.when(host == "", F.concat(F.lit("path:"), whole)).otherwise(F.concat(host, whole)).alias("key"), whole.alias("path")))
+
+
 # Entities that have a name, and the white space that text runs together.
 ENTITIES = {"amp": "&", "quot": '"', "apos": "'", "lt": "<", "gt": ">", "nbsp": " "}
 WHITE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+"
 
 
+#: The names, or a number, that begin a reference's part of a text cut at its ampersands.
+_REFERENCE = r"(?i)^(#x[0-9a-f]+|#[0-9]+|" + "|".join(ENTITIES) + ");"
+
+
 def decode_entities(text: Column) -> Column:
-    """Named and numeric character references of a text, each decoded once; unknown ones stay."""
+    """Named and numeric character references of a text, each decoded once; unknown ones stay. Only parts that begin
+    with a reference are looked at further."""
     def decoded(part: Column) -> Column:
-        name = F.lower(F.regexp_extract(part, r"(?i)^(#x[0-9a-f]+|#[0-9]+|" + "|".join(ENTITIES) + ");", 1))
+        name = F.lower(F.substring_index(part, ";", 1))
         point = F.when(name.startswith("#x"), F.conv(F.substr(name, F.lit(3)), 16, 10)).otherwise(F.substr(name, F.lit(2))).try_cast("bigint")
         valid = (point > 0) & (point <= 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
         named = F.element_at(F.create_map(*[F.lit(x) for kv in ENTITIES.items() for x in kv]), name)
-        char = F.when(~name.startswith("#"), named).when(valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
-        return F.when((name == "") | char.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(char, F.substr(part, F.length(name) + 2)))
+        char = F.when(~part.startswith("#"), named).when(valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
+        return F.coalesce(F.concat(char, F.substr(part, F.instr(part, ";") + 1)), F.concat(F.lit("&"), part))
 
     parts = F.split(text, "&", -1)
-    return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(decoded(p))), "")
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).when(p.rlike(_REFERENCE), decoded(p)).otherwise(F.concat(F.lit("&"), p))), "")
 
 
 def without_tags(html: Column) -> Column:
@@ -108,16 +134,21 @@ def without_tags(html: Column) -> Column:
     return F.concat(plain, F.substr(html, F.length(closed) + 1))
 
 
-def page_text(html: Column) -> Column:
-    """Text of a page's main part (of the whole page, if it has none) on one line, without comments, without elements
-    that hold code or surround the content, and without tags; entities decoded."""
-    parts = F.split(html, r"(?i)<main\b[^>]*+>", 2)
+# Elements that hold code or surround the content.
+AROUND = ("script", "style", "nav", "header", "footer")
+
+
+def with_page_text(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
+    """Pages with the text of their main part (of the whole page, if it has none) on one line, without comments, without
+    elements that hold code or surround the content, and without tags; entities decoded. Each step is a column of its
+    own, so that no later one works it out again."""
+    parts = F.split(F.col(html), r"(?i)<main\b[^>]*+>", 2)
     inner = F.split(F.get(parts, 1), r"(?i)</main>", 2)
-    body = F.when(F.size(inner) > 1, F.get(inner, 0)).otherwise(html)
-    body = F.regexp_replace(body, r"(?s)<!--.*?-->", " ")
-    for element in ("script", "style", "nav", "header", "footer"):
-        body = F.regexp_replace(body, rf"(?is)<{element}\b[^>]*+>.*?</{element}>", " ")
-    return F.trim(F.regexp_replace(decode_entities(without_tags(body)), WHITE, " "))
+    plain = F.regexp_replace(F.regexp_replace("__body", r"(?s)<!--.*?-->", " "), rf"(?is)<({'|'.join(AROUND)})\b[^>]*+>.*?</\1>", " ")
+    out = pages.withColumn("__inner", inner).withColumn("__body", F.when(F.size("__inner") > 1, F.get("__inner", 0)).otherwise(F.col(html)))
+    out = out.withColumn("__body", plain)
+    out = out.withColumn("__body", without_tags(F.col("__body"))).withColumn("__body", decode_entities(F.col("__body")))
+    return out.withColumn(text, F.trim(F.regexp_replace("__body", WHITE, " "))).drop("__inner", "__body")
 
 
 def fresh_file(updated: Column, as_of: Column, days: int = policy.FILE_FRESH_DAYS) -> Column:

@@ -9,6 +9,7 @@ from clarispan.operators.ranking import ranked
 
 # Bounds of a request and of a plan set.
 FIRST_YEAR, LAST_YEAR, MOST_SET_PLANS, ID_TYPES = 2020, 2030, 30_000, ("ein", "hios")
+MOST_DRUGS, MOST_DOCTORS, MOST_PERSONS, OLDEST = 20, 12, 12, 120
 
 
 def request_problems(requests: DataFrame) -> DataFrame:
@@ -25,6 +26,39 @@ def request_problems(requests: DataFrame) -> DataFrame:
     return requests.withColumn("problem", problem)
 
 
+def household_problems(requests: DataFrame, years: list[int]) -> DataFrame:
+    """Plan requests (zip, state, year, income, age, household_size, employer_offer) with the name of the first field that
+    is not valid, null if all are. A missing household has one person; a state may be missing."""
+    bad = lambda c, pattern: ~F.coalesce(F.trim(F.col(c)).rlike(pattern), F.lit(False))
+    number = lambda c, low, high: ~F.coalesce(F.col(c).between(low, high) & (F.col(c) == F.floor(c)), F.lit(False))
+    problem = (
+        F.when(bad("zip", r"^\d{5}\z"), "zip").when(F.col("state").isNotNull() & bad("state", r"(?i)^[A-Z]{2}\z"), "state").when(~F.coalesce(F.col("year").isin(*years), F.lit(False)), "year")
+        .when(~F.coalesce((F.col("income") >= 0) & ~F.isnan("income") & (F.col("income") < float("inf")), F.lit(False)), "income").when(number("age", 0, OLDEST), "age")
+        .when(F.col("household_size").isNotNull() & number("household_size", 1, MOST_PERSONS), "household_size")
+        .when(F.coalesce("employer_offer", F.lit("none")) != "none", "employer_offer").when(F.col("household_size") > 1, "several_persons"))
+    return requests.withColumn("problem", problem)
+
+
+def valid_subjects(requests: DataFrame) -> DataFrame:
+    """Requests with the doctors and drugs (arrays of npi and of rxcui) that count: trimmed NPIs of ten digits, the first
+    MOST_DOCTORS, and drugs that are not blank, the first MOST_DRUGS."""
+    clean = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.trim(F.coalesce(x, F.lit(""))))
+    return requests.withColumns({
+        "doctors": F.slice(F.filter(clean("doctors"), lambda x: x.rlike(r"^\d{10}\z")), 1, MOST_DOCTORS),
+        "drugs": F.slice(F.filter(clean("drugs"), lambda x: x != ""), 1, MOST_DRUGS)})
+
+
+def shortlist_problems(requests: DataFrame) -> DataFrame:
+    """Shortlist requests (state, contract_year, rxcuis) with the first field that is not valid: state, contract_year, or the
+    drugs, of which there are 1 to MOST_DRUGS different ones of one to eight digits."""
+    drugs = F.array_distinct(F.transform(F.coalesce(F.col("rxcuis"), F.array().cast("array<string>")), lambda x: F.trim(F.coalesce(x, F.lit("")))))
+    good = F.size(drugs).between(1, MOST_DRUGS) & F.forall(drugs, lambda x: x.rlike(r"^\d{1,8}\z"))
+    problem = (
+        F.when(~F.coalesce(F.upper(F.trim("state")).rlike(r"^[A-Z]{2}\z"), F.lit(False)), "state")
+        .when(~F.coalesce(F.col("contract_year").between(FIRST_YEAR, LAST_YEAR), F.lit(False)), "contract_year").when(~good, "rxcuis"))
+    return requests.withColumn("problem", problem)
+
+
 def set_problems(sets: DataFrame, entries: DataFrame) -> DataFrame:
     """For each plan set (set_id, plans) whether its entries (set_id, ordinal, plan_id, plan_id_type) are as many as
     it says, within bounds, numbered from 0 without gaps or repeats, and of known types with an id."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from clarispan.functions.scalars import contains_text, employer_name, has_health_benefit
@@ -36,12 +36,22 @@ def npi_audit(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("rows_scanned"), F.count_if(off).alias("deactivated"), F.count_if(~off & ~F.col("npi").rlike(r"^\d{10}$")).alias("malformed_npi"))
 
 
-def employers(rows: DataFrame) -> DataFrame:
+def employers(rows: DataFrame, counters: Observation | None = None, health_only: bool = True) -> DataFrame:
     """Sponsors of health plans: one row for each (ein, name_norm), the one with most participants, the
-    first of equals. Rows: name, ein, state, plan_name, welfare_code, participants, plan_year, ord."""
-    out = rows.where(has_health_benefit(F.col("welfare_code")))
-    out = out.withColumns({"ein": F.regexp_replace("ein", r"\D", ""), "name_norm": employer_name(F.col("name"))})
-    out = out.where(F.col("ein").rlike(r"^\d{9}$") & (F.col("name_norm") != "")).withColumn("less", -F.coalesce("participants", F.lit(-1)))
+    first of equals. Rows: name, ein, state, plan_name, welfare_code, participants, plan_year, ord.
+
+    Counters are filled in by the pass that reads: rows_scanned, kept, dropped_non_health, dropped_bad_ein; rows without a
+    name are in none of the last three.
+    """
+    healthy = F.coalesce(has_health_benefit(F.col("welfare_code")), F.lit(False)) if health_only else F.lit(True)
+    out = rows.withColumns({"ein": F.regexp_replace("ein", r"\D", ""), "name_norm": employer_name(F.col("name")), "__healthy": healthy})
+    out = out.withColumns({"__good": F.coalesce(F.col("ein").rlike(r"^\d{9}$"), F.lit(False)), "__named": F.coalesce(F.col("name_norm") != "", F.lit(False))})
+    if counters is not None:
+        healthy, good, named = F.col("__healthy"), F.col("__good"), F.col("__named")
+        out = out.observe(
+            counters, F.count("*").alias("rows_scanned"), F.count_if(healthy & good & named).alias("kept"), F.count_if(~healthy).alias("dropped_non_health"),
+            F.count_if(healthy & ~good).alias("dropped_bad_ein"))
+    out = out.where("__healthy AND __good AND __named").withColumn("less", -F.coalesce("participants", F.lit(-1)))
     return first_payload(out, ["ein", "name_norm"], ["less", "ord"], ["name", "state", "participants"])
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clarispan.functions.scalars import employer_name, page_text
+from clarispan.functions.scalars import employer_name, with_page_text
 from clarispan.operators import publication, quotas, registries
 from clarispan.plans.base import query, table
 from clarispan.policy import EMPLOYER_SUFFIXES
@@ -117,7 +117,7 @@ PAGE_TEXT = r"""trim(regexp_replace(replace(replace(replace(replace(replace(repl
 
 @query(f"SELECT page_id, sha256({PAGE_TEXT}) AS text_sha256 FROM pages")
 def page_texts(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.sha2(page_text(F.col("html")), 256).alias("text_sha256"))
+    return with_page_text(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query("""

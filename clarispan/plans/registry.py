@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clarispan.plans import boards, checks, costs, coverage, formularies, network, registers  # noqa: F401  registers their queries
+from clarispan.plans import boards, checks, costs, coverage, formularies, ingest, network, registers  # noqa: F401  registers their queries
 from clarispan.plans.base import QUERIES, SQL  # noqa: F401
 
 FLAGSHIP = "reconcile_verdicts"

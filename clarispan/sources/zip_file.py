@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 # Signatures, bounds, and the flags that may be set (compression level, data descriptor, UTF-8 name).
 END, DIRECTORY, LOCAL, DESCRIPTOR, LOCATOR64 = b"PK\x05\x06", b"PK\x01\x02", b"PK\x03\x04", b"PK\x07\x08", b"PK\x06\x07"
-MOST_ENTRIES, MOST_DIRECTORY, MOST_NAME, MOST_DECODED = 64, 1 << 20, 1024, 128_000_000_000
+MOST_ENTRIES, MOST_DIRECTORY, MOST_NAME, MOST_DECODED = 128, 1_000_000, 4096, 5_000_000_000
 FLAGS, HAS_DESCRIPTOR, VERSION = 0x080E, 0x0008, 20
 NONE32, NONE16 = 0xFFFFFFFF, 0xFFFF
 

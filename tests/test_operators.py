@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from clarispan.functions.scalars import decode_entities, employer_name, half_up, has_health_benefit, page_text, shard_name, tristate, url_identity
+from clarispan.functions.scalars import decode_entities, employer_name, half_up, has_health_benefit, shard_name, source_identity, tristate, url_identity, with_page_text
 from clarispan.operators import cost, formulary, matching, network_files, publication, reconcile, verify
 
 ANSWER = "kind string, subject_key string, plan_id string, source string, value string, confidence double"
@@ -38,6 +38,14 @@ def test_stamps_name_other_answers_of_the_same_source(spark):
     assert got == [("A", "A", "B"), ("A", "A", "B"), ("B", "", "A,A")]
 
 
+@pytest.mark.parametrize("url, key, path", [
+    ("https://X.org/a/b?v=2&Signature=q&a=1&&Expires=3", "https://x.org/a/b?v=2&a=1", "/a/b?v=2&a=1"), ("https://x.org", "https://x.org/", "/"), ("https://x.org:443/a?%53ignature=1", "https://x.org/a", "/a"),
+    ("/a/b?X-Amz-Date=1&p=/q?r", "path:/a/b?p=/q?r", "/a/b?p=/q?r"), ("//x/a", None, None), ("http://x.org/a", None, None), ("https://u@x.org/a", None, None), ("https://x.org:8443/a", None, None), ("https://x.org/a#b", None, None)])
+def test_source_identity(spark, url, key, path):
+    got = one(spark, source_identity(F.lit(url)))
+    assert (got and tuple(got)) == ((key, path) if key else None)
+
+
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
@@ -158,13 +166,14 @@ def test_ranks_without_a_limit_cover_all_plans(spark):
     ("<p>a</p><MAIN class='x'>b<br>c</main>d", "b c"), ("no tags & none", "no tags & none"), ("<!-- <p> -->a<script>x<b>y</script>b<nav a='1'>n</nav>", "a b"),
     ('<a title="x>y" b=\'<\'>t</a>', "t"), ("a < b", "a < b"), ("x &#8217; &#x41; &AMP; &amp;lt; &#38;lt; &#0; &#xD800; &nope; &", "x \u2019 A & &lt; &lt; &#0; &#xD800; &nope; &"), ("a&nbsp;&#160;b", "a b"), (None, None), ("", "")])
 def test_page_text(spark, html, text):
-    assert one(spark, page_text(F.lit(html).cast("string"))) == text
+    rows = with_page_text(spark.createDataFrame([(1, html)], "page_id int, html string"))
+    assert rows.columns == ["page_id", "html", "text"] and rows.first()["text"] == text
 
 
 @pytest.mark.parametrize("html", ["<" + "x" * (1 << 20), "<" + "x 'y' " * 200_000, "a < " + "b c " * 250_000 + "<p>", "<p " + "a='1' " * 200_000 + ">t", "&" * (1 << 20)])
 def test_page_text_of_long_odd_pages(spark, html):
     rows = spark.createDataFrame([(html,)], "html string")
-    assert rows.select(F.length(page_text(F.col("html")))).first()[0] >= 1
+    assert with_page_text(rows).select(F.length("text")).first()[0] >= 1
 
 
 def test_stamps_count_by_source(spark):
