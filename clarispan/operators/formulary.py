@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clarispan.functions.scalars import half_up
@@ -76,3 +76,10 @@ def flatten_suggestions(responses: DataFrame) -> DataFrame:
     low = F.lower("s.label")
     rank = F.when(low.contains("(oral pill)"), F.when(low.rlike(r"\bsensor\b"), 0.5).otherwise(0.0)).when(low.contains("oral"), 1.0).otherwise(2.0)
     return rows.select("response_id", "rxcui", "s.label", rank.alias("rank"), "s.i", "s.j")
+
+
+def first_suggestions(responses: DataFrame, limit: int = 20) -> DataFrame:
+    """Each response's suggestions in their final order: `position` from 1 to the limit."""
+    order = Window.partitionBy("response_id").orderBy("rank", "i", "j")
+    rows = flatten_suggestions(responses).withColumn("position", F.row_number().over(order))
+    return rows.where(F.col("position") <= limit).select("response_id", "position", "rxcui", "label", "rank")

@@ -31,6 +31,15 @@ def active_only(ledger: DataFrame) -> DataFrame:
     return g.select("key", "r.*")
 
 
+def survivors(ledger: DataFrame) -> DataFrame:
+    """Ledger rows (stable_key, created, withdrawn) with the number of later generations of their key that are not
+    withdrawn, and whether they may be retired: an active and a rollback generation must remain."""
+    later = Window.partitionBy("key").orderBy("__at").rangeBetween(1, Window.unboundedFollowing)
+    rows = ledger.withColumn("key", ledger_key(F.col("stable_key"))).withColumn("__at", F.unix_micros("created"))
+    rows = rows.withColumn("survivors", F.coalesce(F.sum(F.when(F.col("withdrawn"), 0).otherwise(1)).over(later), F.lit(0).cast("long")))
+    return rows.withColumn("may_retire", ~F.col("withdrawn") & (F.col("survivors") >= 2)).drop("__at")
+
+
 def regressions(arrivals: DataFrame) -> DataFrame:
     """Marks arrivals (key, source_date, arrival) whose date is before one that arrived earlier."""
     before = Window.partitionBy("key").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)

@@ -54,11 +54,6 @@ def stamps(answers: DataFrame, by: list[str] = CLAIM) -> DataFrame:
     return rows.select(*by, "v.source", "v.value", "v.n", listed(True).alias("agrees_with"), listed(False).alias("conflicts_with"))
 
 
-def stamp(answers: DataFrame, by: list[str] = CLAIM) -> DataFrame:
-    """Adds to each known answer the sources of the other known answers that agree and conflict with it."""
-    return answers.join(stamps(answers, by).drop("n"), [*by, "source", "value"]).select(*answers.columns, "agrees_with", "conflicts_with")
-
-
 def latest(answers: DataFrame, by: list[str] = CLAIM) -> DataFrame:
     """One answer for each claim and source, the last one retrieved (then by its other columns)."""
     order = ["fetched_at", "source_last_updated", "value", "confidence"]

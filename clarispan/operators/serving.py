@@ -66,6 +66,14 @@ def finished_shards(rows: DataFrame, done: DataFrame, shard: str = "shard") -> D
     return rows.join(done.select(shard).distinct(), shard, "left_semi")
 
 
+def shard_files(shards: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Shards (shard, file_url) with what the manifest (file_url, plan fields) says of their files: the number of its plans and
+    its reporting entity. A shard without plans stays, with none."""
+    plans = manifest.select("file_url", "plan_id_type", "plan_id", "plan_name", "reporting_entity").distinct()
+    g = plans.groupBy("file_url").agg(F.count("*").alias("plans"), F.min("reporting_entity").alias("reporting_entity"))
+    return shards.join(g, "file_url", "left").withColumn("plans", F.coalesce("plans", F.lit(0).cast("long")))
+
+
 def replace_partitions(rows: DataFrame, path: str, by: list[str]) -> None:
     """Replaces the partitions that rows have and leaves the others: a load that is run again gives the
     same table."""

@@ -114,15 +114,18 @@ def partd_plan_search(spark, sf_dir):
     return formulary.search(drug_plans(spark, sf_dir), 2026, "CA", 25, "00").select("plan_name", "contract_id", "plan_id", "segment_id")
 
 
+def suggestion_responses(spark, sf_dir):
+    k = F.col("p_partkey")
+    form = F.when(k % 3 == 0, "(Oral Pill)").when(k % 3 == 1, "Oral Liquid").otherwise("Injectable")
+    item = F.struct(k.alias("k"), F.col("p_name").alias("n"), F.array(form).alias("f"), F.array(F.when(k % 7 != 0, F.col("p_size").cast("string"))).alias("r"))
+    response = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("response_id")).agg(F.array_sort(F.collect_list(item)).alias("x"))
+    return response.select("response_id", F.col("x.n").alias("names"), F.col("x.f").alias("forms"), F.col("x.r").alias("rxcuis"))
+
+
 @query("""
 WITH p AS (SELECT p_brand AS response_id, p_partkey, p_name, p_type, CAST(p_size AS VARCHAR) AS rxcui FROM part),
 l AS (SELECT response_id, rxcui, p_name || ' ' || CASE p_partkey % 3 WHEN 0 THEN '(Oral Pill)' WHEN 1 THEN 'Oral Liquid' ELSE 'Injectable' END AS label, p_partkey FROM p WHERE p_partkey % 7 <> 0)
 SELECT response_id, rxcui, label, CASE WHEN contains(lower(label), '(oral pill)') THEN 0.0::DOUBLE WHEN contains(lower(label), 'oral') THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS rank
 FROM l QUALIFY row_number() OVER (PARTITION BY response_id, rxcui ORDER BY p_partkey) = 1""")
 def drug_suggestions(spark, sf_dir):
-    k = F.col("p_partkey")
-    form = F.when(k % 3 == 0, "(Oral Pill)").when(k % 3 == 1, "Oral Liquid").otherwise("Injectable")
-    item = F.struct(k.alias("k"), F.col("p_name").alias("n"), F.array(form).alias("f"), F.array(F.when(k % 7 != 0, F.col("p_size").cast("string"))).alias("r"))
-    response = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("response_id")).agg(F.array_sort(F.collect_list(item)).alias("x"))
-    response = response.select("response_id", F.col("x.n").alias("names"), F.col("x.f").alias("forms"), F.col("x.r").alias("rxcuis"))
-    return formulary.flatten_suggestions(response).select("response_id", "rxcui", "label", "rank")
+    return formulary.flatten_suggestions(suggestion_responses(spark, sf_dir)).select("response_id", "rxcui", "label", "rank")

@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from clarispan.operators import admission, checks, contents, eligibility, network_files, publication, quotas, registries, watch
+from clarispan.operators import admission, checks, contents, eligibility, formulary, network_files, publication, quotas, registries, serving, watch
 from clarispan.plans.base import query, table
-from clarispan.plans.formularies import DRUGS, formulary_drugs
-from clarispan.plans.network import FILES, LINKS, files, links
+from clarispan.plans.formularies import DRUGS, formulary_drugs, suggestion_responses
+from clarispan.plans.network import FILES, GROUPS, LINKS, files, groups, links
 from clarispan.plans.registers import EMPLOYERS, PAGE_TEXT, employer_rows
 from clarispan.shared import materialise, shared_folder
 from clarispan.sources import catalogs, sinks, text
@@ -362,3 +362,42 @@ def household_validation(spark, sf_dir):
         F.when(k % 13 != 0, F.col("c_acctbal")).alias("income"), F.when(k % 17 == 0, 130.0).when(k % 19 == 0, 30.5).otherwise((k % 90).cast("double")).alias("age"), F.when(k % 6 == 1, 2).when(k % 6 == 2, 13).when(k % 6 > 2, 1).alias("household_size"),
         F.when((k % 3 == 2) & (k % 7 == 0), "offered").when(k % 3 > 0, "none").alias("employer_offer"))
     return checks.household_problems(rows, [2025, 2026, 2027]).select("request_id", "problem")
+
+
+@query("WITH" + GROUPS + """,
+allowed AS (SELECT DISTINCT CAST(s_suppkey + 1000000000 AS VARCHAR) AS npi FROM supplier WHERE s_nationkey % 2 = 0)
+SELECT file_id, npi, tin_value, tin_type FROM classed JOIN allowed USING (npi) WHERE class = 'ok' QUALIFY row_number() OVER (PARTITION BY file_id, npi, tin_value ORDER BY ord, l_returnflag, pos) = 1""")
+def membership_allowlist(spark, sf_dir):
+    allowed = table(spark, sf_dir, "supplier").where("s_nationkey % 2 = 0").select((F.col("s_suppkey") + 1000000000).cast("string").alias("npi"))
+    return network_files.extract_memberships(groups(spark, sf_dir), allowed)[0]
+
+
+@query("""
+WITH l AS (SELECT event_id, user_id % 40 AS k, ts, event_type = 'refund' OR event_id % 6 = 0 AS withdrawn FROM events)
+SELECT a.event_id, coalesce(sum(CASE WHEN withdrawn THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY epoch_us(ts) RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS survivors,
+  NOT withdrawn AND coalesce(sum(CASE WHEN withdrawn THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY epoch_us(ts) RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) >= 2 AS may_retire FROM l a""")
+def retirement_survivors(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    key = F.concat(F.lit("https://x.example/"), F.date_format("ts", "yyyy-MM-dd"), F.lit("_"), (F.col("user_id") % 40).cast("string"))
+    rows = e.select("event_id", key.alias("stable_key"), F.col("ts").alias("created"), ((F.col("event_type") == "refund") | (F.col("event_id") % 6 == 0)).alias("withdrawn"))
+    return publication.survivors(rows).select("event_id", "survivors", "may_retire")
+
+
+@query("""
+WITH l AS (SELECT p_brand AS response_id, CAST(p_size AS VARCHAR) AS rxcui, p_name || ' ' || CASE p_partkey % 3 WHEN 0 THEN '(Oral Pill)' WHEN 1 THEN 'Oral Liquid' ELSE 'Injectable' END AS label, p_partkey FROM part WHERE p_partkey % 7 <> 0),
+f AS (SELECT *, CASE WHEN contains(lower(label), '(oral pill)') THEN 0.0::DOUBLE WHEN contains(lower(label), 'oral') THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS rank FROM l QUALIFY row_number() OVER (PARTITION BY response_id, rxcui ORDER BY p_partkey) = 1)
+SELECT response_id, CAST(row_number() OVER (PARTITION BY response_id ORDER BY rank, p_partkey) AS INTEGER) AS position, rxcui, label, rank FROM f QUALIFY position <= 20""")
+def drug_suggestion_order(spark, sf_dir):
+    return formulary.first_suggestions(suggestion_responses(spark, sf_dir))
+
+
+@query("""
+WITH m AS (SELECT DISTINCT o_orderkey % 60 AS f, CASE WHEN c_custkey % 9 = 0 THEN 'A' ELSE c_name END AS n, c_custkey % 2 AS t, c_custkey % 500 AS p, CAST(c_nationkey AS VARCHAR) AS e FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderkey % 60 < 40),
+g AS (SELECT f, count(*) AS plans, min(e) AS reporting_entity FROM m GROUP BY f)
+SELECT o_orderkey AS shard, 'https://files.example/' || CAST(o_orderkey % 60 AS VARCHAR) AS file_url, coalesce(plans, 0) AS plans, reporting_entity FROM orders LEFT JOIN g ON f = o_orderkey % 60""")
+def shard_manifest(spark, sf_dir):
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    k, url = F.col("c_custkey"), F.concat(F.lit("https://files.example/"), (F.col("o_orderkey") % 60).cast("string")).alias("file_url")
+    manifest = c.join(o.where("o_orderkey % 60 < 40"), F.col("o_custkey") == k).select(
+        url, F.when(k % 2 == 0, "ein").otherwise("hios").alias("plan_id_type"), (k % 500).cast("string").alias("plan_id"), F.when(k % 9 == 0, "A").otherwise(F.col("c_name")).alias("plan_name"), F.col("c_nationkey").cast("string").alias("reporting_entity"))
+    return serving.shard_files(o.select(F.col("o_orderkey").alias("shard"), url), manifest)

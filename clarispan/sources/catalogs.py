@@ -68,10 +68,13 @@ def issuer_records(text: Column, wrapper: str, spec: str) -> Column:
     return F.when(F.ltrim(text).startswith("["), F.coalesce(plain, F.array())).otherwise(F.coalesce(wrapped, F.array()))
 
 
-def plans_of_source(structures: DataFrame, url: str) -> DataFrame:
-    """Distinct plans of the structures (plans, files) that name a file; none is an error at the caller."""
+def plans_of_source(structures: DataFrame, url: str, needed: bool = False) -> DataFrame:
+    """Distinct plans of the structures (plans, files) that name a file. Needed: having none is an error."""
     named = structures.where(F.exists("files", lambda f: f["location"] == url)).select(F.explode("plans").alias("p")).select("p.*")
-    return named.withColumn("plan_id_type", F.lower("plan_id_type")).distinct()
+    found = named.withColumn("plan_id_type", F.lower("plan_id_type")).distinct()
+    if needed and found.isEmpty():
+        raise ValueError("no plan names this source")
+    return found
 
 
 def selected_contents(structures: DataFrame, selected: DataFrame) -> DataFrame:

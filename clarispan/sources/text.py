@@ -76,7 +76,7 @@ def read_form_5500(spark: SparkSession, paths: list[str]) -> DataFrame:
         part = df.select(
             *[pick(df, v).alias(k) for k, v in FORM_5500.items() if k not in ("participants", "plan_year")],
             F.regexp_replace(pick(df, FORM_5500["participants"]), r"\D", "").try_cast("int").alias("participants"), year,
-            F.struct(F.lit(n).alias("file"), F.col("ord").alias("line")).alias("ord"))
+            F.lit("5500-SF" if any(c.upper().startswith("SF_") for c in df.columns) else "5500").alias("form"), F.struct(F.lit(n).alias("file"), F.col("ord").alias("line")).alias("ord"))
         out = part if out is None else out.unionByName(part)
     return out
 

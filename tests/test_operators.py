@@ -32,12 +32,6 @@ def test_reconcile(spark, votes, verdict, consensus, confidence):
     assert (r["verdict"], r["consensus"], r["reconciled_confidence"]) == (verdict, consensus, confidence)
 
 
-def test_stamps_name_other_answers_of_the_same_source(spark):
-    rows = [("PROVIDER", "1", "P", s, v, 0.6) for s, v in (("A", "yes"), ("A", "yes"), ("B", "no"))]
-    got = sorted((r["source"], r["agrees_with"], r["conflicts_with"]) for r in reconcile.stamp(spark.createDataFrame(rows, ANSWER)).collect())
-    assert got == [("A", "A", "B"), ("A", "A", "B"), ("B", "", "A,A")]
-
-
 @pytest.mark.parametrize("url, key, path", [
     ("https://X.org/a/b?v=2&Signature=q&a=1&&Expires=3", "https://x.org/a/b?v=2&a=1", "/a/b?v=2&a=1"), ("https://x.org", "https://x.org/", "/"), ("https://x.org:443/a?%53ignature=1", "https://x.org/a", "/a"),
     ("/a/b?X-Amz-Date=1&p=/q?r", "path:/a/b?p=/q?r", "/a/b?p=/q?r"), ("//x/a", None, None), ("http://x.org/a", None, None), ("https://u@x.org/a", None, None), ("https://x.org:8443/a", None, None), ("https://x.org/a#b", None, None)])
