@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clarispan.functions.scalars import contains_text, days_between, fresh_file
+from clarispan.operators.ranking import ranked_within
 from clarispan.policy import FILE_FRESH_DAYS
 
 
@@ -140,9 +141,8 @@ def search_plans(
     through its entries, all of them, and a set's issuer is that of its smallest eligible file.
     """
     fields = ["plan_id_type", "plan_id", "plan_name", "plan_market_type", "reporting_entity"]
-    turn = Window.partitionBy("reporting_entity").orderBy("file_id")
     single = eligible if sets is None else eligible.join(sets, "file_id", "left_anti")
-    files = single.select("file_id", "reporting_entity").withColumn("turn", F.row_number().over(turn))
+    files = ranked_within(single.select("file_id", "reporting_entity"), "reporting_entity", [F.asc("file_id")], "turn")
     hits = links.where(contains_text(F.col("plan_name"), query)).join(files, "file_id")
     first = Window.partitionBy("file_id").orderBy("plan_name", "plan_id_type", "plan_id")
     hits = hits.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_file)

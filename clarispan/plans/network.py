@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clarispan.functions.scalars import shard_name, url_identity
 from clarispan.operators import network_files as nf
 from clarispan.operators import publication
-from clarispan.operators.ranking import ranked
+from clarispan.operators.ranking import ranked, ranked_within
 from clarispan.plans.base import AS_OF, as_of, query, table
 
 
@@ -209,10 +209,7 @@ def plan_search_interleave(spark, sf_dir):
 turns AS (SELECT file_id, reporting_entity, row_number() OVER (PARTITION BY reporting_entity ORDER BY file_id) AS turn FROM eligible)
 SELECT file_id, reporting_entity, turn, row_number() OVER (ORDER BY turn, reporting_entity, file_id) AS place FROM turns""")
 def plan_search_interleave_all(spark, sf_dir):
-    """An issuer's turns are its files' places less the place of its first: no window over an issuer's files."""
-    files = ranked(_eligible(spark, sf_dir).select("file_id", "reporting_entity"), [F.asc("reporting_entity"), F.asc("file_id")], "nth")
-    first = files.groupBy("reporting_entity").agg(F.min("nth").alias("first"))
-    turns = files.join(first, "reporting_entity").select("file_id", "reporting_entity", (F.col("nth") - F.col("first") + 1).alias("turn"))
+    turns = ranked_within(_eligible(spark, sf_dir).select("file_id", "reporting_entity"), "reporting_entity", [F.asc("file_id")], "turn")
     return ranked(turns, [F.asc("turn"), F.asc("reporting_entity"), F.asc("file_id")], "place")
 
 
