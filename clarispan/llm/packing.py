@@ -4,7 +4,7 @@ Documents are encoded and closed by an end id. Whole windows of a long document
 own; what is left of each document goes to a shard of about SHARD_DOCS documents. A shard has an
 inverted BM25 index over the token ids of its whole documents, with the document frequencies and the
 mean length of all rows. A window starts with a seed document, which asks the index for its
-best unused neighbours, and they fill the window in that order; the one that does not fit is cut and
+best unused neighbours, as many as the window takes, and they fill it in that order; the one that does not fit is cut and
 its rest seeds the next window, so windows are full. What remains at a shard's end is cut into
 sequences of power-of-two lengths, which need no padding.
 
@@ -163,21 +163,24 @@ class ShardIndex:
         self.doc, self.weight = doc[order], weight[order]  # by term
         self.start = np.searchsorted(term[order], np.arange(len(terms) + 1))
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents with a positive score, best first, at most NEIGHBOURS."""
+    def neighbours(self, seed: int, unused: np.ndarray, length: np.ndarray | None = None, room: int = 0) -> np.ndarray:
+        """Unused documents with a positive score, best first: the best NEIGHBOURS, and as many more as fill the room."""
         t = self.terms[self.edge[seed] : self.edge[seed + 1]]
         a, n = self.start[t], self.start[t + 1] - self.start[t]
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
         score = np.where(unused, np.bincount(self.doc[at], self.weight[at], self.n), 0.0)
-        best = np.argpartition(-score, NEIGHBOURS)[:NEIGHBOURS] if self.n > NEIGHBOURS else np.arange(self.n)
-        best = best[np.lexsort((best, -score[best]))]
-        return best[score[best] > 0]
+        some, k = np.flatnonzero(score > 0), NEIGHBOURS
+        while True:
+            best = some if k >= len(some) else some[np.argpartition(-score[some], k)[:k]]
+            if len(best) == len(some) or length is None or length[best].sum() >= room:
+                return best[np.lexsort((best, -score[best]))]
+            k *= 4
 
 
 def pack(docs: list[np.ndarray], index: ShardIndex, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
     """Sequences of pieces (document, from, to) of the documents' last ids; all are full but the last ones, which have
     power-of-two lengths."""
-    unused = np.ones(len(docs), bool)
+    unused, length = np.ones(len(docs), bool), np.array([len(d) for d in docs], np.int64)
     sequences, now, free, at = [], [], window, 0
 
     def add(d: int, a: int) -> None:
@@ -204,7 +207,7 @@ def pack(docs: list[np.ndarray], index: ShardIndex, window: int = WINDOW) -> lis
             unused[seed] = False
             add(seed, 0)
         filled = len(sequences)
-        for d in index.neighbours(seed, unused).tolist():
+        for d in index.neighbours(seed, unused, length, free).tolist():
             if len(sequences) > filled:
                 break
             unused[d] = False

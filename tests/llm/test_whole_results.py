@@ -209,3 +209,18 @@ def test_windows_are_filled_by_the_seed_s_neighbours():
     best = index.neighbours(0, unused).tolist()
     first = [d for d, _, _ in sequences[0]]
     assert first[0] == 0 and first[1:] == best[: len(first) - 1]
+
+
+def test_a_window_takes_more_than_the_first_neighbours():
+    """200 short documents on a topic of rare ids among 500 others: the seed's window holds them before any other."""
+    rng = np.random.default_rng(11)
+    topic = rng.choice(800, 200, replace=False)
+    ids = [np.concatenate([rng.integers(1000, 1010, 2), rng.integers(0, 500, 3)]).astype(np.uint32) if d in set(topic.tolist()) else rng.integers(0, 500, 5).astype(np.uint32) for d in range(800)]
+    size = np.array([len(x) for x in ids])
+    corpus = packing.Corpus(len(ids), int(size.sum()), np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=1010))
+    index, unused, seed = packing.ShardIndex(ids, [None] * len(ids), size, corpus), np.ones(800, bool), int(topic[0])
+    unused[seed] = False
+    few, many = index.neighbours(seed, unused), index.neighbours(seed, unused, size, 600)
+    assert len(few) == packing.NEIGHBOURS and size[many].sum() >= 600 and many[: len(few)].tolist() == few.tolist() and len(many) > len(few)
+    every = index.neighbours(seed, unused, size, 10**9)
+    assert len(every) > len(many) - 1 and len(set(every.tolist())) == len(every) and seed not in every
