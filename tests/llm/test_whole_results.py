@@ -220,7 +220,7 @@ def test_a_window_takes_more_than_the_first_neighbours():
     corpus = packing.Corpus(len(ids), int(size.sum()), np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=1010))
     index, unused, seed = packing.ShardIndex(ids, [None] * len(ids), size, corpus), np.ones(800, bool), int(topic[0])
     unused[seed] = False
-    few, many = index.neighbours(seed, unused), index.neighbours(seed, unused, size, 600)
-    assert len(few) == packing.NEIGHBOURS and size[many].sum() >= 600 and many[: len(few)].tolist() == few.tolist() and len(many) > len(few)
+    few, many = index.neighbours(seed, unused), index.neighbours(seed, unused, size, 300)
+    assert len(few) == packing.NEIGHBOURS and size[many].sum() >= 300 and many[: len(few)].tolist() == few.tolist() and len(many) > len(few)
     every = index.neighbours(seed, unused, size, 10**9)
     assert len(every) > len(many) - 1 and len(set(every.tolist())) == len(every) and seed not in every
