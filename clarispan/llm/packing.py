@@ -171,9 +171,10 @@ class ShardIndex:
         score = np.where(unused, np.bincount(self.doc[at], self.weight[at], self.n), 0.0)
         some, k = np.flatnonzero(score > 0), NEIGHBOURS
         while True:
-            best = some if k >= len(some) else some[np.argpartition(-score[some], k)[:k]]
+            best = some if k >= len(some) else some[score[some] >= np.partition(score[some], len(some) - k)[len(some) - k]]
+            best = best[np.lexsort((best, -score[best]))][:k]
             if len(best) == len(some) or length is None or length[best].sum() >= room:
-                return best[np.lexsort((best, -score[best]))]
+                return best
             k *= 4
 
 
