@@ -39,6 +39,8 @@ from clarispan.llm.common import materialise, resident, small_batches, table, te
 VOCABULARY = "word_bpe_49k.json"
 WINDOW, END = 2048, 1
 SHARD_DOCS = 2048
+#: Most range partitions of a table; where there are more shards, a partition holds several, cut from its order.
+MOST_PARTS = 20_000
 K1, B = 1.2, 0.75
 HASHES = 3
 NEIGHBOURS = 32
@@ -340,7 +342,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDO
     made = materialise(rows.mapInArrow(tokens, ENCODED), "packing")
     encoded = made.where("row is not null")
     corpus = statistics(encoded)
-    parts = placed(encoded.where("length > 0"), corpus).repartitionByRange(max(1, -(-corpus.n // shard_docs)), "place", "row")
+    parts = placed(encoded.where("length > 0"), corpus).repartitionByRange(min(MOST_PARTS, max(1, -(-corpus.n // shard_docs))), "place", "row")
     whole = made.where("row is null").select(names[:7])
     return whole.unionAll(parts.sortWithinPartitions("place", "row").mapInArrow(windows, PIECE))
 
