@@ -8,8 +8,10 @@ then position) stays, all others are removed from their documents. Trimming take
 A line is cut into one segment more than its edits: a line within them holds one of the segments unchanged,
 at a place that its length bounds. Lines therefore meet under keys of (length, segment, its text);
 only keys that two different lines share live on. Lines under such keys are fetched by a fixed-size
-bitmap of their hashes and verified in batches by banded bit-parallel edit distance. Groups above a
-size are cut into chunks and every pair of chunks is a unit of work that returns a spanning forest.
+bitmap of their hashes and verified in batches by banded bit-parallel edit distance. Lines of a key that very many
+share meet under finer keys instead: what such a line has beside the segment is within the same edits, and is cut
+into segments again, one of which must agree too. Groups that stay above a size are cut into chunks, and every pair of
+chunks is a unit of work that returns a spanning forest.
 
 Defined cases: a null text has no lines and stays null; blank lines (of ASCII white space, CRLF ends included) are never removed; rows with a
 null doc_id take no part and stay as they are; rows that repeat a doc_id count as one document, each
@@ -29,6 +31,8 @@ from clarispan.llm.common import components, forest, materialise, pair_slabs, re
 
 THRESHOLD, CHARS_PER_EDIT = 2, 12
 CHUNK = 256
+#: Lines of a key above which they meet under finer keys.
+MANY = 4096
 #: Characters of the pairs that are verified at once.
 CELLS = 1 << 21
 #: Bits of the bitmap that lets lines with a live key through; more candidates let more lines through.
@@ -93,6 +97,31 @@ def _keys(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(line, pa.int64()), pa.array(own, pa.bool_())], ["key", "h1", "own"])
 
 
+def _finer(batches):
+    """Of rows (key, node, line) of hot keys, rows (key, own, node, line) under finer keys: the key and a segment of what
+    the line has beside the key's own segment; a line's own segments, and the places near them where another line's may be."""
+    resident("lines", dict)
+    digest, plans = xxhash.xxh64_intdigest, {}
+    for b in batches:
+        out: list[tuple] = []
+        for key, node, line in zip(*(b.column(i).to_pylist() for i in range(3))):
+            n, unsigned = len(line), key & ((1 << 64) - 1)
+            if n not in plans:
+                plans[n] = probes(n)
+            found = set()
+            for e, (seed, a, k) in enumerate([*plans[n][0], *plans[n][1]]):
+                if digest(line[a : a + k], seed) != unsigned:
+                    continue
+                rest, least = line[:a] + line[a + k :], seed // (THRESHOLD + 1)
+                most = allowed(least)
+                for j, (at, size) in enumerate(segments(least - k, most)):
+                    for start in range(max(0, at - most), min(at + most, len(rest) - size) + 1):
+                        found.add((digest(rest[start : start + size], unsigned ^ (j + 1)), e < len(plans[n][0]) and start == at))
+            out += [(x, mine, node, line) for x, mine in found]
+        key = np.fromiter((x for x, *_ in out), np.uint64, len(out)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array([x[i] for x in out], kind) for i, kind in ((1, pa.bool_()), (2, pa.string()), (3, pa.string())))], ["key", "own", "node", "line"])
+
+
 def _live(batches):
     """Of rows sorted by (key, h1), those of keys with two different lines, each (key, h1, own) once."""
     last = None  # key, h1, own of a row whose key has one line so far
@@ -248,10 +277,17 @@ def near_line_links(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
     found = long.select("h1", "h2", "line").mapInArrow(fetch, "h1 long, h2 long, line string")
     found = found.groupBy("h1", "h2").agg(F.first("line").alias("line"))
-    shared = live.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("owned")).where("n > 1 AND owned").drop("owned")
-    rows = live.join(shared, "key").join(found, "h1").withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
-    rows = rows.withColumn("c", F.pmod(F.xxhash64("h1", "h2"), F.col("chunks")).cast("int"))
-    unit = rows.select("key", "own", _node().alias("node"), "line", "c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o"))
+    shared = materialise(live.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("owned")).where("n > 1 AND owned").drop("owned"), "line-shared")
+    rows = live.join(shared, "key").join(found, "h1").select("key", "own", _node().alias("node"), "line", "n")
+    if not shared.where(F.col("n") > MANY).isEmpty():
+        rows = materialise(rows, "line-rows")
+        fine = rows.where(F.col("n") > MANY).select("key", "node", "line").mapInArrow(_finer, "key long, own boolean, node string, line string")
+        fine = materialise(fine.groupBy("key", "node").agg(F.max("own").alias("own"), F.first("line").alias("line")), "line-finer")
+        again = fine.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("owned")).where("n > 1 AND owned").drop("owned")
+        rows = rows.where(F.col("n") <= MANY).unionByName(fine.join(again, "key"))
+    rows = rows.withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
+    rows = rows.withColumn("c", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    unit = rows.select("key", "own", "node", "line", "c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o"))
     unit = unit.select("key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "own", "node", "line")
     return unit.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_links, "src string, dst string")
 

@@ -149,7 +149,10 @@ def test_banded_distance(monkeypatch):
     assert line_dedup.within(left, right).tolist() == [near(a, b) for a, b in zip(left, right)]
 
 
-def test_lines_match_all_pairs(spark):
+@pytest.mark.parametrize("many, chunk", [(4096, 256), (2, 3), (6, 256)])
+def test_lines_match_all_pairs(spark, monkeypatch, many, chunk):
+    monkeypatch.setattr(line_dedup, "MANY", many)
+    monkeypatch.setattr(line_dedup.near_line_links, "__defaults__", (chunk,))
     rng = random.Random(9)
     lines = ["".join(rng.choice("abcdefgh ") for _ in range(rng.choice([8, 9, 10, 11, 12, 13, 21, 22, 23, 24, 25, 40]))).strip() + "." for _ in range(60)]
     docs = []
@@ -411,3 +414,36 @@ def test_packing_statistics_cover_whole_documents(spark):
     word = packing.WordEncoder(public_tokenizers.path(packing.VOCABULARY)).encode(["red", "blue", "green"])
     assert seen[0].n == 9 and [int(seen[0].df[w[0]]) for w in word] == [1, 1, 8] and seen[0].mean == (3002 + 16) / 9
     assert sum(r["length"] for r in got) == 3002 + 16
+
+
+def test_lines_of_a_hot_segment_meet_under_finer_keys(spark, monkeypatch):
+    """Many lines begin alike; their classes are those of all pairs, and groups of the finer keys are small."""
+    monkeypatch.setattr(line_dedup, "MANY", 50)
+    rng = random.Random(12)
+    lines = []
+    for _ in range(400):
+        line = "Copyright notice " + "".join(rng.choices("abcdefghij", k=rng.choice([4, 5, 9, 12])))
+        lines.append(line)
+        if rng.random() < 0.5:
+            s = list(line)
+            for _ in range(rng.choice([1, 1, 2])):
+                at = rng.randrange(17, len(s)) if rng.random() < 0.8 else rng.randrange(len(s))
+                s[at : at + rng.randrange(2)] = rng.choice(["", "z", "yx"])
+            lines.append("".join(s).strip())
+    distinct, root = list(dict.fromkeys(lines)), {}
+
+    def find(s):
+        while root.get(s, s) != s:
+            s = root[s]
+        return s
+
+    for i, a in enumerate(distinct):
+        for b in distinct[:i]:
+            if abs(len(a) - len(b)) <= 2 and near(a, b):
+                root[find(a)] = find(b)
+    first, want = {}, set()
+    for at, s in enumerate(lines):
+        if first.setdefault(find(s), at) != at:
+            want.add((at, first[find(s)]))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    assert {(r["doc_id"], r["kept_doc"]) for r in line_dedup.duplicates(docs).collect()} == want and len(want) > 100
