@@ -17,6 +17,7 @@ like a result (score, predicted) are replaced by it.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 from operator import eq
 
@@ -130,6 +131,7 @@ def fit_additive(x: np.ndarray, y: np.ndarray) -> Additive:
     model.intercept = float(np.log((ones + 1) / (len(y) - ones + 1e-3)))
     model.tables = [np.zeros(len(e) + 1) for e in model.edges]
     if not len(y):
+        warnings.warn("no labelled rows to learn from: every document is taken as good", stacklevel=2)
         model.intercept = 50.0
         return model
     bins = [np.searchsorted(e, c, "right") for e, c in zip(model.edges, x.T)]
