@@ -21,6 +21,9 @@ columns stay, but those named like a result of without_duplicates (removed, kept
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -241,7 +244,10 @@ def lines_of(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, pos, line, h1, h2) of the non-blank lines, trimmed."""
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     rows = rows.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    rows = rows.select("doc_id", "pos", F.trim("line", F.lit(BLANK)).alias("line")).where("line <> ''")
+    # Trimming other characters than blanks walks the whole line, so only lines that begin or end with one pay for it.
+    plain = F.trim("line")
+    odd = reduce(or_, (f(plain, F.lit(c)) for c in BLANK[1:] for f in (F.startswith, F.endswith)))
+    rows = rows.select("doc_id", "pos", F.when(odd, F.trim(plain, F.lit(BLANK))).otherwise(plain).alias("line")).where("line <> ''")
     return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
