@@ -33,8 +33,10 @@ def active_only(ledger: DataFrame) -> DataFrame:
 
 def survivors(ledger: DataFrame) -> DataFrame:
     """Ledger rows (stable_key, created, withdrawn) with the number of later generations of their key that are not
-    withdrawn, and whether they may be retired: an active and a rollback generation must remain."""
-    later = Window.partitionBy("key").orderBy("__at").rangeBetween(1, Window.unboundedFollowing)
+    withdrawn, and whether they may be retired: an active and a rollback generation must remain.
+
+    The newest come first, as Spark sums a frame that grows in one pass and one that shrinks anew for each row."""
+    later = Window.partitionBy("key").orderBy(F.desc("__at")).rangeBetween(Window.unboundedPreceding, -1)
     rows = ledger.withColumn("key", ledger_key(F.col("stable_key"))).withColumn("__at", F.unix_micros("created"))
     rows = rows.withColumn("survivors", F.coalesce(F.sum(F.when(F.col("withdrawn"), 0).otherwise(1)).over(later), F.lit(0).cast("long")))
     return rows.withColumn("may_retire", ~F.col("withdrawn") & (F.col("survivors") >= 2)).drop("__at")

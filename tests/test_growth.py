@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from clarispan.operators import cost
+from clarispan.operators import cost, publication
 
 
 def plan_of(df) -> str:
@@ -18,3 +18,13 @@ def test_counties_meet_requests_once(spark):
     out = cost.resolve_counties(listed, asked)
     assert re.search(r"Aggregate \[zip#\d+, county_state", plan_of(out))
     assert {r["request_id"]: (r["resolution"], r["county"]) for r in out.collect()} == {1: ("unique", "S1:7"), 2: ("ambiguous", None), 3: ("state_mismatch", None), 4: ("not_found", None)}
+
+
+def test_survivors_in_one_pass(spark):
+    """Before, the frame ended at the key's last row and was summed anew for each row."""
+    rows = spark.range(400).select(F.col("id"), F.lit("k").alias("stable_key"), F.timestamp_seconds(F.col("id") % 100).alias("created"), (F.col("id") % 3 == 0).alias("withdrawn"))
+    out = publication.survivors(rows)
+    assert "unboundedfollowing" not in plan_of(out).lower().replace(" ", "")
+    want = {i: sum(j % 3 > 0 and j % 100 > i % 100 for j in range(400)) for i in range(400)}
+    got = {r["id"]: (r["survivors"], r["may_retire"]) for r in out.collect()}
+    assert got == {i: (n, i % 3 > 0 and n >= 2) for i, n in want.items()}
