@@ -5,6 +5,9 @@ import re
 from pyspark.sql import functions as F
 
 from clarispan.operators import cost, publication
+from clarispan.plans import registry
+
+DIR = "/root/testdata/sf0.001"
 
 
 def plan_of(df) -> str:
@@ -28,3 +31,9 @@ def test_survivors_in_one_pass(spark):
     want = {i: sum(j % 3 > 0 and j % 100 > i % 100 for j in range(400)) for i in range(400)}
     got = {r["id"]: (r["survivors"], r["may_retire"]) for r in out.collect()}
     assert got == {i: (n, i % 3 > 0 and n >= 2) for i, n in want.items()}
+
+
+def test_pairs_are_made_and_ranked_where_they_are(spark):
+    """Before, pairs met their drugs by another shuffle of all pairs, and were shuffled again by household."""
+    plan = lambda name: registry.QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan("true_costs").count("Exchange hashpartitioning") == 2  # each side once
