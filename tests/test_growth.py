@@ -37,3 +37,4 @@ def test_pairs_are_made_and_ranked_where_they_are(spark):
     """Before, pairs met their drugs by another shuffle of all pairs, and were shuffled again by household."""
     plan = lambda name: registry.QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
     assert plan("true_costs").count("Exchange hashpartitioning") == 2  # each side once
+    assert plan("true_cost_rank_all").count("Exchange hashpartitioning") == 2
