@@ -1,5 +1,6 @@
 """Operators whose work must grow with their input: plans, and values on inputs with many repeats."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -38,3 +39,15 @@ def test_pairs_are_made_and_ranked_where_they_are(spark):
     plan = lambda name: registry.QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
     assert plan("true_costs").count("Exchange hashpartitioning") == 2  # each side once
     assert plan("true_cost_rank_all").count("Exchange hashpartitioning") == 2
+
+
+def test_least_outdone_keeps_the_best(spark):
+    """Before, all plans of a market met each household."""
+    draw = random.Random(5)
+    rows = [(n, draw.randrange(40), float(draw.randrange(60))) for n in draw.sample(range(3000), 1500)]
+    kept = {r["plan"] for r in cost.least_outdone(spark.createDataFrame([(n, k % 3, x) for n, k, x in rows], "plan long, design int, premium double"), ["design"], 3).collect()}
+    assert 9 <= len(kept) < 200
+    for credit in (0.0, 3.0, 17.5, 100.0):
+        for design in range(3):
+            best = sorted((max(0.0, x - credit), n) for n, k, x in rows if k % 3 == design)[:3]
+            assert {n for _, n in best} <= kept
