@@ -51,3 +51,10 @@ def test_least_outdone_keeps_the_best(spark):
         for design in range(3):
             best = sorted((max(0.0, x - credit), n) for n, k, x in rows if k % 3 == design)[:3]
             assert {n for _, n in best} <= kept
+
+
+def test_regressions_of_equal_arrivals(spark):
+    """Before, what arrived under one number was ordered by the partitions that it came from."""
+    rows = spark.createDataFrame([("k", 20 + i % 2, 1 + i // 2) for i in range(40)], "key string, source_date int, arrival int")
+    results = [sorted(map(tuple, publication.regressions(x).collect())) for x in (rows.orderBy("source_date"), rows.orderBy(F.desc("source_date")))]
+    assert results[0] == results[1] == sorted(("k", d, n, d == 20 and n > 1) for d in (20, 21) for n in range(1, 21))
