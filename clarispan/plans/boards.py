@@ -112,7 +112,8 @@ def visitor_networks(spark, sf_dir):
     v4 = F.concat(F.lit("10."), (u % 256).cast("string"), F.lit(".0.7"))
     v6 = F.concat(F.lit("2001:DB8:"), (u % 9 + 1).cast("string"), F.lit("::"), (k % 9999 + 1).cast("string"))
     rows = table(spark, sf_dir, "events").select(F.when(k % 4 == 0, v4).when(k % 4 == 1, F.concat(F.lit("::ffff:"), v4)).when(k % 4 == 2, v6).otherwise("x").alias("ip"))
-    return rows.groupBy(network_of(F.col("ip")).alias("network")).agg(F.count("*").alias("n"))
+    once = rows.groupBy("ip").agg(F.count("*").alias("n"))  # an address is looked at once
+    return once.groupBy(network_of(F.col("ip")).alias("network")).agg(F.sum("n").alias("n"))
 
 
 @query("""

@@ -5,7 +5,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from clarispan.operators import cost, publication
+from clarispan.functions.web import network_of
+from clarispan.operators import contents, cost, network_files, publication, serving
 from clarispan.plans import registry
 
 DIR = "/root/testdata/sf0.001"
@@ -58,3 +59,11 @@ def test_regressions_of_equal_arrivals(spark):
     rows = spark.createDataFrame([("k", 20 + i % 2, 1 + i // 2) for i in range(40)], "key string, source_date int, arrival int")
     results = [sorted(map(tuple, publication.regressions(x).collect())) for x in (rows.orderBy("source_date"), rows.orderBy(F.desc("source_date")))]
     assert results[0] == results[1] == sorted(("k", d, n, d == 20 and n > 1) for d in (20, 21) for n in range(1, 21))
+
+
+def test_network_works_a_step_out_once(spark):
+    """Before, each use of a step repeated all steps before it."""
+    rows = spark.createDataFrame([("::ffff:10.1.2.3",), ("2001:DB8::1",), ("1::2::3",), (" 10.0.0.7 ",), ("10.0.0.7:80",), ("::",), ("x",), ("",), (None,)], "ip string")
+    out = rows.select(network_of(F.col("ip")).alias("n"))
+    assert len(plan_of(out)) < 12000
+    assert [r["n"] for r in out.collect()] == ["10.1.2.3", "2001:db8:0:0::/64", None, "10.0.0.7", None, "0:0:0:0::/64", None, None, None]
\ No newline at end of file
