@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from clarispan.operators.network_files import first_by
 
 BUCKET = "file_id string, prefix string, count long, raw_sha256 string, payload_sha256 string, payload binary"
 SUFFIXES = 1_000_000
+#: Memberships of a task that packs; tasks grow in number with them.
+PACK_ROWS = 400_000
 
 
 def ready_files(files: DataFrame, index: DataFrame, memberships: DataFrame, links: DataFrame, sets: DataFrame, as_of: Column) -> DataFrame:
@@ -99,41 +102,66 @@ def url_provenance(mentions: DataFrame) -> DataFrame:
 def pack_buckets(memberships: DataFrame) -> DataFrame:
     """Rows of BUCKET: per file and four-digit prefix the distinct suffixes in order, as compressed
     little-endian 32-bit numbers. A bucket has at most SUFFIXES, by its key."""
-    npis = memberships.where(F.col("npi").rlike(r"^\d{10}$")).select(F.col("file_id").cast("string").alias("file_id"), F.substring("npi", 1, 4).alias("prefix"), F.substring("npi", 5, 6).cast("int").alias("s")).distinct()
+    npis = memberships.where(F.col("npi").rlike(r"^\d{10}$")).select(F.col("file_id").cast("string").alias("file_id"), F.substring("npi", 1, 4).alias("prefix"), F.substring("npi", 5, 6).cast("int").alias("s"))
+    tasks = max(1, -(-memberships.count() // PACK_ROWS))
+    npis = npis.repartition(tasks, "file_id", "prefix").distinct()  # a bucket's rows move once
     rows = npis.groupBy("file_id", "prefix").agg(F.array_sort(F.collect_list("s")).alias("s"))
 
     def run(batches):
         for b in batches:
-            out = []
-            for file, prefix, s in zip(*(c.to_pylist() for c in b.columns)):
-                raw = np.array(s, "<u4").tobytes()
-                payload = zlib.compress(raw)
-                out.append((file, prefix, len(s), hashlib.sha256(raw).hexdigest(), hashlib.sha256(payload).hexdigest(), payload))
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [x.split()[0] for x in BUCKET.split(", ")])
+            s = b.column(2)
+            raw, ends = s.flatten().to_numpy().astype("<u4").tobytes(), np.append(0, np.cumsum(pa.compute.list_value_length(s).to_numpy())).tolist()
+            raws = [raw[4 * a : 4 * z] for a, z in zip(ends, ends[1:])]
+            payloads = [zlib.compress(x) for x in raws]
+            sha = lambda parts: pa.array([hashlib.sha256(x).hexdigest() for x in parts], pa.string())
+            counts = pa.array(np.diff(ends), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), counts, sha(raws), sha(payloads), pa.array(payloads, pa.binary())], [x.split()[0] for x in BUCKET.split(", ")])
 
     return rows.mapInArrow(run, BUCKET)
 
 
-def unpack(count: int, raw_sha256: str, payload_sha256: str, payload: bytes) -> np.ndarray:
-    """The suffixes of a bucket; anything that does not agree is an error."""
+def _raw(count: int, raw_sha256: str, payload_sha256: str, payload: bytes) -> bytes:
     if not 1 <= count <= SUFFIXES or hashlib.sha256(payload).hexdigest() != payload_sha256:
         raise ValueError("bad bucket")
     raw = zlib.decompressobj().decompress(payload, count * 4 + 1)
     if len(raw) != count * 4 or hashlib.sha256(raw).hexdigest() != raw_sha256:
         raise ValueError("bad bucket content")
-    s = np.frombuffer(raw, "<u4")
-    if s[-1] >= SUFFIXES or (np.diff(s.astype(np.int64)) <= 0).any():
+    return raw
+
+
+def _in_order(s: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Suffixes of buckets that begin at `first`, if each bucket's rise."""
+    rises = np.append(True, s[1:] > s[:-1])
+    rises[first] = True
+    if (s >= SUFFIXES).any() or not rises.all():
         raise ValueError("bad suffix order")
     return s
 
 
+def unpack(count: int, raw_sha256: str, payload_sha256: str, payload: bytes) -> np.ndarray:
+    """The suffixes of a bucket; anything that does not agree is an error."""
+    return _in_order(np.frombuffer(_raw(count, raw_sha256, payload_sha256, payload), "<u4"), np.zeros(1, int))
+
+
 def unpack_buckets(buckets: DataFrame) -> DataFrame:
-    """Rows (file_id, npi) of buckets."""
+    """Rows (file_id, npi) of buckets, in batches of about SUFFIXES."""
+    def rows(b: pa.RecordBatch, a: int, z: int, raws: list[bytes]) -> pa.RecordBatch:
+        n = np.fromiter(map(len, raws), np.int64, len(raws)) // 4
+        s = _in_order(np.frombuffer(b"".join(raws), "<u4"), np.cumsum(n) - n)
+        of = pa.array(np.repeat(np.arange(a, z), n))
+        suffix = pa.compute.utf8_lpad(pa.array(s).cast(pa.string()), 6, "0")
+        return pa.RecordBatch.from_arrays([b.column(0).take(of), pa.compute.binary_join_element_wise(b.column(1).take(of), suffix, "")], ["file_id", "npi"])
+
     def run(batches):
         for b in batches:
-            for file, prefix, *rest in zip(*(c.to_pylist() for c in b.columns)):
-                s = unpack(*rest)
-                yield pa.RecordBatch.from_arrays([pa.array([file] * len(s), pa.string()), pa.array([f"{prefix}{x:06d}" for x in s.tolist()], pa.string())], ["file_id", "npi"])
+            start, raws, held = 0, [], 0
+            for i, bucket in enumerate(zip(*(b.column(c).to_pylist() for c in range(2, 6)))):
+                raws.append(_raw(*bucket))
+                held += bucket[0]
+                if held >= SUFFIXES:
+                    yield rows(b, start, i + 1, raws)
+                    start, raws, held = i + 1, [], 0
+            if raws:
+                yield rows(b, start, b.num_rows, raws)
 
     return buckets.select(*[x.split()[0] for x in BUCKET.split(", ")]).mapInArrow(run, "file_id string, npi string")

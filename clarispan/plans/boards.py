@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from clarispan.functions.web import network_of, strict_date
 from clarispan.operators import boards, serving
 from clarispan.plans.base import AS_OF, as_of, query, table
-from clarispan.plans.network import FILES, LINKS, MEMBERS, SETS, files, groups, links, memberships, shared_sets
+from clarispan.plans.network import FILES, LINKS, MEMBERS, SETS, files, groups, links, listed, memberships, shared_sets
 from clarispan.sources import catalogs
 
 DOCTORS, DRUGS = ["1000000001", "1000000002", "1000000003"], ["3", "5", "7", "11"]
@@ -91,7 +91,7 @@ def url_provenance(spark, sf_dir):
 @query("WITH" + MEMBERS + "\nSELECT DISTINCT CAST(file_id AS VARCHAR) AS file_id, npi FROM memberships")
 def bucket_round_trip(spark, sf_dir):
     """Memberships packed into compressed buckets and read back."""
-    return serving.unpack_buckets(serving.pack_buckets(memberships(spark, sf_dir)))
+    return serving.unpack_buckets(serving.pack_buckets(listed(spark, sf_dir)))
 
 
 @query("""

@@ -41,8 +41,13 @@ def shared_sets(spark, sf_dir):
 
 
 def memberships(spark, sf_dir):
+    return listed(spark, sf_dir).distinct()
+
+
+def listed(spark, sf_dir):
+    """Memberships as often as they are listed, for what takes each NPI of a file once by itself."""
     l = table(spark, sf_dir, "lineitem")
-    return l.select(F.col("l_orderkey").alias("file_id"), (F.col("l_suppkey") + 1000000000).cast("string").alias("npi"), F.col("l_partkey").cast("string").alias("tin_value")).distinct()
+    return l.select(F.col("l_orderkey").alias("file_id"), (F.col("l_suppkey") + 1000000000).cast("string").alias("npi"), F.col("l_partkey").cast("string").alias("tin_value"))
 
 
 def groups(spark, sf_dir):

@@ -66,4 +66,14 @@ def test_network_works_a_step_out_once(spark):
     rows = spark.createDataFrame([("::ffff:10.1.2.3",), ("2001:DB8::1",), ("1::2::3",), (" 10.0.0.7 ",), ("10.0.0.7:80",), ("::",), ("x",), ("",), (None,)], "ip string")
     out = rows.select(network_of(F.col("ip")).alias("n"))
     assert len(plan_of(out)) < 12000
-    assert [r["n"] for r in out.collect()] == ["10.1.2.3", "2001:db8:0:0::/64", None, "10.0.0.7", None, "0:0:0:0::/64", None, None, None]
\ No newline at end of file
+    assert [r["n"] for r in out.collect()] == ["10.1.2.3", "2001:db8:0:0::/64", None, "10.0.0.7", None, "0:0:0:0::/64", None, None, None]
+
+
+def test_buckets_are_packed_in_small_tasks(spark, monkeypatch):
+    """Before, the number of tasks did not follow the rows, which moved twice."""
+    monkeypatch.setattr(serving, "PACK_ROWS", 100)
+    rows = spark.range(1000).select((F.col("id") % 7).alias("file_id"), (F.col("id") * 7919 + 1000000000).cast("string").alias("npi"))
+    packed = serving.pack_buckets(rows.union(rows))
+    plan = packed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and ", 20)" in plan
+    assert sorted(map(tuple, serving.unpack_buckets(packed).collect())) == sorted((str(r["file_id"]), r["npi"]) for r in rows.collect())
\ No newline at end of file
