@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clarispan.functions.scalars import source_identity
+from clarispan.functions.scalars import let, source_identity
+from clarispan.shared import materialise
 from clarispan.sources.catalogs import PROBE_CHARS, rate_schema
 
 # Bounds of a selection, of a file's plans and references, and of nested locations.
@@ -35,11 +36,12 @@ def selected_contents(structures: DataFrame, selected: DataFrame, scope: DataFra
     (plan_id_type, plan_id) leaves other plans out. Problems: unresolved, ambiguous (a path on several hosts), no plans,
     plans or references beyond the bounds.
     """
-    wanted = F.broadcast(checked_selection(selected))
-    located = structures.select("plans", F.explode("files").alias("f")).withColumn("i", source_identity(F.col("f.location"))).where("i IS NOT NULL")
-    by_url = located.join(wanted.where("NOT path_only"), F.col("i.key") == F.col("key"))
-    by_path = located.join(wanted.where("path_only"), F.col("i.path") == F.col("path"))
-    met = by_url.unionByName(by_path).select("requested", F.col("i.key").alias("found"), "f", "plans")
+    wanted = F.broadcast(checked_selection(selected).withColumn("at", F.when(F.col("path_only"), F.col("path")).otherwise(F.col("key"))).select("requested", "path_only", "at"))
+    # A location is looked up by its key and by its path; structures are read, and an identity worked out, once.
+    ways = lambda i: F.when(i.isNotNull(), F.array(*[F.struct(F.lit(p).alias("path_only"), i[c].alias("at"), i["key"].alias("found")) for p, c in ((False, "key"), (True, "path"))]))
+    located = structures.select("plans", F.explode("files").alias("f")).select("plans", "f", F.explode(let(source_identity(F.col("f.location")), ways)).alias("i"))
+    met = located.select("plans", "f", "i.*").join(wanted, ["path_only", "at"]).select("requested", "found", "f", "plans")
+    met = materialise(met, "selected")
     fields = ["plan_id_type", "plan_id", "plan_name", "plan_market_type"]
     plans = met.select("requested", F.explode("plans").alias("p")).select("requested", F.lower("p.plan_id_type").alias("plan_id_type"), "p.plan_id", "p.plan_name", "p.plan_market_type").distinct()
     if scope is not None:

@@ -76,4 +76,14 @@ def test_buckets_are_packed_in_small_tasks(spark, monkeypatch):
     packed = serving.pack_buckets(rows.union(rows))
     plan = packed._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and ", 20)" in plan
-    assert sorted(map(tuple, serving.unpack_buckets(packed).collect())) == sorted((str(r["file_id"]), r["npi"]) for r in rows.collect())
\ No newline at end of file
+    assert sorted(map(tuple, serving.unpack_buckets(packed).collect())) == sorted((str(r["file_id"]), r["npi"]) for r in rows.collect())
+
+
+def test_structures_are_read_once(spark):
+    """Before, each selection's plans and references read all structures again, twice each."""
+    structures = spark.createDataFrame(
+        [([("P", "EIN", "1", "group")], [("https://h.org/a.json?Signature=1&v=2", "d")]), ([], [("/b.json", "d"), ("https://u@h.org/c.json", "d")])],
+        "plans array<struct<plan_name:string,plan_id_type:string,plan_id:string,plan_market_type:string>>, files array<struct<location:string,description:string>>")
+    plans, files = contents.selected_contents(structures, spark.createDataFrame([("https://h.org/a.json?v=2",), ("/b.json",)], "requested string"))
+    assert "url_decode" not in plan_of(plans).lower() + plan_of(files).lower()
+    assert {(r["requested"], r["found"], r["plans"], r["problem"]) for r in files.collect()} == {("https://h.org/a.json?v=2", "https://h.org/a.json?v=2", 1, None), ("/b.json", "path:/b.json", 0, "no plans")}
