@@ -162,12 +162,20 @@ def compact_buckets(memberships: DataFrame) -> DataFrame:
     return g.select("file_id", "prefix", "n", F.sha2(F.concat("suffixes", F.lit("\n")), 256).alias("raw_sha256"))
 
 
+#: Memberships of a task of a lookup.
+LOOKUP_ROWS = 400_000
+
+
 def compact_lookup(requests: DataFrame, memberships: DataFrame) -> DataFrame:
-    """Requests (file_id, npi) whose suffix is in its bucket: a join on all three parts, so no bucket is scanned."""
+    """Requests (file_id, npi) whose suffix is in its bucket: a join on all three parts, so no bucket is scanned.
+
+    Tasks grow in number with the memberships, so one of them holds about LOOKUP_ROWS; these move once.
+    """
     key = ["file_id", "prefix", "suffix"]
     parts = [F.substring("npi", 1, 4).alias("prefix"), F.substring("npi", 5, 6).alias("suffix")]
-    members = memberships.select("file_id", *parts).distinct().withColumn("found", F.lit(True))
-    return requests.select("*", *parts).join(members, key, "left").select("file_id", "npi", F.coalesce("found", F.lit(False)).alias("found"))
+    tasks = max(1, -(-memberships.count() // LOOKUP_ROWS))
+    members = memberships.select("file_id", *parts).repartition(tasks, *key).distinct().withColumn("found", F.lit(True))
+    return requests.select("*", *parts).repartition(tasks, *key).join(members, key, "left").select("file_id", "npi", F.coalesce("found", F.lit(False)).alias("found"))
 
 
 def set_digest(values: DataFrame, by: list[str], column: str) -> DataFrame:

@@ -246,7 +246,7 @@ def plan_search_shared(spark, sf_dir):
 @query("WITH" + MEMBERS + """
 SELECT file_id, prefix, count(*) AS n, sha256(string_agg(suffix, chr(10) ORDER BY suffix) || chr(10)) AS raw_sha256 FROM (SELECT DISTINCT file_id, npi[1:4] AS prefix, npi[5:10] AS suffix FROM memberships) GROUP BY ALL""")
 def compact_buckets(spark, sf_dir):
-    return nf.compact_buckets(memberships(spark, sf_dir))
+    return nf.compact_buckets(listed(spark, sf_dir))
 
 
 @query("WITH" + MEMBERS + """,
@@ -254,7 +254,7 @@ requests AS (SELECT o_orderkey AS file_id, CAST(1000000000 + o_orderkey % 100 AS
 SELECT r.file_id, r.npi, m.npi IS NOT NULL AS found FROM requests r LEFT JOIN (SELECT DISTINCT file_id, npi FROM memberships) m USING (file_id, npi)""")
 def compact_lookup(spark, sf_dir):
     requests = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_id"), (F.col("o_orderkey") % 100 + 1000000000).cast("string").alias("npi"))
-    return nf.compact_lookup(requests, memberships(spark, sf_dir))
+    return nf.compact_lookup(requests, listed(spark, sf_dir))
 
 
 @query("WITH" + MEMBERS + """

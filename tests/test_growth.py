@@ -79,6 +79,15 @@ def test_buckets_are_packed_in_small_tasks(spark, monkeypatch):
     assert sorted(map(tuple, serving.unpack_buckets(packed).collect())) == sorted((str(r["file_id"]), r["npi"]) for r in rows.collect())
 
 
+def test_lookups_are_small_tasks(spark, monkeypatch):
+    """Before, the number of tasks did not follow the memberships."""
+    monkeypatch.setattr(network_files, "LOOKUP_ROWS", 100)
+    members = spark.range(1000).select((F.col("id") % 7).alias("file_id"), (F.col("id") + 1000000000).cast("string").alias("npi"))
+    out = network_files.compact_lookup(members.where("file_id = 3").union(spark.createDataFrame([(3, "1000000004"), (3, "x")], "file_id long, npi string")), members.union(members))
+    assert ", 20)" in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["npi"] for r in out.where("NOT found").collect()) == ["1000000004", "x"] and out.where("found").count() == 143
+
+
 def test_structures_are_read_once(spark):
     """Before, each selection's plans and references read all structures again, twice each."""
     structures = spark.createDataFrame(
