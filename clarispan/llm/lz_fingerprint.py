@@ -32,6 +32,7 @@ SIZE = 64
 POINT, FACTOR, MASK = 21, 0x9E3779B97F4A7C15, (1 << 64) - 1
 #: Documents of a bucket, and a bound of the buckets: what is known of each on the driver is two numbers.
 BUCKET_ROWS, MOST_BUCKETS = 400, 1 << 14
+_FACTOR, _HALF = np.uint64(FACTOR), np.uint64(32)
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -57,9 +58,10 @@ class Parse:
             else:
                 now = longer
         self.at_hand = now
-        new = np.array(hashes[known:], np.uint64)
-        with np.errstate(over="ignore"):
-            new = (new * np.uint64(FACTOR) >> np.uint64(32)).astype(np.uint32)
+        new = (np.array(hashes[known:], np.uint64) * _FACTOR >> _HALF).astype(np.uint32)  # arrays wrap around without a warning
+        if len(new) > 4 * SIZE:  # repeats are few, so the smallest different ones are mostly among twice as many
+            least = np.unique(np.partition(new, 2 * SIZE)[: 2 * SIZE])
+            new = least if len(least) >= SIZE else new
         self.low = np.unique(np.concatenate([self.low, new]))[:SIZE]
         return self
 
@@ -69,17 +71,19 @@ class Parse:
     def rewind(self, mark: tuple) -> None:
         """Forgets what was fed since the mark."""
         known, self.at_hand, self.low = mark
-        while len(self.hashes) > known:
-            self.hashes.pop()
-            self.phrases.popitem()  # the last one put in
+        last = self.phrases.popitem  # the last one put in
+        for _ in range(len(self.hashes) - known):
+            last()
+        del self.hashes[known:]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Share of common hashes among the SIZE smallest of either."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    both = np.union1d(a, b)[:SIZE]
-    return float((np.isin(both, a) & np.isin(both, b)).mean())
+    x, y = set(a.tolist()), set(b.tolist())
+    both = sorted(x | y)[:SIZE]
+    return len(x.intersection(y, both)) / len(both)
 
 
 def as_text(low: np.ndarray) -> str:

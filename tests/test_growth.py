@@ -3,9 +3,11 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from clarispan.functions.web import network_of
+from clarispan.llm import lz_fingerprint
 from clarispan.operators import contents, cost, network_files, publication, serving
 from clarispan.plans import registry
 
@@ -96,3 +98,21 @@ def test_structures_are_read_once(spark):
     plans, files = contents.selected_contents(structures, spark.createDataFrame([("https://h.org/a.json?v=2",), ("/b.json",)], "requested string"))
     assert "url_decode" not in plan_of(plans).lower() + plan_of(files).lower()
     assert {(r["requested"], r["found"], r["plans"], r["problem"]) for r in files.collect()} == {("https://h.org/a.json?v=2", "https://h.org/a.json?v=2", 1, None), ("/b.json", "path:/b.json", 0, "no plans")}
+
+
+def test_likeness_and_rewind_of_fingerprints():
+    """What is counted with sets and cut in one go equals the definition."""
+    draw = np.random.default_rng(3)
+    for n, m in ((0, 0), (0, 5), (3, 64), (64, 64), (64, 10)):
+        a, b = (np.unique(draw.integers(0, 90, k)).astype(np.uint32) for k in (n, m))
+        both = np.union1d(a, b)[: lz_fingerprint.SIZE]
+        want = float(len(a) == len(b)) if not len(a) or not len(b) else float((np.isin(both, a) & np.isin(both, b)).mean())
+        assert lz_fingerprint.likeness(a, b) == want
+    text = "".join(draw.choice(list("abcde "), 5000))
+    parse = lz_fingerprint.Parse().feed(text)
+    every = np.array(parse.hashes[1:], np.uint64) * np.uint64(lz_fingerprint.FACTOR) >> np.uint64(32)
+    assert parse.low.tolist() == sorted(set(every.tolist()))[: lz_fingerprint.SIZE]
+    mark, known = parse.mark(), (dict(parse.phrases), list(parse.hashes))
+    parse.feed(text[::-1])
+    parse.rewind(mark)
+    assert (parse.phrases, parse.hashes) == known and parse.mark() == mark
