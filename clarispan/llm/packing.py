@@ -19,7 +19,7 @@ null doc_ids are kept; an empty table gives an empty result; extra columns are i
 
 from __future__ import annotations
 
-import itertools
+import copy
 import os
 import re
 import unicodedata
@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clarispan.llm.bpe import SPACE
+from clarispan.llm.bpe import SPACE, byte_letters
 from clarispan.llm.common import materialise, resident, small_batches, table, texts_by_slice
 
 VOCABULARY = "word_bpe_49k.json"
@@ -44,6 +44,8 @@ MOST_PARTS = 20_000
 K1, B = 1.2, 0.75
 HASHES = 3
 NEIGHBOURS = 32
+#: An index of a shard is cut to its unused documents when they are fewer than this share of those it has.
+FEWER = 0.75
 KNOWN_WORDS = 600_000
 _ODD = re.compile("[\x1c-\x1f]")
 _SPACES = re.compile(f"[{SPACE}]+")
@@ -52,6 +54,10 @@ PLAIN_END = 0x180
 _OTHER = re.compile(f"[^\0-{chr(PLAIN_END - 1)}]|\u0130|<\\|")
 _LETTERS, _NUMBERS = ("".join(c for c in map(chr, range(PLAIN_END)) if unicodedata.category(c)[0] == kind) for kind in "LN")
 _PRETOKEN = re.compile(f"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[^{SPACE}{_LETTERS}{_NUMBERS}]+")
+_KIND_SPACE, _KIND_LETTER, _KIND_NUMBER, _KIND_OTHER = range(4)
+_KIND = np.array([_KIND_SPACE if _SPACES.match(c) else _KIND_LETTER if c in _LETTERS else _KIND_NUMBER if c in _NUMBERS else _KIND_OTHER for c in map(chr, range(PLAIN_END))], np.uint8)
+#: The one of _OTHER that lower case makes two stands for itself; no text with it is lowered by this table.
+_LOWER = np.array([ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in map(chr, range(PLAIN_END))], "<u2")
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Pieces that are whole windows have no row; else ids are the document's last ones, and counts the whole document's (term, tf, ...) where it has more.
 ENCODED = PIECE + ", row long, ids binary, counts binary"
@@ -60,9 +66,12 @@ ENCODED = PIECE + ", row long, ids binary, counts binary"
 class WordEncoder:
     """Encodes by the tokenizers library, once for each distinct part of a text. For characters below
     PLAIN_END lower case, composed forms and character classes are the same everywhere, so texts of them
-    are lowered and cut into the vocabulary's pre-tokens here, and the library only merges: many
+    are lowered and cut into the vocabulary's pre-tokens here, all at once, and the library only merges: many
     pre-tokens in one call, told apart by the word end that closes each. Runs between white space with
-    other characters or a special token go through the whole library; no token crosses white space."""
+    other characters or a special token go through the whole library; no token crosses white space.
+
+    A part is known by its UTF-16 bytes. Of the two tables of known parts the older one goes when the
+    newer one is full; what is met in the older one moves to the newer."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -73,15 +82,15 @@ class WordEncoder:
             t.no_truncation()
             t.no_padding()
         self.merger.normalizer = None
-        self.merger.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.merger.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        self.letters = {b: c for b, c in byte_letters().items() if chr(b) != "\n"}
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.closes[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
-    def parts(self, text: str) -> list[str]:
+    def runs(self, text: str) -> list[str]:
         """Pre-tokens in lower case, and runs between white space that the whole library must encode."""
-        if text.isascii() and "<|" not in text or not _OTHER.search(text):
-            return _PRETOKEN.findall(text.lower())
         out: list[str] = []
         for w in _SPACES.split(text) if _ODD.search(text) else text.split():
             if _OTHER.search(w):
@@ -90,29 +99,89 @@ class WordEncoder:
                 out += _PRETOKEN.findall(w.lower())
         return out
 
-    def learn(self, new: list[str]) -> None:
+    def parts(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The parts of all texts in order, and how many each text has."""
+        joined = "\n".join(texts)
+        if _plain(joined):
+            return pretokens(texts, joined)
+        plain = np.fromiter(map(_plain, texts), bool, len(texts))
+        words, n = [], np.zeros(len(texts), np.int64)
+        edges = [0, *(np.flatnonzero(plain[1:] != plain[:-1]) + 1).tolist(), len(texts)]
+        for a, z in zip(edges, edges[1:]):
+            if plain[a]:
+                w, n[a:z] = pretokens(texts[a:z], "\n".join(texts[a:z]))
+            else:
+                rows = [self.runs(t) for t in texts[a:z]]
+                w, n[a:z] = pa.array([w.encode("utf-16-le") for row in rows for w in row], pa.large_binary()), list(map(len, rows))
+            words.append(w)
+        return pa.concat_arrays(words), n
+
+    def learn(self, new: list[bytes]) -> None:
         """Puts the ids of new parts into the table."""
-        other = [w for w in new if _OTHER.search(w)] if _OTHER.search(" ".join(new)) else []
+        words = [w.decode("utf-16-le") for w in new]
+        other = [i for i, w in enumerate(words) if _OTHER.search(w)] if _OTHER.search(" ".join(words)) else []
         odd = set(other)
-        plain = [w for w in new if w not in odd]
+        plain = [i for i in range(len(words)) if i not in odd] if odd else range(len(words))
         if plain:
-            lines = ["\n".join(plain[at : at + 1000]) for at in range(0, len(plain), 1000)]
+            lines = ["\n".join([words[i] for i in plain[at : at + 1000]]) for at in range(0, len(plain), 1000)]
+            lines = [x if x.isascii() and x.replace("\n", "").isprintable() else x.encode().decode("latin-1").translate(self.letters) for x in lines]
             ids = np.array([i for e in self.merger.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], "<u4")
             ends, raw = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist(), ids.tobytes()
-            self.known.update((w, raw[a:z]) for w, a, z in zip(plain, [0, *ends[:-1]], ends, strict=True))
+            self.known.update((new[i], raw[a:z]) for i, a, z in zip(plain, [0, *ends[:-1]], ends, strict=True))
         if other:
-            found = self.tokenizer.encode_batch_fast(other, add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(other, found))
+            found = self.tokenizer.encode_batch_fast([words[i] for i in other], add_special_tokens=False)
+            self.known.update((new[i], np.array(e.ids, "<u4").tobytes()) for i, e in zip(other, found))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, without an end id."""
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        rows, known = [self.parts(t) for t in texts], self.known
-        new = list(set(itertools.chain.from_iterable(rows)).difference(known))
+        if len(self.known) > KNOWN_WORDS // 2:
+            self.known, self.older = {}, self.known
+        parts, n = self.parts(texts)
+        parts = parts.dictionary_encode()
+        words, known, older = parts.dictionary.to_numpy(zero_copy_only=False).tolist(), self.known, self.older
+        new = [w for w in words if w not in known]
+        known.update((w, older[w]) for w in new if w in older)
+        new = [w for w in new if w not in older] if older else new
         for at in range(0, len(new), 50_000):
             self.learn(new[at : at + 50_000])
-        return [np.frombuffer(b"".join(map(known.__getitem__, row)), "<u4") for row in rows]
+        found = [known[w] for w in words]
+        size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        start, table, word = np.cumsum(size) - size, np.frombuffer(b"".join(found), "<u4"), parts.indices.to_numpy()
+        size = size[word]
+        end = np.cumsum(size)
+        ids = table[np.repeat(start[word] - end + size, size) + np.arange(size.sum())]
+        return np.split(ids, np.append(0, end)[np.cumsum(n)[:-1]]) if texts else []
+
+
+def _plain(text: str) -> bool:
+    """Whether _OTHER finds nothing."""
+    if "<|" in text or "\u0130" in text:
+        return False
+    return text.isascii() or bool(np.frombuffer(text.encode("utf-16-le"), "<u2").max() < PLAIN_END)
+
+
+def pretokens(texts: list[str], joined: str) -> tuple[pa.Array, np.ndarray]:
+    """The pre-tokens of texts of plain characters as UTF-16 bytes, in lower case, and how many each text has; the texts
+    are also given joined by line feeds."""
+    chars = np.frombuffer(joined.encode("ascii"), np.uint8) if joined.isascii() else np.frombuffer(joined.encode("utf-16-le"), "<u2")
+    chars = _LOWER[chars]
+    kind = _KIND[chars]
+    begins = kind != _KIND_SPACE
+    begins[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _KIND_NUMBER)
+    quote = np.flatnonzero(begins[:-1] & (chars[:-1] == ord("'")))
+    if len(quote):  # 's, 't, 'm, 'd, 're, 've and 'll, where the quote begins its run and is all of it
+        one, two = chars[quote + 1], chars[np.minimum(quote + 2, len(chars) - 1)]
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        long = (quote + 2 < len(chars)) & (((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l")))
+        begins[quote[short | long] + 1] = False
+        after = np.concatenate([quote[short] + 2, quote[long] + 3])
+        after = after[after < len(chars)]
+        begins[after] = kind[after] != _KIND_SPACE
+    stays = kind != _KIND_SPACE
+    data, first = chars[stays], np.append(np.flatnonzero(begins[stays]), stays.sum())
+    words = pa.Array.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer(2 * first), pa.py_buffer(data)])
+    edges = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+    return words, np.diff(np.searchsorted(np.flatnonzero(begins), edges), prepend=0)
 
 
 class Corpus:
@@ -155,22 +224,35 @@ class ShardIndex:
     def __init__(self, ids: list[np.ndarray], counts: list[bytes | None], size: np.ndarray, corpus: Corpus):
         self.n = len(ids)
         doc, term, tf = bags(ids, counts)
-        idf = corpus.idf[term]
-        terms, term = np.unique(term, return_inverse=True)
-        useful = (idf > 0) & (np.bincount(term, minlength=len(terms))[term] > 1)  # the others add nothing to any neighbour
-        doc, term, tf, idf = doc[useful], term[useful], tf[useful], idf[useful]
+        has = (corpus.idf > 0) & (np.bincount(term, minlength=len(corpus.idf)) > 1)  # the other terms add nothing to any neighbour
+        useful = has[term]
+        doc, term, tf = doc[useful], term[useful], tf[useful]
+        idf, terms = corpus.idf[term], np.count_nonzero(has)
+        term = (np.cumsum(has) - 1)[term]
         weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / corpus.mean))
         self.terms, self.edge = term, np.searchsorted(doc, np.arange(self.n + 1))  # by document
-        order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], weight[order]  # by term
-        self.start = np.searchsorted(term[order], np.arange(len(terms) + 1))
+        order = np.argsort(term.astype(np.uint16) if terms < 1 << 16 else term, kind="stable")
+        self._hold(doc[order], weight[order], np.append(0, np.cumsum(np.bincount(term, minlength=terms))))
+
+    def _hold(self, doc: np.ndarray, weight: np.ndarray, start: np.ndarray) -> None:
+        """Postings by term, and each term's own."""
+        self.doc, self.weight, self.start = doc, weight, start
+        edges = list(zip(start[:-1].tolist(), start[1:].tolist()))
+        self.docs_of, self.weights_of = [doc[a:z] for a, z in edges], [weight[a:z] for a, z in edges]
+
+    def without_used(self, unused: np.ndarray) -> ShardIndex:
+        """The index with no postings of used documents, which may still be seeds."""
+        index, stays = copy.copy(self), unused[self.doc]
+        index._hold(self.doc[stays], self.weight[stays], np.append(0, np.cumsum(stays))[self.start])
+        return index
 
     def neighbours(self, seed: int, unused: np.ndarray, length: np.ndarray | None = None, room: int = 0) -> np.ndarray:
         """Unused documents with a positive score, best first: the best NEIGHBOURS, and as many more as fill the room."""
-        t = self.terms[self.edge[seed] : self.edge[seed + 1]]
-        a, n = self.start[t], self.start[t + 1] - self.start[t]
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
-        score = np.where(unused, np.bincount(self.doc[at], self.weight[at], self.n), 0.0)
+        t = self.terms[self.edge[seed] : self.edge[seed + 1]].tolist()
+        if not t:
+            return np.empty(0, np.int64)
+        score = np.bincount(np.concatenate([self.docs_of[i] for i in t]), np.concatenate([self.weights_of[i] for i in t]), self.n)
+        score[~unused] = 0.0
         some, k = np.flatnonzero(score > 0), NEIGHBOURS
         while True:
             best = some if k >= len(some) else some[score[some] >= np.partition(score[some], len(some) - k)[len(some) - k]]
@@ -184,7 +266,7 @@ def pack(docs: list[np.ndarray], index: ShardIndex, window: int = WINDOW) -> lis
     """Sequences of pieces (document, from, to) of the documents' last ids; all are full but the last ones, which have
     power-of-two lengths."""
     unused, length = np.ones(len(docs), bool), np.array([len(d) for d in docs], np.int64)
-    sequences, now, free, at = [], [], window, 0
+    sequences, now, free, at, held = [], [], window, 0, len(docs)
 
     def add(d: int, a: int) -> None:
         nonlocal now, free
@@ -210,6 +292,9 @@ def pack(docs: list[np.ndarray], index: ShardIndex, window: int = WINDOW) -> lis
             unused[seed] = False
             add(seed, 0)
         filled = len(sequences)
+        left = np.count_nonzero(unused)
+        if left < FEWER * held:
+            index, held = index.without_used(unused), left
         for d in index.neighbours(seed, unused, length, free).tolist():
             if len(sequences) > filled:
                 break

@@ -1,5 +1,6 @@
 """Defined results for nulls, empty tables, ties, repeated rows, long texts and extra columns."""
 
+import itertools
 import random
 
 import numpy as np
@@ -390,6 +391,29 @@ def test_word_encoder_equals_the_library_on_any_characters():
     assert [x.tolist() for x in encoder.encode(texts)] == want
 
 
+def test_word_encoder_cuts_quotes_as_the_library():
+    encoder = packing.WordEncoder(public_tokenizers.path(packing.VOCABULARY))
+    pick = random.Random(4)
+    texts = ["'", "'s", "'ll'", "a'll", "x''s", "'r", "\x1c\x1d'", "1'd2", *("".join(pick.choices(3 * "'" + "strevelmd 1.\n\xe9S", k=pick.randint(0, 9))) for _ in range(4000))]
+    want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in encoder.encode(texts)] == want
+    assert [encoder.encode([t])[0].tolist() for t in texts[:500]] == want[:500]
+
+
+def test_word_encoder_merges_recurring_words_once(monkeypatch):
+    """Of many new words a table is full again and again; a word of every batch is merged once all the same."""
+    monkeypatch.setattr(packing, "KNOWN_WORDS", 40)
+    encoder, merged = packing.WordEncoder(public_tokenizers.path(packing.VOCABULARY)), []
+    learn = encoder.learn
+    encoder.learn = lambda new: merged.extend(w if isinstance(w, str) else w.decode("utf-16-le") for w in new) or learn(new)
+    names = ["".join(x) for x in itertools.product("abcdefgh", repeat=3)]
+    for at in range(0, len(names), 8):
+        texts = ["recurring " * 5 + " ".join(names[at : at + 8])]
+        assert encoder.encode(texts)[0].tolist() == encoder.tokenizer.encode(texts[0], add_special_tokens=False).ids
+    assert merged.count("recurring") == 1 and len(merged) == len(names) + 1
+    assert len(encoder.known) + len(encoder.older) < 80
+
+
 def test_related_documents_meet_across_shards(spark):
     pick = random.Random(11)
     letters = "abcdefghijklmnopqrstuvwxyz"

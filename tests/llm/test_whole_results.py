@@ -211,6 +211,23 @@ def test_windows_are_filled_by_the_seed_s_neighbours():
     assert first[0] == 0 and first[1:] == best[: len(first) - 1]
 
 
+def test_used_documents_leave_a_shard_s_postings(monkeypatch):
+    """Sequences are the same whether and when the index is cut, and fewer postings are read."""
+    rng = np.random.default_rng(12)
+    ids = [rng.integers(0, 300, n).astype(np.uint32) for n in rng.integers(3, 60, 400)]
+    size = np.array([len(x) for x in ids])
+    corpus = packing.Corpus(len(ids), int(size.sum()), np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=300))
+    index, found, read = packing.ShardIndex(ids, [None] * len(ids), size, corpus), {}, {}
+    bincount = np.bincount
+    for share in (0.0, 0.5, 0.75, 1.0):
+        monkeypatch.setattr(packing, "FEWER", share)
+        monkeypatch.setattr(np, "bincount", lambda x, *a: read.update({share: read.get(share, 0) + len(x)}) or bincount(x, *a))
+        found[share] = packing.pack(ids, index, 128)
+        monkeypatch.setattr(np, "bincount", bincount)
+    assert all(x == found[0.0] for x in found.values())
+    assert read[0.75] < 0.75 * read[0.0] and read[1.0] <= read[0.75] <= read[0.5]
+
+
 def test_a_window_takes_more_than_the_first_neighbours():
     """200 short documents on a topic of rare ids among 500 others: the seed's window holds them before any other."""
     rng = np.random.default_rng(11)
