@@ -44,8 +44,8 @@ def survivors(ledger: DataFrame) -> DataFrame:
 
 def regressions(arrivals: DataFrame) -> DataFrame:
     """Marks arrivals (key, source_date, arrival) whose date is before one that arrived earlier. Of arrivals with one number
-    the one with the earlier date came first."""
-    before = Window.partitionBy("key").orderBy("arrival", "source_date").rowsBetween(Window.unboundedPreceding, -1)
+    the one with the earlier date came first; one without a number came last."""
+    before = Window.partitionBy("key").orderBy(F.asc_nulls_last("arrival"), "source_date").rowsBetween(Window.unboundedPreceding, -1)
     return arrivals.withColumn("regression", F.coalesce(F.col("source_date") < F.max("source_date").over(before), F.lit(False)))
 
 

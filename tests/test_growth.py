@@ -3,6 +3,7 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -63,6 +64,17 @@ def test_regressions_of_equal_arrivals(spark):
     assert results[0] == results[1] == sorted(("k", d, n, d == 20 and n > 1) for d in (20, 21) for n in range(1, 21))
 
 
+def test_regressions_of_arrivals_without_a_number(spark):
+    """Before, what arrived without a number came first; in the SQL's order it comes last."""
+    rows = [("k", 9, None), ("k", 5, 1), ("k", 7, 2), ("k", None, 3), ("k", 6, 4), ("m", 1, None), ("m", 2, -1)]
+    out = publication.regressions(spark.createDataFrame(rows, "key string, source_date int, arrival int"))
+    values = ", ".join("({}, {}, {})".format(f"'{k}'", *("NULL" if v is None else v for v in (d, n))) for k, d, n in rows)
+    sql = "SELECT key, source_date, arrival, coalesce(source_date < max(source_date) OVER (PARTITION BY key ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS regression"
+    want = duckdb.sql(f"{sql} FROM (VALUES {values}) t(key, source_date, arrival)").fetchall()
+    assert {tuple(r) for r in out.collect()} == set(want)
+    assert {(r["key"], r["arrival"]) for r in out.where("regression").collect()} == {("k", 4), ("m", None)}
+
+
 def test_network_works_a_step_out_once(spark):
     """Before, each use of a step repeated all steps before it."""
     rows = spark.createDataFrame([("::ffff:10.1.2.3",), ("2001:DB8::1",), ("1::2::3",), (" 10.0.0.7 ",), ("10.0.0.7:80",), ("::",), ("x",), ("",), (None,)], "ip string")
