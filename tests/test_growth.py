@@ -2,9 +2,11 @@
 
 import random
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from clarispan.functions.web import network_of
@@ -45,6 +47,35 @@ def test_pairs_are_made_and_ranked_where_they_are(spark):
     assert plan("true_cost_rank_all").count("Exchange hashpartitioning") == 2
 
 
+@pytest.fixture
+def market(spark, tmp_path):
+    """A folder with one market's households and plans, many of which are alike; some numbers, incomes and prices are odd."""
+    customers = [(k, f"C{k}", 3, 40.0 * i * i - 100.0, "X") for i, k in enumerate(range(-150, 1000, 50))] + [(None, "none", 3, 1.0, "X"), (1050, "no income", 3, None, "X")]
+    parts = [(25 * i + 3, 1, None if i == 7 else 900.0 + i % 3) for i in range(-2, 200)]
+    spark.createDataFrame(customers, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(parts, "p_partkey long, p_size int, p_retailprice double").repartition(3).write.parquet(f"{tmp_path}/part.parquet")
+    return str(tmp_path)
+
+
+def rows_of_sql(name, folder):
+    con = duckdb.connect()
+    for t in ("customer", "part"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    out = con.sql(registry.SQL[name])
+    return out.columns, out.fetchall()
+
+
+def test_costs_are_worked_out_once_for_plans_alike(spark, market):
+    """Before, they were worked out for each pair, and what is written of pairs did not repeat itself."""
+    out = registry.QUERIES["true_costs"](spark, market)
+    columns, want = rows_of_sql("true_costs", market)
+    got = [tuple(r[c] for c in columns) for r in out.collect()]
+    assert Counter(got) == Counter(want) and len(got) > 4000
+    at = [i for i, c in enumerate(columns) if c != "plan"]
+    runs = sum(tuple(a[i] for i in at) != tuple(b[i] for i in at) for a, b in zip(got, got[1:]))
+    assert runs < len(got) / 2
+
+
 def test_least_outdone_keeps_the_best(spark):
     """Before, all plans of a market met each household."""
     draw = random.Random(5)
