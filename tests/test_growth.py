@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from clarispan.functions.web import network_of
 from clarispan.llm import lz_fingerprint
-from clarispan.operators import contents, cost, network_files, publication, serving
+from clarispan.operators import contents, cost, network_files, publication, ranking, serving
 from clarispan.plans import registry
 
 DIR = "/root/testdata/sf0.001"
@@ -76,6 +76,33 @@ def test_costs_are_worked_out_once_for_plans_alike(spark, market):
     assert runs < len(got) / 2
 
 
+def test_costs_are_ranked_and_not_pairs(spark, market):
+    """Before, all pairs were sorted."""
+    out = registry.QUERIES["true_cost_rank_all"](spark, market)
+    assert "Window" not in plan_of(out)
+    columns, want = rows_of_sql("true_cost_rank_all", market)
+    got = [tuple(r[c] for c in columns) for r in out.collect()]
+    assert sorted(got) == sorted(want) and len({r[0] for r in got}) == 24
+
+
+@pytest.mark.parametrize("top, at_once", [(50, 1), (50, 40), (1 << 62, 40), (50, 1 << 18)])
+def test_places_in_lists_of_a_key(spark, monkeypatch, top, at_once):
+    """Keys over several batches, equal values, values that are missing, empty lists, numbers that fill a long."""
+    monkeypatch.setattr(ranking, "RANKED_AT_ONCE", at_once)
+    draw = random.Random(top)
+    rows = [(draw.randrange(-5, 25), draw.choice([None, -1.5, 0.0, 2.25, 7.0]), sorted(draw.randrange(-top, top) for _ in range(draw.choice([0, 1, 2, 9])))) for _ in range(400)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = ranking.ranked_lists(spark.createDataFrame(rows, "k long, cost double, ids array<long>").repartition(3, "k"), "k", "cost", "ids", "id").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for k in {r[0] for r in rows}:
+        places = sorted((c is None, c or 0.0, i, c) for key, c, ids in rows if key == k for i in ids)
+        want += [(k, i, c, n) for n, (_, _, i, c) in enumerate(places, 1)]
+    assert Counter(map(tuple, out)) == Counter(want)
+
+
 def test_least_outdone_keeps_the_best(spark):
     """Before, all plans of a market met each household."""
     draw = random.Random(5)
